@@ -6,7 +6,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.operators.joins import fits_broadcast
+from retentia.operators.joins import fits_broadcast, lookup_join
 from retentia.session import checkpointed
 
 RANGES = 256
@@ -22,8 +22,8 @@ def running_totals(values: DataFrame, by: str, measures: list[str], ranges: int
     """
     probs = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(values.approxQuantile(by, probs, 0.25 / ranges)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
         values.withColumn("_v", F.col(by).cast("double"))).drop("_v")
     return _accumulate(ranged, by, measures)
 
@@ -75,18 +75,18 @@ def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
 def category_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """Add the position of each value among the sorted distinct values; null gets -1.
 
-    A list of categories proven short is numbered in one small window and broadcast. A longer one
-    is range-partitioned, written through the shared folder and numbered range by range.
+    A list of categories proven short is numbered in one small window. A longer one is
+    range-partitioned, written through the shared folder and numbered range by range. Either way
+    the codes come back by a lookup join that spreads hot categories.
     """
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
     if fits_broadcast(values):
         codes = values.withColumn(
             code, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
-        joined = df.join(F.broadcast(codes), column, "left")
     else:
         ranged = checkpointed(values.repartitionByRange(column).select(
             column, F.spark_partition_id().alias("_range"), F.lit(1).cast("long").alias("one")))
         codes = _accumulate(ranged, column, ["one"]).select(column, F.col("one_before").alias(code))
-        joined = df.join(codes, column, "left")
+    joined = lookup_join(df, codes, [column], "left")
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1).cast("long"))).select(
         *df.columns, code)
