@@ -138,8 +138,9 @@ def saved_chart_series(charts: DataFrame, tables: dict[str, tuple[DataFrame, lis
         cells = ranked.select("_row", F.map_from_arrays(
             F.array(*[F.lit(c) for c in df.columns]),
             F.array(*[F.col(c).cast("string") for c in df.columns])).alias("cells"))
-        mine = charts.filter(F.col("collection") == name)
-        series = cells.join(mine, F.col("_row") <= F.col("limit")).select(
+        asked_rows = charts.filter(F.col("collection") == name).withColumn(
+            "_row", F.explode(F.sequence(F.lit(1), F.col("limit").cast("int"))))
+        series = asked_rows.join(cells, "_row").select(
             "collection", "x_axis", "y_axis", "chart_type", F.col("_row").cast("long").alias("row"),
             F.col("cells")[F.col("x_axis")].alias("x"), F.col("cells")[F.col("y_axis")].alias("y"))
         out = series if out is None else out.unionByName(series)
