@@ -118,8 +118,7 @@ FROM orders
 def update_where(spark, sf):
     orders = v.table(spark, sf, "orders")
     hit = (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 100000)
-    out = orders.withColumn("_hit", hit)  # both columns change on the state before the update
-    return merge.update_where(out, F.col("_hit"), o_orderstatus=F.lit("R"), o_orderpriority=F.lit("1-URGENT")
+    return merge.update_where(orders, hit, o_orderstatus=F.lit("R"), o_orderpriority=F.lit("1-URGENT")
                               ).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
