@@ -1 +1,8 @@
 """retentia: student-retention analytics on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel with the job, so executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -161,7 +161,7 @@ def train_regressors(df: DataFrame, key: str, targets: list[str], numeric: list[
 
     try:
         with ThreadPool(parallelism) as pool:
-            fitted = pool.map(inheritable_thread_target(fit), targets)
+            fitted = pool.map(inheritable_thread_target(df.sparkSession)(fit), targets)
     finally:
         typed.unpersist()
     return [r for r in fitted if r]
