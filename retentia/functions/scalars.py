@@ -112,8 +112,11 @@ def iso_text(ts: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Underscores to blanks, each run of letters capitalised."""
-    runs = F.regexp_extract_all(F.replace(c, F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(F.transform(runs, F.initcap), "")
+    words = F.replace(c, F.lit("_"), F.lit(" "))
+    runs = F.regexp_extract_all(words, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    # initcap starts words at blanks only: enough unless other signs separate letters
+    return F.when(words.rlike(r"\A[\p{L} ]*\z"), F.initcap(words)).otherwise(
+        F.array_join(F.transform(runs, F.initcap), ""))
 
 
 def fixed_text(c: Column, digits: int = 2) -> Column:

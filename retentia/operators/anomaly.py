@@ -54,7 +54,9 @@ def draw_samples(df: DataFrame, key: str, features: list[str], trees: int = TREE
     chance = min(1.0, 2.0 * per_tree / max(min(total, pool_size), 1) + 0.01)
     dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
         "_h", F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(_BUCKETS)))
-    dealt = dealt.filter(F.col("_h") < int(_BUCKETS * chance))
+    # trees are small but slow to grow: spread them although their bytes would fit one task
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    dealt = dealt.filter(F.col("_h") < int(_BUCKETS * chance)).repartition(tasks, "tree")
     ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", key)))
     return ranked.filter(F.col("_r") <= per_tree).select("tree", "x"), per_tree
 
@@ -184,13 +186,14 @@ def detect(df: DataFrame, key: str, features: list[str], trees: int = TREES, sam
            share: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
     """All rows with ``anomaly_score`` and ``is_anomaly``; gaps in features are filled by medians.
 
-    Scores are written once to the shared folder: the threshold and the flags read them from there.
+    The feature columns and the scores are each written once to the shared folder; every pass over
+    them reads two narrow tables and never repeats the work behind ``df``.
     """
-    filled = _fill_medians(df, features)
-    nodes, per_tree = fit_forest(filled, key, features, trees, sample, seed)
-    scored = flag_lowest(checkpointed(anomaly_scores(filled, key, features, nodes, per_tree)),
-                         share=share)
-    return filled.join(scored.drop("raw_score"), key)
+    narrow = _fill_medians(checkpointed(df.select(key, *features)), features)
+    nodes, per_tree = fit_forest(narrow, key, features, trees, sample, seed)
+    scored = flag_lowest(checkpointed(anomaly_scores(narrow, key, features, nodes, per_tree)), share=share)
+    return df.drop(*features).join(narrow, key).join(scored.drop("raw_score"), key).select(
+        *df.columns, "anomaly_score", "is_anomaly")
 
 
 def detect_in_file(df: DataFrame, key: str, **settings) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from retentia.functions.scalars import hash_bucket, str_to_bool
 from retentia.operators.joins import fits_broadcast
-from retentia.operators.ranking import running_totals
+from retentia.operators.ranking import accumulate
 from retentia.operators.shaping import add_missing
 from retentia.schemas import BOOLEAN_FEATURES, CATEGORICAL_FEATURES, LABEL, NUMERIC_FEATURES
 
 MISSING = "missing"
+HASHES, SLICES = 1 << 31, 1 << 10
 MAX_CATEGORIES = 1_000  # one column per category: ids and names do not belong in a feature list
 
 
@@ -81,9 +82,14 @@ def training_frame(students: DataFrame) -> DataFrame:
     return impute_means(full, NUMERIC_FEATURES).fillna(MISSING, subset=rest)
 
 
+def in_holdout(key: Column, seed: int = 42, percent: int = 20) -> Column:
+    """Whether a row belongs to the test share, by a stable hash of its key."""
+    return hash_bucket(key, seed) < percent
+
+
 def holdout(df: DataFrame, key: str, seed: int = 42, percent: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a stable hash of the key: no shuffle, the same for any partitioning."""
-    test = hash_bucket(F.col(key), seed) < percent
+    """(train, test): no shuffle, the same rows for any partitioning."""
+    test = in_holdout(F.col(key), seed, percent)
     return df.filter(~test), df.filter(test)
 
 
@@ -91,20 +97,18 @@ def stratified_holdout(df: DataFrame, key: str, label: str, seed: int = 42,
                        share: float = 0.2) -> DataFrame:
     """Add ``is_test``: per class exactly the ``round(share * rows)`` rows with the smallest hashes.
 
-    The cut-off hash of each class comes from running totals over distinct hashes, so not even a
-    two-class label gathers a class in one task.
+    Hashes are spread evenly, so equal slices of their range hold like numbers of rows; running
+    totals per class and slice find the cut-off hash of each class. Not even a two-class label
+    gathers a class in one task.
     """
-    hashed = df.withColumn("_h", hash_bucket(F.col(key), seed, 1 << 31).cast("double"))
-    classes = [r[label] for r in hashed.select(label).distinct().collect()]  # one row per class
-    cut = None
-    for value in classes:
-        mine = hashed.filter(F.col(label).eqNullSafe(F.lit(value)))
-        ranked = running_totals(mine.groupBy("_h").agg(F.count("*").alias("n")), "_h", ["n"])
-        quota = F.round(mine.agg(F.count("*")).scalar() * share)
-        row = ranked.filter(F.col("n_before") < quota).agg(F.max("_h").alias("_cut")).select(
-            F.lit(value).alias(label), "_cut")
-        cut = row if cut is None else cut.unionByName(row)
-    return hashed.join(F.broadcast(cut), label, "left").withColumn(
+    hashed = df.withColumn("_h", hash_bucket(F.col(key), seed, HASHES))
+    counts = hashed.groupBy(label, "_h").agg(F.count("*").alias("n")).withColumn(
+        "_range", F.floor(F.col("_h") / (HASHES // SLICES)))
+    ranked = accumulate(counts.filter(F.col(label).isNotNull()), "_h", ["n"], (label,))
+    quotas = df.groupBy(label).agg(F.round(F.count("*") * share).alias("_quota"))  # one row per class
+    cuts = ranked.join(F.broadcast(quotas), label).filter(F.col("n_before") < F.col("_quota")).groupBy(
+        label).agg(F.max("_h").alias("_cut"))
+    return hashed.join(F.broadcast(cuts), label, "left").withColumn(
         "is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).select(*df.columns, "is_test")
 
 

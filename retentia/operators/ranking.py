@@ -25,16 +25,17 @@ def running_totals(values: DataFrame, by: str, measures: list[str], ranges: int
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
         values.withColumn("_v", F.col(by).cast("double"))).drop("_v")
-    return _accumulate(ranged, by, measures)
+    return accumulate(ranged, by, measures)
 
 
-def _accumulate(ranged: DataFrame, by: str, measures: list[str]) -> DataFrame:
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_range").agg(*[F.sum(m).alias(m) for m in measures]).select(
-        "_range", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_offset") for m in measures])
-    inside = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    # offsets: at most one row per range
-    return ranged.join(F.broadcast(offsets), "_range").select(
+def accumulate(ranged: DataFrame, by: str, measures: list[str], groups: tuple[str, ...] = ()) -> DataFrame:
+    """Running totals over rows that carry an ordered ``_range``, within each of few ``groups``."""
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*groups, "_range").agg(*[F.sum(m).alias(m) for m in measures]).select(
+        *groups, "_range", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_offset") for m in measures])
+    inside = Window.partitionBy(*groups, "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    # offsets: at most one row per group and range
+    return ranged.join(F.broadcast(offsets), [*groups, "_range"]).select(
         *[c for c in ranged.columns if c != "_range"],
         *[(F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"_{m}_offset")).alias(f"{m}_before")
           for m in measures])
@@ -86,7 +87,7 @@ def category_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     else:
         ranged = checkpointed(values.repartitionByRange(column).select(
             column, F.spark_partition_id().alias("_range"), F.lit(1).cast("long").alias("one")))
-        codes = _accumulate(ranged, column, ["one"]).select(column, F.col("one_before").alias(code))
+        codes = accumulate(ranged, column, ["one"]).select(column, F.col("one_before").alias(code))
     joined = lookup_join(df, codes, [column], "left")
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1).cast("long"))).select(
         *df.columns, code)

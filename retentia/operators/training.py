@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.scalars import label_map, safe_float
-from retentia.operators.features import MAX_CATEGORIES, MISSING, holdout
-from retentia.operators.joins import fits_broadcast
+from retentia.operators.features import MAX_CATEGORIES, MISSING, in_holdout
 from retentia.operators.metrics import (
     class_weights, classification_metrics, regression_metrics, roc_auc,
 )
@@ -42,9 +41,14 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     of a SQL stage. Imputing by the mean scales the variance by the share of known values. An
     unknown category maps to all zeros.
     """
-    stats = train.agg(F.count("*").alias("rows"), *[
-        F.struct(F.avg(c).alias("m"), F.var_pop(c).alias("v"), F.count(c).alias("n")).alias(f"s_{c}")
-        for c in numeric]).head()
+    stats = train.agg(
+        F.count("*").alias("rows"),
+        *[F.struct(F.avg(c).alias("m"), F.var_pop(c).alias("v"), F.count(c).alias("n")).alias(f"s_{c}")
+          for c in numeric],
+        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in categorical]).head()
+    for c in categorical:
+        if stats[f"d_{c}"] > MAX_CATEGORIES:
+            raise ValueError(f"{c!r} has more than {MAX_CATEGORIES} values; it is not a category")
     parts = []
     for c in numeric:
         s = stats[f"s_{c}"]
@@ -54,9 +58,6 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     parts += [f"coalesce(cast(`{c}` AS string), '{MISSING}') AS `{c}__c`" for c in categorical]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
     if categorical:
-        for c in categorical:
-            if not fits_broadcast(train.select(c).distinct(), MAX_CATEGORIES):
-                raise ValueError(f"{c!r} has more than {MAX_CATEGORIES} values; it is not a category")
         index = [f"{c}__i" for c in categorical]
         stages += [
             StringIndexer(inputCols=[f"{c}__c" for c in categorical], outputCols=index,
@@ -108,7 +109,10 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
                       seed: int = SEED) -> list[dict]:
     """Fit, evaluate on the hold-out and save each classifier with its own preprocessing."""
     usable, _ = split_labelled(df, label)
-    train, test = holdout(usable, key, seed)
+    # the narrow frame is kept: statistics, encodings, weights and the hold-out all read it
+    kept = usable.select(key, "label", *numeric, *categorical).withColumn(
+        "_test", in_holdout(F.col(key), seed)).persist()
+    train, test = kept.filter(~F.col("_test")), kept.filter("_test")
     prep = fit_preprocessor(train, numeric, categorical)
     fit_rows = weighted(prep.transform(train).select("label", "features")).persist()
     test_rows = prep.transform(test).select("label", "features").persist()
@@ -129,8 +133,8 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
                             "metrics": {k: v for k, v in metrics.items() if v is not None},
                             "model_path": path})
     finally:
-        fit_rows.unpersist()
-        test_rows.unpersist()
+        for frame in (fit_rows, test_rows, kept):
+            frame.unpersist()
     return results
 
 
@@ -142,14 +146,14 @@ def train_regressors(df: DataFrame, key: str, targets: list[str], numeric: list[
     The typed frame is read once and kept; the independent fits are submitted side by side.
     """
     typed = df.select(key, *[safe_float(F.col(c)).alias(c) for c in dict.fromkeys([*numeric, *targets])],
-                      *categorical).persist()
+                      *categorical).withColumn("_test", in_holdout(F.col(key), seed)).persist()
     known = typed.agg(*[F.count(t).alias(t) for t in targets]).head()
 
     def fit(target: str) -> dict | None:
         if known[target] < MIN_REGRESSION_ROWS:
             return None
         rows = typed.filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
-        train, test = holdout(rows, key, seed)
+        train, test = rows.filter(~F.col("_test")), rows.filter("_test")
         prep = fit_preprocessor(train, [c for c in numeric if c != target], categorical)
         model = LinearRegression(labelCol="label").fit(prep.transform(train).select("label", "features"))
         path = f"{root}/{dataset}/lr/{target}"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retentia.functions.scalars import hash_bucket
 from retentia.operators import features, merge, metrics, quality, ranking
 from retentia.operators.anomaly import flag_lowest
 from retentia.operators.explain import contribution_array, long_contributions, recommendations, top_contributions
@@ -151,7 +150,7 @@ _BUCKET = "CAST('0x' || substr(md5(CAST({0} AS VARCHAR) || ':42'), 1, 8) AS BIGI
 @query("plain_split", f"SELECT c_custkey, {_BUCKET.format('c_custkey')} % 100 < 20 AS is_test FROM customer")
 def plain_split(spark, sf):
     return v.table(spark, sf, "customer").select(
-        "c_custkey", (hash_bucket(F.col("c_custkey"), 42) < 20).alias("is_test"))
+        "c_custkey", features.in_holdout(F.col("c_custkey")).alias("is_test"))
 
 
 @query("stratified_split", f"""

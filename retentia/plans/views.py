@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentia.schemas import MODEL_DETAIL
 
@@ -85,7 +86,7 @@ def registry(spark, sf) -> DataFrame:
             F.lit(kind).alias("type"), F.lit(target).alias("target"), F.lit(name).alias("model_name"),
             F.create_map(*pairs).alias("metrics"),
             F.concat(F.lit("models/"), F.col("o_orderkey").cast("string"), F.lit(f"/{target}_{name}"))
-            .alias("model_path")).cast(MODEL_DETAIL)
+            .alias("model_path"))
 
     fit = {"mse": price / 1000.0, "r2_score": 1.0 - price / 1000000.0}
     details = F.array(
@@ -95,7 +96,7 @@ def registry(spark, sf) -> DataFrame:
             "accuracy": F.when(F.col("o_orderstatus") != "P", 0.4 + price / 1000000.0)}),
         detail("regression", "attendance", "linear_regression", fit),
         detail("classification", "dropout", "gradient_boosting", {"accuracy": 0.45 + price / 1000000.0}))
-    empty = F.slice(details, 1, 0)
+    empty = F.array().cast(T.ArrayType(MODEL_DETAIL))
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("_id"),
         F.concat(F.lit("dataset_"), F.col("o_custkey").cast("string")).alias("dataset"),

@@ -128,8 +128,8 @@ def test_regressors_skip_short_targets(spark):
 
 def points(spark):
     normal = spark.range(950).select("id", F.randn(1).alias("a"), F.randn(2).alias("b"))
-    return normal.unionByName(spark.range(950, 960).select("id", F.lit(12.0).alias("a"), (F.lit(-9.0) - F.col("id") / 1000).alias("b"))).localCheckpoint() \
-        if False else normal.unionByName(spark.range(950, 960).select("id", F.lit(12.0).alias("a"), (F.lit(-9.0) - F.col("id") / 1000).alias("b")))
+    far = spark.range(950, 960).select("id", F.lit(12.0).alias("a"), (F.lit(-9.0) - F.col("id") / 1000).alias("b"))
+    return normal.unionByName(far)
 
 
 def test_isolation_forest_flags_planted_rows(spark):
