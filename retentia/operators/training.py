@@ -77,6 +77,15 @@ def feature_names(transformed: DataFrame) -> list[str]:
     return [a["name"].replace("__z", "").replace("__o_", "_") for a in attrs]
 
 
+def save_and_reload(stages: list, path: str) -> PipelineModel:
+    """The model as later readers get it; evaluation uses the stored artefact.
+
+    A freshly fitted model also drags its training summary, and with it the session, into every task.
+    """
+    PipelineModel(stages).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def class_one_probability() -> Column:
     return vector_to_array("probability")[1]
 
@@ -123,8 +132,8 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
                 continue
             model = estimator.fit(fit_rows)
             path = f"{root}/{dataset}/{name}/{label}_{name}"
-            PipelineModel([*prep.stages, model]).write().overwrite().save(path)
-            scored = model.transform(test_rows).select(
+            saved = save_and_reload([*prep.stages, model], path)
+            scored = saved.stages[-1].transform(test_rows).select(
                 "label", "prediction", class_one_probability().alias("p")).persist()
             metrics = classification_metrics(scored).head().asDict()
             metrics["roc_auc"] = roc_auc(scored, score="p").head()["roc_auc"]
@@ -157,8 +166,7 @@ def train_regressors(df: DataFrame, key: str, targets: list[str], numeric: list[
         prep = fit_preprocessor(train, [c for c in numeric if c != target], categorical)
         model = LinearRegression(labelCol="label").fit(prep.transform(train).select("label", "features"))
         path = f"{root}/{dataset}/lr/{target}"
-        PipelineModel([*prep.stages, model]).write().overwrite().save(path)
-        scored = model.transform(prep.transform(test)).select("label", "prediction")
+        scored = save_and_reload([*prep.stages, model], path).transform(test).select("label", "prediction")
         metrics = regression_metrics(scored).head().asDict()
         return {"type": "regression", "target": target, "model_name": "linear_regression",
                 "metrics": {k: v for k, v in metrics.items() if v is not None}, "model_path": path}
