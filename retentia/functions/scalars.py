@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- fixed values ------------------------------------------------------------------------------
 UPDATE_DATE_FORMAT = "MM/dd/yyyy HH:mm"
@@ -55,6 +56,12 @@ def safe_float(c: Column) -> Column:
     return F.when(text.rlike(_NUMBER), strip(text).try_cast("double"))
 
 
+def number_column(df: DataFrame, name: str) -> Column:
+    """A column as double: numbers are cast, text is parsed safely."""
+    numeric = isinstance(df.schema[name].dataType, T.NumericType)
+    return (F.col(name).cast("double") if numeric else safe_float(F.col(name))).alias(name)
+
+
 def safe_int(c: Column) -> Column:
     text = c.cast("string")
     return F.when(text.rlike(_INTEGER), strip(text).try_cast("int"))

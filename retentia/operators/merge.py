@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.scalars import UPDATE_DATE_FORMAT, parse_update_date
+from retentia.operators.joins import lookup_join
 
 _UNORDERED = ("map", "variant")
 
@@ -78,7 +79,7 @@ def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFram
 def update_matching(df: DataFrame, keys: DataFrame, on: list[str], **values: Column) -> DataFrame:
     """Set columns on rows whose key appears in ``keys`` (e.g. a set of verified addresses)."""
     marks = keys.select(*on).distinct().withColumn("_hit", F.lit(True))
-    out = df.join(marks, on, "left")
+    out = lookup_join(df, marks, on, "left")
     return update_where(out, F.col("_hit"), **values).select(*df.columns)
 
 
@@ -88,4 +89,4 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def delete_matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(keys.select(*on).distinct(), on, "left_anti")
+    return lookup_join(df, keys.select(*on).distinct(), on, "left_anti")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.scalars import display_name, title_case
-from retentia.operators.joins import lookup_join
 from retentia.operators.selection import any_element
 from retentia.operators.shaping import unwind
 
@@ -56,7 +55,11 @@ def runs_with_model(models: DataFrame, model_path: str) -> DataFrame:
 
 
 def resolve_models(paths: DataFrame, models: DataFrame) -> DataFrame:
-    """Owning run and dataset of each requested ``model_path``; the registry may be the large side."""
+    """Owning run and dataset of each requested ``model_path``.
+
+    A path names one stored model, so neither side repeats a key and a plain join cannot be skewed;
+    Spark broadcasts the requested paths when their size allows it.
+    """
     owners = unwind(models, "details", "d").select(
         F.col("d.model_path").alias("model_path"), "_id", "dataset", "is_paid")
-    return lookup_join(owners, paths.select("model_path").distinct(), ["model_path"])
+    return owners.join(paths.select("model_path").distinct(), "model_path")

@@ -13,7 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.functions.scalars import label_map, safe_float
+from retentia.functions.scalars import label_map, number_column
 from retentia.operators.features import MAX_CATEGORIES, MISSING, in_holdout
 from retentia.operators.metrics import (
     class_weights, classification_metrics, regression_metrics, roc_auc,
@@ -154,7 +154,7 @@ def train_regressors(df: DataFrame, key: str, targets: list[str], numeric: list[
 
     The typed frame is read once and kept; the independent fits are submitted side by side.
     """
-    typed = df.select(key, *[safe_float(F.col(c)).alias(c) for c in dict.fromkeys([*numeric, *targets])],
+    typed = df.select(key, *[number_column(df, c) for c in dict.fromkeys([*numeric, *targets])],
                       *categorical).withColumn("_test", in_holdout(F.col(key), seed)).persist()
     known = typed.agg(*[F.count(t).alias(t) for t in targets]).head()
 

@@ -79,6 +79,20 @@ def test_salted_lookup_equals_plain_join(spark, how):
     assert rows(joins.lookup_join(big, small, ["k"], how)) == rows(big.join(small, ["k"], how))
 
 
+def test_equal_rows_of_a_hot_key_spread(spark):
+    big = spark.range(8000, numPartitions=8).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    small = spark.range(40).select(F.col("id").cast("int").alias("k"), F.spark_partition_id().alias("w"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.lookup_join(big, small, ["k"], max_rows=5)
+        tasks = joined.groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["n"] for r in tasks) == 8000 and len(tasks) >= 3
+
+
 def test_lookup_refuses_outer_joins(spark):
     with pytest.raises(ValueError):
         joins.lookup_join(spark.range(1), spark.range(1), ["id"], "full_outer")
