@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from retentia.functions.scalars import hash_bucket, str_to_bool
 from retentia.operators.joins import fits_broadcast
-from retentia.operators.ranking import accumulate
 from retentia.operators.shaping import add_missing
 from retentia.schemas import BOOLEAN_FEATURES, CATEGORICAL_FEATURES, LABEL, NUMERIC_FEATURES
 
@@ -97,17 +96,23 @@ def stratified_holdout(df: DataFrame, key: str, label: str, seed: int = 42,
                        share: float = 0.2) -> DataFrame:
     """Add ``is_test``: per class exactly the ``round(share * rows)`` rows with the smallest hashes.
 
-    Hashes are spread evenly, so equal slices of their range hold like numbers of rows; running
-    totals per class and slice find the cut-off hash of each class. Not even a two-class label
-    gathers a class in one task.
+    Rows are counted per class and slice of the hash range, which leaves one edge slice per class;
+    only the rows of the edge slices are counted per hash to find the cut-off. No class is gathered
+    in one task and the rows themselves are never shuffled.
     """
-    hashed = df.withColumn("_h", hash_bucket(F.col(key), seed, HASHES))
-    counts = hashed.groupBy(label, "_h").agg(F.count("*").alias("n")).withColumn(
-        "_range", F.floor(F.col("_h") / (HASHES // SLICES)))
-    ranked = accumulate(counts.filter(F.col(label).isNotNull()), "_h", ["n"], (label,))
-    quotas = df.groupBy(label).agg(F.round(F.count("*") * share).alias("_quota"))  # one row per class
-    cuts = ranked.join(F.broadcast(quotas), label).filter(F.col("n_before") < F.col("_quota")).groupBy(
-        label).agg(F.max("_h").alias("_cut"))
+    hashed = df.withColumn("_h", hash_bucket(F.col(key), seed, HASHES)).withColumn(
+        "_slice", F.floor(F.col("_h") / (HASHES // SLICES)))
+    ordered = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = hashed.groupBy(label, "_slice").agg(F.count("*").alias("n")).withColumns({
+        "_before": F.coalesce(F.sum("n").over(ordered), F.lit(0)),
+        "_quota": F.round(F.sum("n").over(Window.partitionBy(label)) * share)})
+    edge = slices.filter((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("n"))
+                         ).select(label, "_slice", "_before", "_quota")  # one row per class
+    fine = hashed.select(label, "_slice", "_h").join(F.broadcast(edge), [label, "_slice"]).groupBy(
+        label, "_h", "_before", "_quota").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy(label).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = fine.withColumn("_at", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).filter(
+        F.col("_at") < F.col("_quota")).groupBy(label).agg(F.max("_h").alias("_cut"))
     return hashed.join(F.broadcast(cuts), label, "left").withColumn(
         "is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).select(*df.columns, "is_test")
 

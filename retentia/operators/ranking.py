@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,18 @@ from retentia.session import checkpointed
 RANGES = 256
 
 
+def _splits(values: DataFrame, by: str, ranges: int) -> list[float]:
+    """Bounds of about ``ranges`` ranges that hold like numbers of rows."""
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(values.approxQuantile(by, probs, 0.25 / ranges)))
+    return [float("-inf"), *(cuts or [0.0]), float("inf")]
+
+
+def _with_range(values: DataFrame, by: str, splits: list[float]) -> DataFrame:
+    return Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
+        values.withColumn("_v", F.col(by).cast("double"))).drop("_v")
+
+
 def running_totals(values: DataFrame, by: str, measures: list[str], ranges: int = RANGES) -> DataFrame:
     """Add ``<measure>_before``: the total over all rows with a smaller ``by``.
 
@@ -20,12 +34,7 @@ def running_totals(values: DataFrame, by: str, measures: list[str], ranges: int
     range totals are accumulated and broadcast back, and the fine accumulation runs per range.
     The result is exact wherever the cuts fall.
     """
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(values.approxQuantile(by, probs, 0.25 / ranges)))
-    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
-        values.withColumn("_v", F.col(by).cast("double"))).drop("_v")
-    return accumulate(ranged, by, measures)
+    return accumulate(_with_range(values, by, _splits(values, by, ranges)), by, measures)
 
 
 def accumulate(ranged: DataFrame, by: str, measures: list[str], groups: tuple[str, ...] = ()) -> DataFrame:
@@ -41,27 +50,42 @@ def accumulate(ranged: DataFrame, by: str, measures: list[str], groups: tuple[st
           for m in measures])
 
 
-def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their row count ``n`` and the rows below them ``n_before``."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
-        F.count("*").alias("n"))
-    return running_totals(counts, "value", ["n"])
-
-
 def exact_quantile(df: DataFrame, column: str, p: float) -> DataFrame:
     """One row ``q``: the interpolated quantile over all rows; null when there is none.
 
-    ``percentile`` would hold every distinct value in one task; here two ranked rows reach it.
+    ``percentile`` would hold every distinct value in one task. Here the rows are counted per range
+    of values, and only the range (or two) around the wanted rank is read again, by a predicate the
+    scan can use, and ranked. The driver sees one count per range.
     """
-    total = df.agg(F.count(column)).scalar()
-    at = (total - 1) * F.lit(float(p))
-    low, high = F.floor(at), F.ceil(at)
-    covers = lambda rank: (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-    ranks = value_ranks(df, column).withColumns({"_low": low, "_high": high, "_at": at})
-    ends = ranks.filter(covers(F.col("_low")) | covers(F.col("_high"))).agg(
-        F.min("value").alias("a"), F.max("value").alias("b"),
-        F.max(F.col("_at") - F.col("_low")).alias("f"))
-    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("q"))
+    spark = df.sparkSession
+    values = df.select(F.col(column).cast("double").alias("value")).filter(
+        F.col("value").isNotNull() & ~F.isnan("value"))
+    splits = _splits(values, "value", RANGES)
+    per_range = {int(r["_range"]): r["n"] for r in _with_range(values, "value", splits).groupBy(
+        "_range").agg(F.count("*").alias("n")).collect()}
+    total = sum(per_range.values())
+    if not total:
+        return spark.range(1).select(F.lit(None).cast("double").alias("q"))
+    at = (total - 1) * p
+    low, high = math.floor(at), math.ceil(at)
+    below, start, first, last = 0, 0, None, None
+    for i in sorted(per_range):
+        if first is None and low < below + per_range[i]:
+            first, start = i, below
+        if high < below + per_range[i]:
+            last = i
+            break
+        below += per_range[i]
+    near = values.filter((F.col("value") >= splits[first]) & (F.col("value") <= splits[last + 1]))
+    # the upper bound may let in values of the next range; they rank behind and are never picked
+    counts = near.groupBy("value").agg(F.count("*").alias("n"))
+    ranks = running_totals(counts, "value", ["n"]).withColumn("n_before", F.col("n_before") + start)
+
+    def holds(rank: int):
+        return (F.col("n_before") <= rank) & (F.col("n_before") + F.col("n") > rank)
+
+    ends = ranks.filter(holds(low) | holds(high)).agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(at - low)).alias("q"))
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:

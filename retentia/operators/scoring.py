@@ -7,18 +7,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.scalars import age_years
-from retentia.operators.explain import linear_contributions, recommendations, tree_contributions
-from retentia.operators.explain import ensemble_leaves
+from retentia.operators.explain import (
+    ensemble_leaves, linear_contributions, recommendations, tree_contributions,
+)
 from retentia.operators.selection import with_features
 from retentia.operators.training import class_one_probability, feature_names
 
 
-def scoring_frame(students: DataFrame, key: str, as_of: Column) -> DataFrame:
-    """Entities with features as flat rows; the age follows from the birth date when there is one."""
-    flat = with_features(students).select(key, "dateOfBirth", "ml_features.*")
-    age = age_years(F.col("dateOfBirth"), as_of)
+def _with_age(flat: DataFrame, born: str, as_of: Column) -> DataFrame:
+    """The age follows from the birth date when there is one."""
     known = F.col("age") if "age" in flat.columns else F.lit(None)
-    return flat.withColumn("age", F.coalesce(age, known).cast("double")).drop("dateOfBirth")
+    return flat.withColumn("age", F.coalesce(age_years(F.col(born), as_of), known).cast("double")).drop(born)
+
+
+def scoring_frame(students: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """Entities with features as flat rows with their age."""
+    return _with_age(with_features(students).select(key, "dateOfBirth", "ml_features.*"), "dateOfBirth", as_of)
 
 
 def fill_missing(df: DataFrame, regressors: dict[str, PipelineModel]) -> DataFrame:
@@ -46,34 +50,46 @@ def score(df: DataFrame, model: PipelineModel, key: str) -> DataFrame:
         class_one_probability().alias("prediction_probability"))
 
 
+def _advice(rows: DataFrame, model: PipelineModel) -> Column:
+    """Advice from exact linear contributions; standardised numbers average 0."""
+    names = feature_names(rows)
+    return recommendations(linear_contributions(names, list(model.stages[-1].coefficients), [0.0] * len(names)))
+
+
+def _prediction(p: Column, advice: Column, model_name: str, at: Column) -> Column:
+    return F.struct(
+        F.col("prediction").cast("int").alias("class"), p.alias("probability"),
+        advice.alias("recommendations"), F.lit(model_name).alias("model_used"),
+        at.cast("timestamp").alias("timestamp")).alias("prediction")
+
+
 def score_linear(df: DataFrame, model: PipelineModel, key: str, model_name: str, at: Column) -> DataFrame:
-    """Prediction struct with advice from exact linear contributions; one narrow pass."""
+    """(key, prediction struct with advice); one narrow pass."""
     rows = model.transform(df)
-    lr = model.stages[-1]
-    names = feature_names(rows)
-    # standardised numbers average 0; a category column's share is part of the base value
-    told = linear_contributions(names, list(lr.coefficients), [0.0] * len(names))
-    return rows.select(key, _prediction(recommendations(told), model_name, at))
+    return rows.select(key, _prediction(class_one_probability(), _advice(rows, model), model_name, at))
+
+
+def score_students(students: DataFrame, model: PipelineModel, model_name: str, at: Column) -> DataFrame:
+    """Every entity, those with features with a new prediction; no join and no shuffle."""
+    columns = [c for c in students.columns if c != "prediction"]
+    whole = students.filter(F.col("ml_features").isNotNull()).select(
+        F.struct(*columns).alias("_row"), F.col("dateOfBirth").alias("_born"), "ml_features.*")
+    rows = model.transform(_with_age(whole, "_born", at))
+    scored = rows.select("_row.*", _prediction(class_one_probability(), _advice(rows, model), model_name, at))
+    rest = students.filter(F.col("ml_features").isNull())
+    return scored.unionByName(rest, allowMissingColumns=True)
 
 
 def score_trees(df: DataFrame, model: PipelineModel, saved_path: str, key: str, model_name: str,
                 at: Column) -> DataFrame:
-    """Prediction struct with advice from tree contributions; the key must be unique."""
+    """(key, prediction struct with advice from tree contributions); one narrow pass."""
     rows = model.transform(df)
     stage = model.stages[-1]
-    forest = "Forest" in type(stage).__name__
     leaves = ensemble_leaves(df.sparkSession, f"{saved_path}/stages/{len(model.stages) - 1}_{stage.uid}",
-                             list(stage.treeWeights), forest)
-    told = tree_contributions(rows, key, leaves, feature_names(rows))
-    return rows.join(told, key).select(key, _prediction(recommendations(F.col("contributions")),
-                                                        model_name, at))
-
-
-def _prediction(advice: Column, model_name: str, at: Column) -> Column:
-    return F.struct(
-        F.col("prediction").cast("int").alias("class"), class_one_probability().alias("probability"),
-        advice.alias("recommendations"), F.lit(model_name).alias("model_used"),
-        at.cast("timestamp").alias("timestamp")).alias("prediction")
+                             list(stage.treeWeights), "Forest" in type(stage).__name__)
+    told = tree_contributions(rows.withColumn("_p", class_one_probability()), key, leaves,
+                              feature_names(rows), carry=("prediction", "_p"))
+    return told.select(key, _prediction(F.col("_p"), recommendations(F.col("contributions")), model_name, at))
 
 
 def with_predictions(students: DataFrame, scored: DataFrame, key: str) -> DataFrame:

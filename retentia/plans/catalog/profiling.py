@@ -36,7 +36,7 @@ def _catalog_sql(table: str, columns: list[str]) -> str:
 @query("field_catalog", _catalog_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
        + " UNION ALL " + _catalog_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
 def field_catalog(spark, sf):
-    return quality.field_catalog({t: v.table(spark, sf, t) for t in ("orders", "customer")})
+    return quality.field_catalog({t: v.table(spark, sf, t) for t in ("orders", "customer")}, exact=True)
 
 
 _HEADERS = """headers AS (

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from retentia.functions.scalars import UPDATE_DATE_FORMAT, date_text, parse_update_date
 from retentia.operators import merge
+from retentia.operators.quality import header_fingerprint, schema_fingerprints
 from retentia.plans import views as v
 from retentia.plans.catalog.base import query
+from retentia.plans.jobs import store_delivery as store_new
 from retentia.session import scratch_path
 from retentia.sources import files, tables
 from retentia.streaming import incremental
 
-_DOC_SCHEMA = "doc_id long, lang string, source string, n_chars long"
-
 
 @query("csv_roundtrip", "SELECT doc_id, lang, source, n_chars FROM documents")
 def csv_roundtrip(spark, sf):
@@ -80,7 +80,19 @@ def versioned_merge(spark, sf):
     return tables.current(spark, root).select("c_custkey", "c_acctbal")
 
 
-@query("file_pick")
+@query("store_delivery", """
+SELECT DISTINCT lang, source, n_chars FROM documents
+""")
+def store_delivery(spark, sf):
+    """Deliveries with one header merged without exact duplicates, each merge a new version."""
+    root = scratch_path(spark, "deliveries")
+    docs = v.table(spark, sf, "documents").select("lang", "source", "n_chars")
+    store_new(docs.filter(F.col("lang") != "fr"), root)
+    store_new(docs.filter(F.col("n_chars") > 0), root)
+    return tables.current(spark, f"{root}/{header_fingerprint(docs)}")
+
+
+@query("file_pick", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en'")
 def file_pick(spark, sf):
     """The newest data file of a landing folder, then its rows."""
     landing = scratch_path(spark, "landing")
@@ -101,8 +113,6 @@ SELECT sha256('doc_id,lang') AS fingerprint UNION ALL SELECT sha256('doc_id,lang
 """)
 def delivered_headers(spark, sf):
     """Fingerprints of the headers of all delivered CSV files."""
-    from retentia.operators.quality import schema_fingerprints
-
     landing = scratch_path(spark, "headers")
     docs = v.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     docs.coalesce(1).write.option("header", True).csv(f"{landing}/full")

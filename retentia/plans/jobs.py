@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from retentia.operators import anomaly, ingest, merge, reports, scoring
 from retentia.operators.training import registry_row, train_classifiers, train_regressors
 from retentia.schemas import CATEGORICAL_FEATURES, ENTITY_ID, LABEL, NUMERIC_FEATURES, REGRESSION_TARGETS
-from retentia.operators.quality import require_columns
+from retentia.operators.quality import header_fingerprint, require_columns
 from retentia.operators.shaping import rename_columns
 from retentia.sources import files, tables
 
@@ -26,8 +26,6 @@ def merge_job(spark: SparkSession, new_path: str, root: str, schema) -> str:
 
 def store_delivery(new: DataFrame, root: str) -> str:
     """Store a delivery: exact-duplicate merge into the dataset with the same header, or a new one."""
-    from retentia.operators.quality import header_fingerprint
-
     home = f"{root}/{header_fingerprint(new)}"
     old = tables.current(new.sparkSession, home)
     if old is None:
@@ -49,11 +47,9 @@ def upload_and_train(df: DataFrame, key: str = ENTITY_ID, label: str = LABEL,
     return df.sparkSession.read.parquet(f"{root}/trained_models").filter(F.col("dataset") == dataset)
 
 
-def score_population(students: DataFrame, model, key: str, model_name: str, as_of) -> DataFrame:
-    """Score every entity with features and write the predictions back as a column."""
-    at = F.lit(as_of).cast("timestamp")
-    rows = scoring.scoring_frame(students, key, at)
-    return scoring.with_predictions(students, scoring.score_linear(rows, model, key, model_name, at), key)
+def score_population(students: DataFrame, model, model_name: str, as_of) -> DataFrame:
+    """The whole entity table with new predictions by a linear model."""
+    return scoring.score_students(students, model, model_name, F.lit(as_of).cast("timestamp"))
 
 
 def ingest_job(spark: SparkSession, upload: DataFrame, root: str, as_of) -> tuple[str, DataFrame]:

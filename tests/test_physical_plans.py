@@ -9,7 +9,7 @@ import __spark_entry__ as entry_point
 
 QUERIES = entry_point.queries()
 WRITERS = {"csv_roundtrip", "json_roundtrip", "append_partitioned", "store_dataset", "store_tagged", "versioned_merge",
-           "file_pick", "file_listing", "delivered_headers", "incremental_ingest"}
+           "file_pick", "file_listing", "store_delivery", "delivered_headers", "incremental_ingest"}
 FITTED = {"train_classifiers", "train_regressors", "train_all", "score_all", "score_write_back", "fill_missing",
           "tree_contributions", "isolation_forest_file", "isolation_forest_table"}
 

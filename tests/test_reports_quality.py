@@ -121,3 +121,11 @@ def test_extreme_feature(spark):
                                "id int, a double, b double, is_anomaly int")
     got = {r["id"]: r["extreme"] for r in anomaly.explain_flagged(df, ["a", "b"]).collect()}
     assert tuple(got[99]) == ("a", 100.0, "Unusually high") and tuple(got[98]) == ("b", -30.0, "Unusually low")
+
+
+def test_field_catalog_estimate_is_close(spark):
+    df = spark.range(20000).select((F.col("id") % 3000).alias("a"), F.when(F.col("id") % 2 == 0, "x").alias("b"))
+    exact = {r["field"]: r for r in quality.field_catalog({"t": df}, exact=True).collect()}
+    near = {r["field"]: r for r in quality.field_catalog({"t": df}).collect()}
+    assert exact["a"]["distinct_values"] == 3000 and exact["b"]["filled"] == near["b"]["filled"] == 10000
+    assert abs(near["a"]["distinct_values"] - 3000) < 200 and near["b"]["distinct_values"] == 1

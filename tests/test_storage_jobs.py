@@ -129,6 +129,9 @@ def test_upload_scores_and_writes_back(spark):
     students = up.select(
         F.col("student_id").alias("studentID"), F.lit("2003-05-10").cast("timestamp").alias("dateOfBirth"),
         F.when(F.col("student_id") != "7", F.struct(*[c for c in NUMERIC_FEATURES if c != "age"], *CATEGORICAL_FEATURES)).alias("ml_features"))
-    out = jobs.score_population(students, PipelineModel.load(path), "studentID", "d", "2024-05-10")
+    out = jobs.score_population(students, PipelineModel.load(path), "d", "2024-05-10")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 300 and out.filter("prediction is null").count() == 1
     assert out.filter("studentID = '1'").head()["prediction"]["recommendations"]
+    again = jobs.score_population(out, PipelineModel.load(path), "e", "2024-05-11")
+    assert again.filter("prediction.model_used = 'e'").count() == 299
