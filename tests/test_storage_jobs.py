@@ -1,5 +1,7 @@
 """Files, versions, streaming and whole jobs."""
 
+import contextlib
+import io
 import os
 import time
 
@@ -130,7 +132,10 @@ def test_upload_scores_and_writes_back(spark):
         F.col("student_id").alias("studentID"), F.lit("2003-05-10").cast("timestamp").alias("dateOfBirth"),
         F.when(F.col("student_id") != "7", F.struct(*[c for c in NUMERIC_FEATURES if c != "age"], *CATEGORICAL_FEATURES)).alias("ml_features"))
     out = jobs.score_population(students, PipelineModel.load(path), "d", "2024-05-10")
-    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        out.explain()
+    assert "Scan" in text.getvalue() and "Exchange" not in text.getvalue()
     assert out.count() == 300 and out.filter("prediction is null").count() == 1
     assert out.filter("studentID = '1'").head()["prediction"]["recommendations"]
     again = jobs.score_population(out, PipelineModel.load(path), "e", "2024-05-11")
