@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import mixing, sharding, tokens, topk
+from retentia.llm import decontamination, jaccard, mixing, sharding, substrings, tokens, topk, toxicity
 from retentia.llm.common import checkpointed, table
 
 QUERIES = {}
@@ -48,12 +48,45 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.components(docs, "doc_id", "text", size=3, percent=90)
+
+
+@query
+def op7_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.benchmark_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), "vec_id", "embedding", k=5)
 
 
+@query
+def op9_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.repeated(docs, "doc_id", "text", window=20).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def may_train(key: str):
+    """Rows whose labels may be learnt from; the others are held out."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2
+
+
+@query
+def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), may_train("doc_id"))
+    scored = docs.withColumn("score", toxicity.score(model)("text"))
+    return scored.select("doc_id", F.coalesce(~may_train("doc_id"), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 ORACLES["op8_pivot_top_k"] = """
 WITH v AS (
     SELECT vec_id, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS q, len(embedding) AS dim
