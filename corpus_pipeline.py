@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import mixing, sharding
-from retentia.llm.common import stored, table
+from retentia.llm import decontamination, jaccard, mixing, sharding, toxicity
+from retentia.llm.common import name_beside, stored, table
+from retentia.llm.queries import may_train
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the score at which toxic text is rejected; texts without words score as clean."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), may_train("doc_id"))
+    score = name_beside(docs, "score")
+    return docs.withColumn(score, toxicity.score(model)("text")).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard.one_of_each(docs, "doc_id", "text", size=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +38,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(docs, sharding.document_dimensions(), [F.col("doc_id")])
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [("toxicity", drop_toxic), ("near_copies", one_of_near_copies), ("decontamination", without_benchmark),
+          ("mix", mix), ("shard", shard)]
 
 #: Several stages cannot be put in SQL; tests hold them against brute force.
 ORACLE_SQL = None

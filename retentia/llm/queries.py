@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import decontamination, jaccard, mixing, sharding, substrings, tokens, topk, toxicity
+from retentia.llm import decontamination, jaccard, mixing, secrets, sharding, substrings, surrogates, tokens, topk, toxicity
 from retentia.llm.common import checkpointed, table
 
 QUERIES = {}
@@ -37,6 +37,13 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "stream", "share", "cycle", "block", "epoch", "slot", "position")
 
 
+@query
+def op3_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    secret = spark.conf.get("retentia.surrogate.secret", "set retentia.surrogate.secret")
+    return surrogates.pseudonymised(docs, "text", secret).withColumn("n_entities", F.size("entities"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -48,6 +55,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs, "text", F.col("source"))
+    # the digest names a candidate without showing it
+    return found.select("doc_id", "place", F.sha2("candidate", 256).alias("candidate_sha256"), "probability",
+                        "is_secret")
+
+
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
