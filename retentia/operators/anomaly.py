@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.functions.scalars import hash_bucket
-from retentia.operators.features import dummies, impute_medians
+from retentia.operators.features import dummies
 from retentia.operators.ranking import category_codes, exact_medians, exact_quantile
 from retentia.schemas import ANOMALY_CODED, ANOMALY_NUMERIC
 from retentia.session import checkpointed
@@ -41,23 +40,23 @@ def draw_samples(df: DataFrame, key: str, features: list[str], trees: int = TREE
                  sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, int]:
     """(rows of each tree's sample, rows per tree).
 
-    One hash keeps a pool of about ``2 * trees * sample`` rows whatever the table size; each tree
-    then takes the ``sample`` pool rows with its smallest hashes. Both steps depend on the key only.
+    Every row takes part in the draw of every tree, by a hash of its key, its features and the tree; a tree keeps
+    its ``sample`` smallest hashes. Only hashes below about twice the wanted share become rows, whatever the table
+    size. Rows equal in key and features are drawn together.
     """
     total = df.count()
     per_tree = min(sample, total)
-    pool_size = 2 * trees * sample
-    pool = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    if total > pool_size:
-        pool = pool.filter(hash_bucket(F.col(key), seed, _BUCKETS) < int(_BUCKETS * pool_size / total))
-    # draw about twice what is needed before ranking, so that few pool rows are copied per tree
-    chance = min(1.0, 2.0 * per_tree / max(min(total, pool_size), 1) + 0.01)
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_h", F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(_BUCKETS)))
+    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    chance = min(1.0, 2.0 * per_tree / max(total, 1) + 16.0 / max(total, 1))
+    drawn = F.filter(F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.pmod(F.xxhash64(F.col(key), F.col("x"), t, F.lit(seed)), F.lit(_BUCKETS)).alias("h"))),
+        lambda d: d["h"] < int(_BUCKETS * chance))
+    dealt = rows.withColumn("_d", F.explode(drawn)).select(key, "x", "_d.tree", F.col("_d.h").alias("_h"))
     # trees are small but slow to grow: spread them although their bytes would fit one task
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
-    dealt = dealt.filter(F.col("_h") < int(_BUCKETS * chance)).repartition(tasks, "tree")
-    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", key)))
+    ranked = dealt.repartition(tasks, "tree").withColumn(
+        "_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", key)))
     return ranked.filter(F.col("_r") <= per_tree).select("tree", "x"), per_tree
 
 
@@ -101,9 +100,8 @@ def fit_forest(df: DataFrame, key: str, features: list[str], trees: int = TREES,
     return samples.groupBy("tree").applyInPandas(grow, _NODES).toPandas(), per_tree
 
 
-def anomaly_scores(df: DataFrame, key: str, features: list[str], nodes: pd.DataFrame,
-                   per_tree: int) -> DataFrame:
-    """(key, raw_score): minus 2 to the power of the relative mean path; lower is stranger."""
+def raw_score(df: DataFrame, features: Column, nodes: pd.DataFrame, per_tree: int) -> Column:
+    """Minus 2 to the power of the relative mean path of an array of features; lower is stranger."""
     forest = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
         forest.append((t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(),
@@ -111,13 +109,14 @@ def anomaly_scores(df: DataFrame, key: str, features: list[str], nodes: pd.DataF
                        int(t["depth"].max())))
     shared = df.sparkSession.sparkContext.broadcast(forest)
     scale = float(average_path(per_tree)) or 1.0
-    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             if not len(batch):
+                yield pd.Series([], dtype="float64")
                 continue
-            x = np.vstack(batch["x"].to_numpy())
+            x = np.vstack(batch.to_numpy())
             every = np.arange(len(x))
             total = np.zeros(len(x))
             for feature, cut, left, right, length, depth in shared.value:
@@ -127,11 +126,9 @@ def anomaly_scores(df: DataFrame, key: str, features: list[str], nodes: pd.DataF
                     down = np.where(x[every, f] <= cut[at], left[at], right[at])
                     at = np.where(f < 0, at, down)
                 total += length[at]
-            yield pd.DataFrame({key: batch[key],
-                                "raw_score": -np.exp2(-total / len(shared.value) / scale)})
+            yield pd.Series(-np.exp2(-total / max(len(shared.value), 1) / scale))
 
-    key_type = df.schema[key].dataType.simpleString()
-    return rows.mapInPandas(walk, f"`{key}` {key_type}, raw_score double")
+    return walk(features)
 
 
 def flag_lowest(scored: DataFrame, raw: str = "raw_score", share: float = CONTAMINATION) -> DataFrame:
@@ -176,23 +173,32 @@ def choose_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df, numeric + [f"{c}_code" for c in coded]
 
 
-def _fill_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).head()
+def _filled(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Each feature with its gaps, null or NaN, filled by its median (0 without any value)."""
+    known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    holes = df.agg(*[F.count_if(k.isNull()).alias(c) for c, k in known.items()]).head()
     gaps = [c for c in columns if holes[c]]
-    return impute_medians(df, gaps, exact_medians(df, gaps)) if gaps else df
+    medians = {r["feature"]: r["median"] for r in exact_medians(df, gaps).collect()} if gaps else {}
+    return {c: F.coalesce(k, F.lit(medians.get(c) or 0.0)) if c in gaps else k for c, k in known.items()}
 
 
 def detect(df: DataFrame, key: str, features: list[str], trees: int = TREES, sample: int = SAMPLE,
            share: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
-    """All rows with ``anomaly_score`` and ``is_anomaly``; gaps in features are filled by medians.
+    """All rows of ``df``, as they are, with ``anomaly_score`` and ``is_anomaly``.
 
-    The feature columns and the scores are each written once to the shared folder; every pass over
-    them reads two narrow tables and never repeats the work behind ``df``.
+    A score depends on the features alone, their gaps filled by medians, so no row is joined by its key: null and
+    repeated keys keep their rows. The features and the raw scores are each written once, narrow, to the shared folder.
     """
-    narrow = _fill_medians(checkpointed(df.select(key, *features)), features)
-    nodes, per_tree = fit_forest(narrow, key, features, trees, sample, seed)
-    scored = flag_lowest(checkpointed(anomaly_scores(narrow, key, features, nodes, per_tree)), share=share)
-    return df.drop(*features).join(narrow, key).join(scored.drop("raw_score"), key).select(
+    narrow = checkpointed(df.select(key, *features))
+    filled = _filled(narrow, features)
+    nodes, per_tree = fit_forest(narrow.withColumns(filled), key, features, trees, sample, seed)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("raw_score", raw_score(rows, F.array(*filled.values()), nodes, per_tree))
+
+    cut = exact_quantile(checkpointed(scored(narrow).select("raw_score")), "raw_score", share).head()["q"]
+    shifted = scored(df).withColumn("anomaly_score", F.col("raw_score") - F.lit(cut))
+    return shifted.withColumn("is_anomaly", F.when(F.col("anomaly_score") < 0, -1).otherwise(1)).select(
         *df.columns, "anomaly_score", "is_anomaly")
 
 

@@ -122,37 +122,63 @@ def _passes(x: np.ndarray, kind: str, test) -> np.ndarray:
     return np.isin(x, test) if kind == "in" else ~np.isin(x, test)
 
 
-def shapley_values(x: np.ndarray, leaves) -> np.ndarray:
+#: Rows that walk the trees together: a path of nodes holds a few arrays of this many rows.
+_ROWS_AT_ONCE = 2_000
+
+
+def shared_paths(leaves) -> tuple[list, int]:
+    """(the leaves as a tree ``[value, {step: subtree}]``, most different features on one path).
+
+    Leaves with the same first steps share them, so each is walked once.
+    """
+    root: list = [0.0, {}]
+    widest = 1
+    for value, steps in leaves:
+        node = root
+        for step in steps:
+            node = node[1].setdefault(step, [0.0, {}])
+        node[0] += value
+        widest = max(widest, len({s[0] for s in steps}))
+    return root, widest
+
+
+def shapley_values(x: np.ndarray, leaves=None, paths: tuple[list, int] | None = None) -> np.ndarray:
     """Shapley values of a batch of rows: each leaf is a game among the features on its path.
 
     A feature outside the coalition counts with its cover share, one inside with 0 or 1. The Shapley
     value averages over a coalition chance t between 0 and 1; for one leaf this is the integral of a
-    product of linear terms, for which a Gauss-Legendre rule of half as many points is exact.
+    product of linear terms, one per feature, for which a Gauss-Legendre rule of half as many points is exact.
+    The product is carried down the tree and the leaves' sums are carried up: a feature's share of all leaves
+    below a step is settled at the step, less what an earlier step on the same feature has settled, so every
+    step is paid once, not once per leaf.
     """
+    root, widest = paths or shared_paths(leaves)
+    points, weights = np.polynomial.legendre.leggauss((widest + 1) // 2)
+    t, weights = (points + 1) / 2, weights / 2
     phi = np.zeros(x.shape)
-    passes: dict[tuple, np.ndarray] = {}
-    for value, steps in leaves:
-        share: dict[int, float] = {}
-        inside: dict[int, np.ndarray] = {}
-        for feature, kind, test, cover in steps:
-            if len(passes) > 4096:
-                passes.clear()
-            step = (feature, kind, test)
-            ok = passes[step] if step in passes else passes.setdefault(step, _passes(x[:, feature], kind, test))
-            inside[feature] = inside[feature] & ok if feature in inside else ok
-            share[feature] = share.get(feature, 1.0) * cover
-        if not steps:
-            continue
-        path = list(share)
-        points, weights = np.polynomial.legendre.leggauss((len(path) + 1) // 2)
-        t = ((points + 1) / 2)[:, None]
-        z = np.array([share[j] for j in path])[:, None]
-        o = np.array([inside[j] for j in path], dtype=float)
-        terms = z[:, None] * (1 - t) + o[:, None] * t
-        one = np.ones_like(terms[:1])
-        before = np.cumprod(np.concatenate([one, terms[:-1]]), axis=0)
-        after = np.cumprod(np.concatenate([one, terms[:0:-1]]), axis=0)[::-1]
-        phi[:, path] += (value * (o - z) * np.einsum("q,mqr->mr", weights / 2, before * after)).T
+
+    def walk(node: list, rows: np.ndarray, out: np.ndarray, product: np.ndarray, before: dict) -> np.ndarray:
+        total = node[0] * product
+        for (feature, kind, test, cover), child in node[1].items():
+            last = before.get(feature)
+            share, inside = cover, _passes(rows[:, feature], kind, test).astype(float)
+            if last:
+                share, inside = share * last[0], inside * last[1]
+            term = np.maximum(share * (1 - t) + inside[:, None] * t, 1e-300)
+            slope = (inside - share)[:, None] / term
+            before[feature] = share, inside, term, slope
+            below = walk(child, rows, out, product * (term / last[2] if last else term), before)
+            if last:
+                before[feature] = last
+            else:
+                del before[feature]
+            out[:, feature] += (below * (slope - last[3] if last else slope)) @ weights
+            total = total + below
+        return total
+
+    for at in range(0, len(x), _ROWS_AT_ONCE):
+        rows = x[at:at + _ROWS_AT_ONCE]
+        walk(root, rows, phi[at:at + _ROWS_AT_ONCE], np.ones((len(rows), len(t))), {})
     return phi
 
 
@@ -160,16 +186,16 @@ def tree_contributions(df: DataFrame, key: str, leaves, names: list[str], featur
                        carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, contributions) for every row, with ``carry`` columns passed along.
 
-    One narrow pass in Arrow batches; the leaf table is broadcast once.
+    One narrow pass in Arrow batches; the paths, bounded by the model settings, are broadcast once.
     """
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(shared_paths(leaves))
     kept = [key, *carry]
     rows = df.select(*kept, vector_to_array(features).alias("x"))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                phi = shapley_values(np.vstack(batch["x"].to_numpy()), shared.value)
+                phi = shapley_values(np.vstack(batch["x"].to_numpy()), paths=shared.value)
                 yield batch[kept].assign(phi=list(phi))
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)

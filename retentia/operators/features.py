@@ -6,25 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.scalars import hash_bucket, str_to_bool
-from retentia.operators.joins import fits_broadcast
 from retentia.operators.shaping import add_missing
 from retentia.schemas import BOOLEAN_FEATURES, CATEGORICAL_FEATURES, LABEL, NUMERIC_FEATURES
 
 MISSING = "missing"
 HASHES, SLICES = 1 << 31, 1 << 10
-MAX_CATEGORIES = 1_000  # one column per category: ids and names do not belong in a feature list
+
+
+def known_number(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null: a number that is not one is a gap."""
+    c = F.col(column)
+    return F.when(~F.isnan(c), c) if df.schema[column].dataType.typeName() in ("double", "float") else c
 
 
 def numeric_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: a struct (mean, std over the whole population) per column."""
-    return df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
-                    for c in columns])
+    """One row: a struct (mean, std over the whole population) per column; NaN counts as a gap."""
+    return df.agg(*[F.struct(F.avg(known_number(df, c)).alias("mean"), F.stddev_pop(known_number(df, c)).alias("std"))
+                    .alias(c) for c in columns])
 
 
 def impute_means(df: DataFrame, columns: list[str]) -> DataFrame:
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
+    """Fill nulls and NaN by the column's mean."""
+    means = df.agg(F.struct(*[F.avg(known_number(df, c)).alias(c) for c in columns])).scalar()
     filled = df.withColumn("_means", means)
-    return filled.withColumns({c: F.coalesce(c, F.col("_means")[c]) for c in columns}).drop("_means")
+    return filled.withColumns({c: F.coalesce(known_number(df, c), F.col("_means")[c]) for c in columns}).drop("_means")
 
 
 def impute_medians(df: DataFrame, columns: list[str], medians: DataFrame) -> DataFrame:
@@ -40,32 +45,39 @@ def z_score(c: Column, mean: Column, std: Column) -> Column:
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean-impute and scale to zero mean and unit population deviation of the imputed column."""
-    filled = impute_means(df, columns)
-    stats = numeric_statistics(filled, columns).select(F.struct(*columns)).scalar()
-    return filled.withColumn("_s", stats).withColumns({
-        c: z_score(F.col(c), F.col("_s")[c]["mean"], F.col("_s")[c]["std"]) for c in columns}).drop("_s")
+    """Mean-impute and scale to zero mean and unit population deviation of the imputed column.
+
+    One aggregate serves both: imputing by the mean scales the variance by the share of known values.
+    """
+    known = {c: known_number(df, c) for c in columns}
+    stats = df.agg(F.struct(*[F.struct(
+        F.avg(k).alias("mean"), F.sqrt(F.var_pop(k) * F.count(k) / F.count("*")).alias("std")).alias(c)
+        for c, k in known.items()])).scalar()
+    return df.withColumn("_s", stats).withColumns({
+        c: z_score(F.coalesce(k, F.col("_s")[c]["mean"]), F.col("_s")[c]["mean"], F.col("_s")[c]["std"])
+        for c, k in known.items()}).drop("_s")
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Sorted non-null values of a category column, checked to be few."""
+def categories(df: DataFrame, column: str) -> list[str]:
+    """Sorted non-null values of a category column: the names of the columns to make, so they visit the driver."""
     values = df.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct()
-    if not fits_broadcast(values, limit):
-        raise ValueError(f"{column!r} has more than {limit} values; it is not a category")
     return sorted(r["v"] for r in values.collect())
 
 
-def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Null becomes 'missing'; one 0/1 column per known value, all zero for an unknown one."""
+def one_hot(df: DataFrame, columns: list[str], known: dict[str, list[str]] | None = None) -> DataFrame:
+    """Null becomes 'missing'; one 0/1 column per known value, all zero for an unknown one.
+
+    ``known`` declares the values of columns; those of the others are looked up, however many.
+    """
     out = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in columns})
-    known = {c: categories(out, c) for c in columns}
+    known = {c: (known or {}).get(c) or categories(out, c) for c in columns}
     return out.withColumns({f"{c}_{v}": (F.col(c) == v).cast("double")
                             for c in columns for v in known[c]}).drop(*columns)
 
 
-def dummies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One 0/1 column per value but the first sorted one; null gives zeros."""
-    known = {c: categories(df, c) for c in columns}
+def dummies(df: DataFrame, columns: list[str], known: dict[str, list[str]] | None = None) -> DataFrame:
+    """One 0/1 column per value but the first sorted one; null gives zeros. ``known`` as in ``one_hot``."""
+    known = {c: (known or {}).get(c) or categories(df, c) for c in columns}
     return df.withColumns({f"{c}_{v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0))
                            for c in columns for v in known[c][1:]}).drop(*columns)
 
@@ -82,8 +94,8 @@ def training_frame(students: DataFrame) -> DataFrame:
 
 
 def in_holdout(key: Column, seed: int = 42, percent: int = 20) -> Column:
-    """Whether a row belongs to the test share, by a stable hash of its key."""
-    return hash_bucket(key, seed) < percent
+    """Whether a row belongs to the test share, by a stable hash of its key; rows without a key train."""
+    return F.coalesce(hash_bucket(key, seed) < percent, F.lit(False))
 
 
 def holdout(df: DataFrame, key: str, seed: int = 42, percent: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -98,10 +110,13 @@ def stratified_holdout(df: DataFrame, key: str, label: str, seed: int = 42,
 
     Rows are counted per class and slice of the hash range, which leaves one edge slice per class;
     only the rows of the edge slices are counted per hash to find the cut-off. No class is gathered
-    in one task and the rows themselves are never shuffled.
+    in one task and the rows themselves are never shuffled. Null is a class like any other; rows whose
+    31-bit hashes are equal go to the same side.
     """
-    hashed = df.withColumn("_h", hash_bucket(F.col(key), seed, HASHES)).withColumn(
-        "_slice", F.floor(F.col("_h") / (HASHES // SLICES)))
+    # rows without a key hash last, so they train; a struct equals another one with a null in the same place
+    hashed = df.withColumn("_h", F.coalesce(hash_bucket(F.col(key), seed, HASHES), F.lit(HASHES - 1))).withColumn(
+        "_slice", F.floor(F.col("_h") / (HASHES // SLICES))).withColumn("_class", F.struct(F.col(label).alias("c")))
+    label = "_class"
     ordered = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = hashed.groupBy(label, "_slice").agg(F.count("*").alias("n")).withColumns({
         "_before": F.coalesce(F.sum("n").over(ordered), F.lit(0)),

@@ -24,12 +24,23 @@ def typed_feature(name: str) -> Column:
     return c.cast("string").alias(name)
 
 
+#: Place of a row in its upload: rows later in the file overrule earlier ones.
+POSITION = "_position"
+
+
+def with_position(upload: DataFrame) -> DataFrame:
+    """Number the rows in reading order; the numbers rise through each file and are not gapless."""
+    return upload.withColumn(POSITION, F.monotonically_increasing_id())
+
+
 def ingest_students(upload: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(typed rows, rejected rows): casts, booleans, label, nested features, one narrow pass.
 
-    Rows without a usable id are rejected. A missing label is derived from GPA and attendance.
+    Rows without a usable id are rejected. A missing label is derived from GPA and attendance. A position
+    column from ``with_position`` is kept.
     """
     named = rename_columns(upload)
+    position = [POSITION] if POSITION in named.columns else []
     for c in [*NUMERIC_FEATURES, *CATEGORICAL_FEATURES, LABEL]:
         if c not in named.columns:
             named = named.withColumn(c, F.lit(None).cast("string"))
@@ -41,7 +52,7 @@ def ingest_students(upload: DataFrame, as_of: Column) -> tuple[DataFrame, DataFr
     typed = keyed.select(
         ENTITY_ID, *[typed_feature(c) for c in TOP_LEVEL],
         F.struct(*[typed_feature(c) for c in nested]).alias("ml_features"),
-        label.alias(LABEL), as_of.cast("timestamp").alias("last_updated"))
+        label.alias(LABEL), as_of.cast("timestamp").alias("last_updated"), *position)
     return typed, rejected
 
 

@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 100_000
-HOT_KEYS = 1_000  # the most frequent keys are spread, whether they need it or not
-SALTS = 32
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a lookup side is proven small; one count, which reads no columns of a parquet table."""
-    return df.count() <= max_rows
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Equi join of a large table with a lookup side.
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi join of a large table with a lookup side; nothing runs while the plan is built.
 
-    The lookup side is broadcast when counted at most ``max_rows``. Beyond that it is a shuffle join
-    in which the rows of the most frequent keys spread over ``salts`` tasks, each with its own copy of
-    that key's lookup rows; rows without a key match nothing and spread as well. Every large-side row
-    meets one copy, so inner, left, semi and anti results stay exact. The frequent keys come from one
-    map-side combined count of the key columns. Even equal rows spread, by the partition they come
-    from, and a task that runs again gives its rows the same salts.
+    Spark measures the bytes of both sides when it runs: a lookup side below the broadcast threshold is broadcast,
+    otherwise both sides are shuffled and every skewed partition of the large side, null keys included, is split
+    over several tasks, each with its copy of the lookup rows of that partition (adaptive execution). The allowed
+    join types are those in which the large side may be split.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} would see the copies of the lookup side")
-    if fits_broadcast(small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    counts = big.select(*on).dropna().groupBy(*on).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counts.filter(F.col("_n") >= salts).orderBy(F.col("_n").desc(), *on).limit(HOT_KEYS)
-                      .select(*on, F.lit(True).alias("_hot")))
-    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    hashable = [f.name for f in big.schema if "map<" not in f.dataType.simpleString()]
-    salt = F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(salts)).cast("int")
-    spread = big.withColumn("_s", salt).join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, F.col("_s")).otherwise(0)).drop("_hot", "_s")
-    copies = small.join(hot, on, "left").withColumn("_salt", F.explode(F.when(
-        F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return spread.join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return big.join(small, on, how)

@@ -15,10 +15,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     """The last row per key by ``order``; null orders lowest and ties fall to the other columns.
 
     ``max`` of one struct combines on the map side, so a key that holds a third of the rows reaches
-    the shuffle as one row per task; no sort of a whole group takes place.
+    the shuffle as one row per task. A struct cannot be hashed in place: each task sorts its own rows by key
+    before and after the shuffle.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    unordered = [c for c in rest if df.schema[c].dataType.typeName() in _UNORDERED]
+    # anywhere inside a type: a map in an array has no order either
+    unordered = [c for c in rest if any(f"{t}<" in f"{df.schema[c].dataType.simpleString()}<" for t in _UNORDERED)]
     ordered = [*order, *[c for c in rest if c not in unordered]]
     if unordered:  # maps have no order: carried along by the same maximum
         kept = df.groupBy(*keys).agg(

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.operators.joins import fits_broadcast, lookup_join
+from retentia.operators.joins import lookup_join
 from retentia.session import checkpointed
 
 RANGES = 256
@@ -18,7 +18,8 @@ def _splits(values: DataFrame, by: str, ranges: int) -> list[float]:
     """Bounds of about ``ranges`` ranges that hold like numbers of rows."""
     probs = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(values.approxQuantile(by, probs, 0.25 / ranges)))
-    return [float("-inf"), *(cuts or [0.0]), float("inf")]
+    # infinite values belong to the outer ranges
+    return [float("-inf"), *([c for c in cuts if math.isfinite(c)] or [0.0]), float("inf")]
 
 
 def _with_range(values: DataFrame, by: str, splits: list[float]) -> DataFrame:
@@ -100,18 +101,13 @@ def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
 def category_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """Add the position of each value among the sorted distinct values; null gets -1.
 
-    A list of categories proven short is numbered in one small window. A longer one is
-    range-partitioned, written through the shared folder and numbered range by range. Either way
-    the codes come back by a lookup join that spreads hot categories.
+    The list of categories is range-partitioned, written through the shared folder and numbered range by
+    range. The codes come back by a lookup join.
     """
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    if fits_broadcast(values):
-        codes = values.withColumn(
-            code, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
-    else:
-        ranged = checkpointed(values.repartitionByRange(column).select(
-            column, F.spark_partition_id().alias("_range"), F.lit(1).cast("long").alias("one")))
-        codes = accumulate(ranged, column, ["one"]).select(column, F.col("one_before").alias(code))
+    ranged = checkpointed(values.repartitionByRange(column).select(
+        column, F.spark_partition_id().alias("_range"), F.lit(1).cast("long").alias("one")))
+    codes = accumulate(ranged, column, ["one"]).select(column, F.col("one_before").alias(code))
     joined = lookup_join(df, codes, [column], "left")
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1).cast("long"))).select(
         *df.columns, code)

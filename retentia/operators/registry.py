@@ -55,11 +55,15 @@ def runs_with_model(models: DataFrame, model_path: str) -> DataFrame:
 
 
 def resolve_models(paths: DataFrame, models: DataFrame) -> DataFrame:
-    """Owning run and dataset of each requested ``model_path``.
+    """Owning run and dataset of each requested ``model_path``: the newest run that stored a model there.
 
-    A path names one stored model, so neither side repeats a key and a plain join cannot be skewed;
-    Spark broadcasts the requested paths when their size allows it.
+    A path is one row on either side, so a plain join cannot be skewed; Spark broadcasts the requested paths
+    when their size allows it.
     """
-    owners = unwind(models, "details", "d").select(
-        F.col("d.model_path").alias("model_path"), "_id", "dataset", "is_paid")
-    return owners.join(paths.select("model_path").distinct(), "model_path")
+    asked = unwind(models, "details", "d").select(
+        F.col("d.model_path").alias("model_path"), "created_at", "_id", "dataset", "is_paid").join(
+        paths.select("model_path").distinct(), "model_path")
+    owner = F.struct("created_at", "_id", "dataset", "is_paid")  # a null date is the oldest
+    return asked.groupBy("model_path").agg(F.max(owner).alias("_o")).select(
+        "model_path", F.col("_o._id").alias("_id"), F.col("_o.dataset").alias("dataset"),
+        F.col("_o.is_paid").alias("is_paid"))

@@ -68,8 +68,12 @@ def dataset_sample(datasets: DataFrame, order: list[str], n: int = 10) -> DataFr
 
 
 def home_statistics(students: DataFrame, models: DataFrame, files: DataFrame) -> DataFrame:
-    """One row with the four tiles; each input is reduced by itself to one value."""
-    analysed = students.filter(any_present("prediction.probability")).agg(F.count("*")).scalar()
+    """One row with the four tiles; each input is reduced by itself to one value.
+
+    A student counts as analysed with a prediction or a list of predictions.
+    """
+    paths = ["prediction.probability", *(["predictions"] if "predictions" in students.columns else [])]
+    analysed = students.filter(any_present(*paths)).agg(F.count("*")).scalar()
     accuracy = average_accuracy(models).scalar()
     return models.agg(F.count("*").alias("trained_models")).select(
         analysed.alias("analyzed_students"), accuracy.alias("avg_accuracy"),
@@ -125,13 +129,16 @@ def chart_series(df: DataFrame, x: str, y: str, order: list[str], limit: int = 1
 def saved_chart_series(charts: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """Series of every saved chart: one ordered top-n per named table, joined to its charts.
 
-    ``tables`` maps a table name to the frame and its row order. Only as many rows as the table's
-    widest chart asks for are kept, before any column is turned into text.
+    ``tables`` maps a table name to the frame and its row order; a chart on any other table is an error. Only as
+    many rows as the table's widest chart asks for are kept, before any column is turned into text. A pie adds its
+    numeric y up per x; its ``row`` is the first of that x.
     """
     asked = {r["collection"]: r["n"] for r in
              charts.groupBy("collection").agg(F.max("limit").alias("n")).collect()}
+    if unknown := sorted(set(asked) - set(tables)):
+        raise ValueError(f"charts name unknown tables: {', '.join(unknown)}")
     out = None
-    for name in sorted(set(asked) & set(tables)):
+    for name in sorted(asked):
         df, order = tables[name]
         top = first_rows(df, order, asked[name])
         ranked = top.withColumn("_row", F.row_number().over(Window.orderBy(*order)))
@@ -145,8 +152,13 @@ def saved_chart_series(charts: DataFrame, tables: dict[str, tuple[DataFrame, lis
             F.col("cells")[F.col("x_axis")].alias("x"), F.col("cells")[F.col("y_axis")].alias("y"))
         out = series if out is None else out.unionByName(series)
     if out is None:
-        raise ValueError("no chart names a known table")
-    return out.dropna(subset=["x", "y"])
+        raise ValueError("no saved chart")
+    rows = out.dropna(subset=["x", "y"])
+    pie = F.col("chart_type") == "pie"
+    head = ["collection", "x_axis", "y_axis", "chart_type"]
+    total = F.sum(F.col("y").cast("double")).cast("string").alias("y")
+    summed = rows.filter(pie).groupBy(*head, "x").agg(F.min("row").alias("row"), total)
+    return rows.filter(~F.coalesce(pie, F.lit(False))).unionByName(summed.select(*rows.columns))
 
 
 def login_history(logs: DataFrame, user_id=None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,15 @@ def score(df: DataFrame, model: PipelineModel, key: str) -> DataFrame:
         class_one_probability().alias("prediction_probability"))
 
 
+def training_means(model: PipelineModel) -> list[float]:
+    """Mean of every feature over the rows the model was trained on."""
+    return list(next(s for s in model.stages if isinstance(s, StandardScalerModel)).mean)
+
+
 def _advice(rows: DataFrame, model: PipelineModel) -> Column:
-    """Advice from exact linear contributions; standardised numbers average 0."""
+    """Advice from exact linear contributions against the training means stored with the model."""
     names = feature_names(rows)
-    return recommendations(linear_contributions(names, list(model.stages[-1].coefficients), [0.0] * len(names)))
+    return recommendations(linear_contributions(names, list(model.stages[-1].coefficients), training_means(model)))
 
 
 def _prediction(p: Column, advice: Column, model_name: str, at: Column) -> Column:

@@ -19,8 +19,20 @@ def keep_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Rename by mapping (the known header spellings by default); absent names are ignored."""
-    return df.withColumnsRenamed(HEADER_ALIASES if mapping is None else mapping)
+    """Rename by mapping (the known header spellings by default); absent names are ignored.
+
+    Where several columns of the table get one name, the first that is not null counts, the right spelling first.
+    """
+    mapping = HEADER_ALIASES if mapping is None else mapping
+    names: dict[str, list[str]] = {}
+    for c in df.columns:
+        names.setdefault(mapping.get(c, c), []).append(c)
+    if all(len(own) == 1 for own in names.values()):
+        return df.withColumnsRenamed({c: mapping[c] for c in df.columns if c in mapping})
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[
+        quoted(own[0]).alias(name) if len(own) == 1 else F.coalesce(
+            *[quoted(c) for c in sorted(own, key=lambda c: c != name)]).alias(name) for name, own in names.items()])
 
 
 def add_missing(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.scalars import label_map, number_column
-from retentia.operators.features import MAX_CATEGORIES, MISSING, in_holdout
+from retentia.operators.features import MISSING, in_holdout, known_number, stratified_holdout
 from retentia.operators.metrics import (
     class_weights, classification_metrics, regression_metrics, roc_auc,
 )
@@ -25,7 +26,7 @@ SEED = 42
 TREES = 100
 MAX_ITER = 1000
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_STEP = 100, 3, 0.1
-FOREST_DEPTH = 12  # trees in the plan have a depth limit
+FOREST_DEPTH = 12  # default of an argument; Spark allows up to 30
 MIN_REGRESSION_ROWS = 10
 # --------------------------------------------------------------------------------------------------
 
@@ -43,18 +44,14 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     """
     stats = train.agg(
         F.count("*").alias("rows"),
-        *[F.struct(F.avg(c).alias("m"), F.var_pop(c).alias("v"), F.count(c).alias("n")).alias(f"s_{c}")
-          for c in numeric],
-        *[F.approx_count_distinct(c).alias(f"d_{c}") for c in categorical]).head()
-    for c in categorical:
-        if stats[f"d_{c}"] > MAX_CATEGORIES:
-            raise ValueError(f"{c!r} has more than {MAX_CATEGORIES} values; it is not a category")
+        *[F.struct(F.avg(k).alias("m"), F.var_pop(k).alias("v"), F.count(k).alias("n")).alias(f"s_{c}")
+          for c, k in ((c, known_number(train, c)) for c in numeric)]).head()
     parts = []
     for c in numeric:
         s = stats[f"s_{c}"]
         spread = ((s["v"] or 0.0) * s["n"] / max(stats["rows"], 1)) ** 0.5
         mean = _number(s["m"], 0.0)
-        parts.append(f"(coalesce(cast(`{c}` AS double), {mean}) - {mean}) / {_number(spread or 1.0, 1.0)} AS `{c}__z`")
+        parts.append(f"(coalesce(nanvl(cast(`{c}` AS double), null), {mean}) - {mean}) / {_number(spread or 1.0, 1.0)} AS `{c}__z`")
     parts += [f"coalesce(cast(`{c}` AS string), '{MISSING}') AS `{c}__c`" for c in categorical]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
     if categorical:
@@ -90,10 +87,10 @@ def class_one_probability() -> Column:
     return vector_to_array("probability")[1]
 
 
-def classifiers(rows: int, seed: int = SEED) -> dict:
+def classifiers(rows: int, seed: int = SEED, forest_depth: int = FOREST_DEPTH) -> dict:
     return {
         "random_forest": RandomForestClassifier(
-            labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=FOREST_DEPTH, seed=seed),
+            labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=forest_depth, seed=seed),
         # the penalty of the whole-sample loss with unit strength, per row
         "logistic_regression": LogisticRegression(
             labelCol="label", maxIter=MAX_ITER, regParam=1.0 / max(rows, 1), standardization=False),
@@ -115,24 +112,30 @@ def weighted(df: DataFrame) -> DataFrame:
 
 def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str],
                       dataset: str, root: str, names: list[str] | None = None,
-                      seed: int = SEED) -> list[dict]:
-    """Fit, evaluate on the hold-out and save each classifier with its own preprocessing."""
+                      seed: int = SEED, forest_depth: int = FOREST_DEPTH, run: str | None = None) -> list[dict]:
+    """Fit, evaluate on a stratified hold-out and save each classifier with its own preprocessing.
+
+    Models are stored below a folder of the ``run``, a new one by default, so that no run replaces another's.
+    """
+    run = run or uuid.uuid4().hex
     usable, _ = split_labelled(df, label)
     # the narrow frame is kept: statistics, encodings, weights and the hold-out all read it
-    kept = usable.select(key, "label", *numeric, *categorical).withColumn(
-        "_test", in_holdout(F.col(key), seed)).persist()
+    kept = stratified_holdout(usable.select(key, "label", *numeric, *categorical), key, "label", seed
+                              ).withColumnRenamed("is_test", "_test").persist()
     train, test = kept.filter(~F.col("_test")), kept.filter("_test")
     prep = fit_preprocessor(train, numeric, categorical)
     fit_rows = weighted(prep.transform(train).select("label", "features")).persist()
     test_rows = prep.transform(test).select("label", "features").persist()
+    # scales nothing: it keeps the training means of the features, the base of linear contributions
+    means = StandardScaler(inputCol="features", outputCol="features_unscaled", withMean=False, withStd=False).fit(fit_rows)
     results = []
     try:
-        for name, estimator in classifiers(fit_rows.count(), seed).items():
+        for name, estimator in classifiers(fit_rows.count(), seed, forest_depth).items():
             if names and name not in names:
                 continue
             model = estimator.fit(fit_rows)
-            path = f"{root}/{dataset}/{name}/{label}_{name}"
-            saved = save_and_reload([*prep.stages, model], path)
+            path = f"{root}/{dataset}/{run}/{name}/{label}_{name}"
+            saved = save_and_reload([*prep.stages, means, model], path)
             scored = saved.stages[-1].transform(test_rows).select(
                 "label", "prediction", class_one_probability().alias("p")).persist()
             metrics = classification_metrics(scored).head().asDict()
@@ -149,11 +152,12 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
 
 def train_regressors(df: DataFrame, key: str, targets: list[str], numeric: list[str],
                      categorical: list[str], dataset: str, root: str, seed: int = SEED,
-                     parallelism: int = 4) -> list[dict]:
+                     parallelism: int = 4, run: str | None = None) -> list[dict]:
     """A linear regression per numeric column on the other columns; short targets are skipped.
 
     The typed frame is read once and kept; the independent fits are submitted side by side.
     """
+    run = run or uuid.uuid4().hex
     typed = df.select(key, *[number_column(df, c) for c in dict.fromkeys([*numeric, *targets])],
                       *categorical).withColumn("_test", in_holdout(F.col(key), seed)).persist()
     known = typed.agg(*[F.count(t).alias(t) for t in targets]).head()
@@ -165,7 +169,7 @@ def train_regressors(df: DataFrame, key: str, targets: list[str], numeric: list[
         train, test = rows.filter(~F.col("_test")), rows.filter("_test")
         prep = fit_preprocessor(train, [c for c in numeric if c != target], categorical)
         model = LinearRegression(labelCol="label").fit(prep.transform(train).select("label", "features"))
-        path = f"{root}/{dataset}/lr/{target}"
+        path = f"{root}/{dataset}/{run}/lr/{target}"
         scored = save_and_reload([*prep.stages, model], path).transform(test).select("label", "prediction")
         metrics = regression_metrics(scored).head().asDict()
         return {"type": "regression", "target": target, "model_name": "linear_regression",

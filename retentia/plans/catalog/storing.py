@@ -15,10 +15,10 @@ from retentia.sources import files, tables
 from retentia.streaming import incremental
 
 
-@query("csv_roundtrip", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("csv_roundtrip", "SELECT * FROM documents")
 def csv_roundtrip(spark, sf):
     path = scratch_path(spark, "csv")
-    rows = v.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = v.table(spark, sf, "documents")
     tables.write_csv(rows, path)
     return files.read_csv(spark, path, rows.schema)
 
@@ -81,31 +81,34 @@ def versioned_merge(spark, sf):
 
 
 @query("store_delivery", """
-SELECT DISTINCT lang, source, n_chars FROM documents
+SELECT DISTINCT text, lang, source, n_chars FROM documents
 """)
 def store_delivery(spark, sf):
     """Deliveries with one header merged without exact duplicates, each merge a new version."""
     root = scratch_path(spark, "deliveries")
-    docs = v.table(spark, sf, "documents").select("lang", "source", "n_chars")
+    docs = v.table(spark, sf, "documents").select("text", "lang", "source", "n_chars")
     store_new(docs.filter(F.col("lang") != "fr"), root)
     store_new(docs.filter(F.col("n_chars") > 0), root)
     return tables.current(spark, f"{root}/{header_fingerprint(docs)}")
 
 
-@query("file_pick", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en'")
+@query("file_pick", "SELECT * FROM documents WHERE lang = 'en'")
 def file_pick(spark, sf):
     """The newest data file of a landing folder, then its rows."""
     landing = scratch_path(spark, "landing")
-    docs = v.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    docs.coalesce(1).write.option("header", True).csv(f"{landing}/a")
-    docs.filter(F.col("lang") == "en").coalesce(1).write.option("header", True).csv(f"{landing}/b")
+    docs = v.table(spark, sf, "documents")
+    tables.write_csv(docs.coalesce(1), f"{landing}/a")
+    tables.write_csv(docs.filter(F.col("lang") == "en").coalesce(1), f"{landing}/b")
     return files.read_latest(spark, landing, docs.schema)
 
 
-@query("file_listing")
+@query("file_listing", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, true AS has_bytes" for t in (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations").split()))
 def file_listing(spark, sf):
     """Names of the table files, sorted, without opening any."""
-    return files.files_with_suffix(files.list_files(spark, sf), ["parquet"]).select("name", "length")
+    return files.files_with_suffix(files.list_files(spark, sf), ["parquet"]).select(
+        "name", (F.col("length") > 0).alias("has_bytes"))
 
 
 @query("delivered_headers", """

@@ -16,15 +16,34 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
-    """CSV with a header; a line that does not fit the schema keeps its text in ``_corrupt_record``."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+#: Quotes inside a quoted value are doubled. An empty value, quoted or not, is null.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(spark: SparkSession, path, schema: T.StructType, keep_corrupt: bool = False,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with a header; a record that does not fit the schema keeps its text in ``_corrupt_record``.
+
+    Values may hold line ends inside quotes, so files are read one per task; pass ``multi_line=False`` for files
+    known to hold none, which then split.
+    """
+    reader = spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE").option("multiLine", multi_line)
     if keep_corrupt:
         return (reader.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", CORRUPT)
                 .csv(path))
     return reader.schema(schema).csv(path)
 
 
+def split_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit their schema, rows that do not) of a scan that kept corrupt records.
+
+    A scan parses only the columns asked for, so both parts must ask for all, or the scan be written first.
+    """
+    bad = F.col(CORRUPT).isNotNull()
+    return rows.filter(~bad).drop(CORRUPT), rows.filter(bad)
+
+
 def read_json(spark: SparkSession, path, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """JSON records; pass ``multi_line`` for files that hold one array (such files do not split)."""
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from retentia.operators.quality import header_fingerprint
+from retentia.sources.files import CSV_OPTIONS
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, as as many files as there are partitions."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, as as many files as there are partitions; ``read_csv`` reads it back, empty texts as null."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -20,15 +23,17 @@ def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def store_dataset(df: DataFrame, root: str, name: str, user_id: str, is_paid: bool, uploaded_at) -> None:
-    """Rows under ``data/dataset_name=...`` and one metadata row in ``datasets``.
+    """Rows under ``data/dataset_name=.../upload=...`` and one metadata row in ``datasets``.
 
-    The row count is read back from the files just written, not by running the plan again.
+    Every upload has a folder of its own, so a second one under the same name leaves the first as it is. The row
+    count is read back from the files just written, not by running the plan again.
     """
     spark = df.sparkSession
-    path = f"{root}/data/dataset_name={name}"
-    df.write.mode("overwrite").parquet(path)
+    upload = uuid.uuid4().hex
+    path = f"{root}/data/dataset_name={name}/upload={upload}"
+    df.write.parquet(path)
     append_rows(spark.read.parquet(path).agg(F.count("*").alias("record_count")).select(
-        F.lit(name).alias("dataset_name"), F.lit(user_id).alias("user_id"),
+        F.lit(name).alias("dataset_name"), F.lit(upload).alias("upload"), F.lit(user_id).alias("user_id"),
         F.lit(is_paid).alias("is_paid"), F.lit(uploaded_at).cast("timestamp").alias("uploaded_at"),
         "record_count"), f"{root}/datasets")
 
@@ -48,8 +53,10 @@ def delete_tagged(spark: SparkSession, path: str, tag: str, new_path: str) -> No
 def _log(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.schema("version int, name string").json(f"{root}/versions")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # before the first version
+            return None
+        raise
 
 
 def publish(df: DataFrame, root: str, prefix: str = "dataset") -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.operators.merge import latest_per_key
+from retentia.sources.files import CORRUPT, CSV_OPTIONS, split_corrupt
 from retentia.sources.tables import current, publish
 
 
@@ -17,14 +18,18 @@ def run_incremental(spark: SparkSession, landing: str, table: str, schema: T.Str
     Each micro-batch is reduced to one row per key and written under its own ``batch_id``; a retried
     batch overwrites exactly its own folder. The cost of a batch depends on the batch, not on the
     table. An older record that arrives late loses when the table is read, so no watermark is needed.
-    ``prepare`` types the text rows (e.g. parses dates) before the reduction.
+    ``prepare`` types the text rows (e.g. parses dates) before the reduction. Records that do not fit the
+    schema are kept under ``rejected``.
     """
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch) if prepare else batch
+        good, bad = split_corrupt(batch)
+        rows = prepare(good) if prepare else good
         latest_per_key(rows, keys, order).write.mode("overwrite").parquet(
             f"{table}/deltas/batch_id={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{table}/rejected/batch_id={batch_id}")
 
-    stream = (spark.readStream.schema(schema).option("header", True)
+    stream = (spark.readStream.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+              .options(**CSV_OPTIONS).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
               .option("maxFilesPerTrigger", files_per_batch).csv(landing))
     query = (stream.writeStream.foreachBatch(merge_batch)
              .option("checkpointLocation", f"{table}/progress").trigger(availableNow=True).start())

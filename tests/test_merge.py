@@ -71,26 +71,41 @@ def test_delete_keeps_unknown(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_lookup_equals_plain_join(spark, how):
+def test_lookup_equals_plain_join(spark, how):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, F.lit(None))
                                    .otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("v"))
     small = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    assert rows(joins.lookup_join(big, small, ["k"], how, max_rows=5)) == rows(big.join(small, ["k"], how))
     assert rows(joins.lookup_join(big, small, ["k"], how)) == rows(big.join(small, ["k"], how))
 
 
-def test_equal_rows_of_a_hot_key_spread(spark):
-    big = spark.range(8000, numPartitions=8).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
-    small = spark.range(40).select(F.col("id").cast("int").alias("k"), F.spark_partition_id().alias("w"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_key_of_a_lookup_is_split(spark):
+    """With both sides shuffled, the partition of a hot key is read by several tasks; no job runs before."""
+    big = spark.range(400_000, numPartitions=8).select(
+        F.when(F.col("id") % 10 > 0, 1).otherwise(F.col("id") % 1000).alias("k"), F.md5(F.col("id").cast("string")).alias("m"))
+    small = spark.range(1000).select("id", F.lit("w").alias("w")).withColumnRenamed("id", "k")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k"}
+    old = {k: spark.conf.get(k) for k in settings}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup", "lookup")
     try:
-        joined = joins.lookup_join(big, small, ["k"], max_rows=5)
-        tasks = joined.groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()
+        for k, value in settings.items():
+            spark.conf.set(k, value)
+        joined = joins.lookup_join(big, small, ["k"])
+        assert not tracker.getJobIdsForGroup("lookup")
+        # no aggregate by the key above the join: it would ask for all rows of a key in one task
+        seen = joined.select("k", F.hash("m").alias("h"), F.spark_partition_id().alias("t")).toPandas()
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert sum(r["n"] for r in tasks) == 8000 and len(tasks) >= 3
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, value in old.items():
+            spark.conf.set(k, value)
+    hot = seen[seen.k == 1]
+    assert len(seen) == 400_000 and len(hot) == 360_000 and hot.t.nunique() >= 3
+
+
+def test_latest_of_rows_with_a_map_inside_an_array(spark):
+    df = spark.sql("SELECT 1 AS k, 1 AS at, array(map('a', 1)) AS m UNION ALL SELECT 1, 2, array(map('b', 2))")
+    assert merge.latest_per_key(df, ["k"], ["at"]).head()["m"] == [{"b": 2}]
 
 
 def test_lookup_refuses_outer_joins(spark):

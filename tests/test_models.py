@@ -112,6 +112,13 @@ def test_classifiers_and_contributions(spark, students):
     scored = scoring.score_linear(students, lr, "student_id", "t", F.lit("2024-01-01"))
     row = scored.head()["prediction"]
     assert scored.count() == 400 and 0 <= row["probability"] <= 1 and row["recommendations"]
+    # contributions of the training rows average to zero, category columns included
+    prepared = lr.transform(students)
+    told = explain.linear_contributions(training.feature_names(prepared), list(lr.stages[-1].coefficients),
+                                        scoring.training_means(lr))
+    mean = prepared.select(F.aggregate(told, F.lit(0.0), lambda a, e: a + e["contribution"]).alias("c")).agg(
+        F.avg("c"), F.stddev("c")).head()
+    assert abs(mean[0]) < 0.2 * mean[1]
 
 
 def test_regressors_skip_short_targets(spark):
@@ -162,3 +169,14 @@ def test_gaps_and_codes(spark):
     assert found.count() == 960 and "gender_code" in found.columns
     with pytest.raises(ValueError):
         anomaly.choose_features(df.select("id"))
+
+
+def test_detection_keeps_every_row_and_value(spark):
+    """Null and repeated keys, gaps and NaN: as many rows out as in, values as they were."""
+    rows = [(i if i >= 5 else None, float(i % 17), float("nan") if i == 20 else float(i % 5)) for i in range(90)]
+    rows += [(500, 1.0, None)] * 10
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    found = anomaly.detect(df, "id", ["a", "b"], trees=10)
+    assert found.count() == 100 and found.filter("id is null").count() == 5
+    assert found.filter("b is null").count() == 10 and found.filter("isnan(b)").count() == 1
+    assert found.filter("anomaly_score is null").count() == 0

@@ -35,14 +35,15 @@ def test_running_totals(spark):
 
 def test_category_codes(spark):
     df = frame(spark, ["Male", "Female", None, "Male"], "g string")
-    assert [r["code"] for r in ranking.category_codes(df.coalesce(1), "g").collect()] == [1, 0, -1, 1]
+    assert sorted((str(r["g"]), r["code"]) for r in ranking.category_codes(df, "g").collect()) == [
+        ("Female", 0), ("Male", 1), ("Male", 1), ("None", -1)]
 
 
-def test_category_codes_of_a_long_list(spark, monkeypatch):
+def test_category_codes_of_a_long_list(spark):
     df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), (F.col("id") % 900).cast("string"))).alias("g"))
     want = {(r["g"], r["code"]) for r in ranking.category_codes(df, "g").collect()}
-    monkeypatch.setattr(ranking, "fits_broadcast", lambda *_: False)
-    assert {(r["g"], r["code"]) for r in ranking.category_codes(df, "g").collect()} == want
+    names = sorted({g for g, _ in want if g})
+    assert want == {(None, -1), *((g, i) for i, g in enumerate(names))}
 
 
 def test_classification_metrics(spark):
@@ -100,8 +101,26 @@ def test_encodings(spark):
     df = frame(spark, ["b", "a", None], "c string").coalesce(1)
     assert [tuple(r) for r in features.one_hot(df, ["c"]).collect()] == [(0, 1, 0), (1, 0, 0), (0, 0, 1)]
     assert [tuple(r) for r in features.dummies(df, ["c"]).collect()] == [(1,), (0,), (0,)]
-    with pytest.raises(ValueError):
-        features.categories(spark.range(50), "id", limit=10)
+    assert len(features.dummies(spark.range(1500), ["id"]).columns) == 1499
+    assert features.one_hot(df, ["c"], {"c": ["a", "z"]}).columns == ["c_a", "c_z"]
+
+
+def test_gaps_nan_and_infinity(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double").coalesce(1)
+    assert [r["x"] for r in features.impute_means(df, ["x"]).collect()] == [1.0, 2.0, 3.0, 2.0]
+    scaled = [r["x"] for r in features.standardise(df, ["x"]).collect()]
+    assert scaled == pytest.approx([-(2 ** 0.5), 0, 2 ** 0.5, 0])
+    far = spark.createDataFrame([(float("inf"),)] * 5 + [(1.0,), (2.0,), (float("-inf"),)], "x double")
+    assert ranking.exact_quantile(far, "x", 2 / 7).head()["q"] == 2.0
+
+
+def test_splits_keep_null_keys_and_null_classes(spark):
+    df = spark.createDataFrame([(i if i % 4 else None, None if i % 3 == 0 else i % 2) for i in range(300)], "id int, y int")
+    train, test = features.holdout(df, "id")
+    assert train.count() + test.count() == 300
+    out = features.stratified_holdout(df, "id", "y")
+    per_class = {r["y"]: r["n"] for r in out.filter("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert out.count() == 300 and per_class == {None: 20, 0: 20, 1: 20}
 
 
 def test_training_frame_fills_defaults(spark):

@@ -103,9 +103,14 @@ def test_charts(spark):
     for bad in (dict(x="nope", y="y"), dict(x="y", y="x", kind="pie"), dict(x="x", y="y", kind="radar")):
         with pytest.raises(ValueError):
             reports.chart_series(df, bad["x"], bad["y"], ["id"], 3, bad.get("kind", "bar"))
-    charts = spark.createDataFrame([("t", "x", "y", "bar", 2, "#1"), ("t", "id", "y", "line", 4, "#1"), ("gone", "x", "y", "bar", 1, "#")], SAVED_CHARTS)
+    charts = spark.createDataFrame([("t", "x", "y", "bar", 2, "#1"), ("t", "id", "y", "line", 4, "#1")], SAVED_CHARTS)
     got = reports.saved_chart_series(charts, {"t": (df, ["id"])})
     assert sorted((r["x_axis"], r["row"]) for r in got.collect()) == [("id", 1), ("id", 3), ("id", 4), ("x", 1)]
+    pie = spark.createDataFrame([("t", "x", "y", "pie", 4, "#1")], SAVED_CHARTS)
+    assert sorted((r["x"], r["y"]) for r in reports.saved_chart_series(pie, {"t": (df, ["id"])}).collect()) == [
+        ("a", "3.0"), ("b", "5.0")]
+    with pytest.raises(ValueError):
+        reports.saved_chart_series(spark.createDataFrame([("gone", "x", "y", "bar", 1, "#")], SAVED_CHARTS), {})
 
 
 def test_role_and_search(spark):

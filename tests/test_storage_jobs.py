@@ -93,6 +93,40 @@ def test_ingest_job(spark):
         ("1", 3.0, False), ("2", None, False)]
 
 
+def test_ingest_takes_the_last_row_of_a_file_and_both_spellings(spark):
+    root = scratch_path(spark, "students")
+    up = spark.createDataFrame([("s1", None, "zeta"), (None, "s1", "alpha"), ("s2", None, "x")],
+                               ["student ID", "student_id", "gender"]).coalesce(1)
+    jobs.ingest_job(spark, up, root, "2024-01-01", "spring.csv")
+    assert rows(tables.current(spark, root).select("student_id", "gender")) == [("s1", "alpha"), ("s2", "x")]
+    entry = spark.read.parquet(f"{root}/datasets").head()
+    assert (entry["original_file_name"], entry["row_count"], entry["ingested_row_count"]) == ("spring.csv", 3, 3)
+
+
+def test_csv_keeps_quotes_and_line_ends_and_empty_is_null(spark):
+    path = scratch_path(spark, "csv")
+    values = ['say "hi", ok', "two\nlines", "back\\slash \\\" end", "", None, ",", ' pad ', '"']
+    df = spark.createDataFrame(list(enumerate(values)), "id int, text string")
+    tables.write_csv(df, path)
+    assert rows(files.read_csv(spark, path, df.schema)) == [(i, v or None) for i, v in enumerate(values)]
+
+
+def test_records_that_do_not_fit_are_returned(spark, tmp_path):
+    root = scratch_path(spark, "merge")
+    schema = spark.createDataFrame([], "`Student ID` int, `Update Date` string, v int").schema
+    put(tmp_path, "a.csv", "Student ID,Update Date,v\n1,01/01/2024 09:00,1\nx,,2\ny,,3\n4,,bad\n")
+    _, rejected = jobs.merge_job(spark, str(tmp_path), root, schema)
+    assert rejected.count() == 3 and tables.current(spark, root).count() == 1
+
+
+def test_second_upload_of_a_name_keeps_the_first(spark):
+    root = scratch_path(spark, "store")
+    for n in (5, 2):
+        tables.store_dataset(spark.range(n), root, "a", "8", False, "2024-01-01")
+    assert spark.read.parquet(f"{root}/data").count() == 7
+    assert rows(spark.read.parquet(f"{root}/datasets").select("record_count")) == [(2,), (5,)]
+
+
 def test_stream_late_rows_lose_and_reruns_change_nothing(spark, tmp_path):
     landing, table = str(tmp_path / "in"), scratch_path(spark, "stream")
     schema = spark.createDataFrame([], "k int, at int, v string").schema
