@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from retentia.operators import anomaly, scoring, selection
 from retentia.operators.explain import ensemble_leaves, expected_value, tree_contributions
-from retentia.operators.training import details_frame, feature_names, train_classifiers, train_regressors
+from retentia.operators.training import (
+    class_one_probability, details_frame, feature_names, train_classifiers, train_regressors,
+)
 from retentia.plans import views as v
 from retentia.plans.catalog.base import query
 from retentia.plans.jobs import upload_and_train
@@ -118,6 +120,57 @@ def boosted_contributions(spark, sf):
     return told.select("doc_id", F.inline("contributions")).withColumn("base_value", F.lit(expected_value(leaves)))
 
 
+@query("contributions_add_up", "SELECT doc_id, true AS adds_up FROM documents")
+def contributions_add_up(spark, sf):
+    """Base value and contributions of the boosted trees give every document's margin."""
+    model, path = _fitted(spark, sf, "gradient_boosting")
+    rows = model.transform(_scoring_rows(spark, sf))
+    stage = model.stages[-1]
+    leaves = ensemble_leaves(spark, f"{path}/stages/{len(model.stages) - 1}_{stage.uid}", list(stage.treeWeights), False)
+    p = class_one_probability()
+    told = tree_contributions(rows.withColumn("margin", F.log(p / (1 - p)) / 2), "doc_id", leaves, feature_names(rows),
+                              carry=("margin",))
+    total = F.aggregate("contributions", F.lit(expected_value(leaves)), lambda a, e: a + e["contribution"])
+    return told.select("doc_id", (F.abs(total - F.col("margin")) < 1e-6).alias("adds_up"))
+
+
+@query("scores_hold", "SELECT doc_id, true AS in_range, true AS class_fits FROM documents")
+def scores_hold(spark, sf):
+    """Every document has a probability, and its class is the likelier one."""
+    model, _ = _fitted(spark, sf, "logistic_regression")
+    scored = scoring.score(_scoring_rows(spark, sf), model, "doc_id")
+    p = F.col("prediction_probability")
+    return scored.select("doc_id", p.between(0, 1).alias("in_range"),
+                         (F.col("prediction_class") == (p > 0.5).cast("int")).alias("class_fits"))
+
+
+@query("anomaly_share", """
+SELECT count(*) AS n, count(*) AS scored, true AS share_holds FROM customer
+""")
+def anomaly_share(spark, sf):
+    """All accounts keep their row and score; those flagged are the rows below the quantile."""
+    found = isolation_forest_table(spark, sf)
+    flagged = F.count_if(F.col("is_anomaly") == -1)
+    at = F.floor((F.count("*") - 1) * anomaly.CONTAMINATION)
+    return found.agg(F.count("*").alias("n"), F.count("anomaly_score").alias("scored"),
+                     (flagged <= at + 1).alias("share_holds"))
+
+
+@query("regression_by_hand", """
+WITH l AS (SELECT *, CAST(concat('0x', substr(md5(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, ':42')), 1, 8)) AS BIGINT) % 100 < 20 AS test FROM lineitem),
+c AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM l WHERE NOT test)
+SELECT metric, round(value, 6) AS value FROM (
+  SELECT 'r2_score' AS metric, 1 - sum((l_extendedprice - a * l_quantity - b) ** 2) / sum((l_extendedprice - m) ** 2) AS value
+  FROM l, c, (SELECT avg(l_extendedprice) AS m FROM l WHERE test) WHERE test)
+""")
+def regression_by_hand(spark, sf):
+    """The stored regression of price on quantity, against least squares in closed form on the same split."""
+    found = train_regressors(_lines(spark, sf), "line", ["l_extendedprice"], ["l_quantity", "l_extendedprice"], [],
+                             "lines", scratch_path(spark, "models"))
+    return _flat_details(details_frame(spark, found)).filter("metric = 'r2_score'").select(
+        "metric", F.round("value", 6).alias("value"))
+
+
 @query("isolation_forest_file")
 def isolation_forest_file(spark, sf):
     """Anomalies of an uploaded table by age, total score, attendance and the coded gender."""
