@@ -6,7 +6,7 @@ pivot, where no window cuts anything off; pivots therefore are chosen inside nei
 link: two sets with J >= t share one of their first ``n - ceil(t n) + 1`` shingles in any common order, here rarest
 first. The documents with a common first shingle are a region. In each region, round by round:
 
-* the documents of smallest hash are its pivots, twice as many each round, and all others are measured against them;
+* the documents of smallest hash are its pivots, one, then more each round, and all others are measured against them;
   a document's home is the pivot it is linked to, and everything linked to one pivot is one component;
 * pairs that are in one component already need no further look, nor do pairs whose distances to the region's first
   pivot differ by more than the join distance (triangle inequality); documents in the window go on to the next round;
@@ -27,11 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retentia.llm.common import checkpointed, name_beside, stored
+from retentia.llm.common import WordHashes, checkpointed, name_beside, stored
 from retentia.llm.graph import connected
 
 #: Cells of the table of shingle counts that orders shingles, rarest first. Any order gives the same links.
 CELLS = 1 << 16
+#: Class names that are broadcast; more are joined by a shuffle.
+CARRIED = 200_000
+#: In round k a region has up to PIVOTS ** (k - 1) pivots.
+PIVOTS = 32
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -46,22 +50,13 @@ def digest(own: list[bytes]) -> bytes:
 
 
 class Shingler:
-    """Sets of shingles as sorted 64-bit hashes; remembers word hashes."""
+    """Sets of shingles as sorted 64-bit hashes."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
+        self.size, self.known = size, WordHashes()
 
     def __call__(self, own: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        hashes = np.empty(len(own), dtype=np.uint64)
-        for i, w in enumerate(own):
-            h = known.get(w)
-            if h is None:
-                known[w] = h = xxhash.xxh3_64_intdigest(w)
-            hashes[i] = h
-        return shingles(hashes, self.size)
+        return shingles(self.known.of(own), self.size)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -159,13 +154,15 @@ def classes(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
 
 
 def sets_of(df: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(id, items array<long>) of the classes in ``wanted`` (id)."""
+    """(id, items array<long>) of the classes in ``wanted`` (id, each once)."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(size)
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "items": [shingler(words(t)).view(np.int64) for t in batch["t"]]})
 
+    if wanted.count() <= CARRIED:  # 16 bytes a class; the texts then need no shuffle to find them
+        wanted = F.broadcast(wanted)
     one = (df.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).withColumn("id", class_name()("t"))
            .join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     return one.mapInPandas(build, "id binary, items array<long>")
@@ -187,10 +184,10 @@ def measure(pairs: DataFrame, bits: DataFrame, sets, percent: int) -> DataFrame:
     total = F.col("nx") + F.col("np")
     bounded = stored(pairs.join(left, "x").join(right, "p").withColumn("diff", differ("xb", "pb")).drop("xb", "pb")
                      # |x & p| <= (nx + np - diff) / 2
-                     .withColumn("may", 100 * (total - F.col("diff"))
-                                 >= percent * (total + F.col("diff"))), "jaccard-bounds")
+                     .withColumn("may", 100 * (total - F.col("diff")) >= percent * (total + F.col("diff"))),
+                     "jaccard-bounds")
     close = bounded.filter("may").select("x", "p", "nx", "np")
-    known = sets(close.select(F.col("x").alias("id")).union(close.select("p")).distinct())
+    known = sets(checkpointed(close.select(F.col("x").alias("id")).union(close.select("p")).distinct()))
     first, second = (known.select(F.col("id").alias(c), F.col("items").alias(f"{c}s")) for c in "xp")
     exact = (close.join(first, "x").join(second, "p")
              .withColumn("both", F.size(F.array_intersect("xs", "ps"))).drop("xs", "ps"))
@@ -214,7 +211,15 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
     members = stored(firsts.join(shared, "sig").withColumn("low", F.lit(0.0)).withColumn("high", F.lit(1.0)),
                      "jaccard-members")
     labels = spark.createDataFrame([], "id binary, label binary")
-    sets = lambda wanted: sets_of(df, text, size, wanted)
+    held: list[DataFrame] = []
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """The sets of these classes; what an earlier round has fetched is not built again."""
+        missing = wanted.join(held[0].select("id"), "id", "left_anti") if held else wanted
+        fresh = stored(sets_of(df, text, size, checkpointed(missing)), "jaccard-sets")
+        held[:] = [held[0].unionByName(fresh)] if held else [fresh]
+        return held[0]
+
     reach = 1 - percent / 100 + 1e-9
     count = 1
     while True:
@@ -252,7 +257,7 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
                     .join(ways.withColumnRenamed("x", "id"), ["id", "p"], "left").drop("p")
                     .withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0))))
         members = stored(rest.select("sig", "id", "n", "low", "high"), "jaccard-members")
-        count *= 2
+        count *= PIVOTS
     return sizes, labels
 
 

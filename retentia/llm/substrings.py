@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import stored
+from retentia.llm.common import WordHashes, stored
 
 WINDOW, PHRASE = 20, 5
 #: Bytes of text of one shard.
@@ -45,18 +45,6 @@ def digest(own: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(own)) - (1 << 63)
 
 
-def word_hashes(own: list[bytes], known: dict) -> np.ndarray:
-    if len(known) > 1_000_000:
-        known.clear()
-    out = np.empty(len(own), dtype=np.uint64)
-    for i, w in enumerate(own):
-        h = known.get(w)
-        if h is None:
-            known[w] = h = xxhash.xxh3_64_intdigest(w)
-        out[i] = h
-    return out
-
-
 def runs(hashes: np.ndarray, size: int, by: np.uint64) -> np.ndarray:
     """A hash of each run of ``size`` words, that depends on their order."""
     total = np.full(max(len(hashes) - size + 1, 0), size, dtype=np.uint64)
@@ -128,11 +116,11 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
     docs = rows.groupBy("shard")
 
     def phrases(copy: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        later, known, count = set(zip(copy["key"], copy["dig"])), {}, Counter()
+        later, known, count = set(zip(copy["key"], copy["dig"])), WordHashes(), Counter()
         for k, t in _distinct(own):
             split = words(t)
             if len(split) >= window and (k, digest(split)) not in later:
-                for p in np.unique(representatives(word_hashes(split, known), window)):
+                for p in np.unique(representatives(known.of(split), window)).tolist():
                     count[b" ".join(split[p:p + PHRASE])] += 1
         shard = int(own["shard"].iloc[0]) if len(own) else 0
         return pd.DataFrame({"phrase": list(count), "shard": shard, "times": list(count.values())})
@@ -148,7 +136,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         patterns = side["phrase"].dropna()
         copy = side[side["phrase"].isna()]
         later = set(zip(copy["key"].astype("int64"), copy["dig"].astype("int64")))
-        out, known = [], {}
+        out, known = [], WordHashes()
         if len(own) and len(patterns):
             numbers, automaton = compile_phrases(patterns)
             shard = int(own["shard"].iloc[0])
@@ -159,7 +147,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
                 found = occurrences(automaton, numbers, split)
                 if not len(found):
                     continue
-                hashes = word_hashes(split, known)
+                hashes = known.of(split)
                 places = representatives(hashes, window)
                 first, length = blocks(places)
                 b1, b2 = block_hashes(hashes, window, first, length)
@@ -181,7 +169,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         "shard", "key", "dig", "start", "length")
 
     def windows(side: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        wanted, out, known = _groups(side), [], {}
+        wanted, out, known = _groups(side), [], WordHashes()
         keys = {k for k, _ in wanted}
         for k, t in _distinct(own):
             if k not in keys:
@@ -190,7 +178,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
             part = wanted.get((k, digest(split)))
             if part is None:
                 continue
-            hashes = word_hashes(split, known)
+            hashes = known.of(split)
             starts = np.concatenate([np.arange(a, a + n) for a, n in zip(part["start"], part["length"])])
             w1, w2 = (runs(hashes, window, by)[starts] for by in _M[1:])
             out.append(pd.DataFrame({"shard": part["shard"].iloc[0], "key": k, "dig": part["dig"].iloc[0],
