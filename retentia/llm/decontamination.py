@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 #: Least similarity of a match: 1 - edits / words of the item.
 SIMILARITY = 0.8
 #: Sampled places of a key and independent repetitions.
-PLACES, REPEATS = 2, 40
+PLACES, REPEATS = 2, 32
 #: Bytes of item texts searched in one pass; larger benchmarks are searched in blocks.
 ITEM_BYTES = 16_000_000
 #: Words of documents that are compared at once.
-AT_ONCE = 400_000
+AT_ONCE = 1_000_000
+#: A word in at most this share of the items is rare.
+RARE = 0.02
+#: Windows that walk side by side.
+WINDOWS = 5_000
 _BITS = 256
 _SPACE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -46,63 +50,115 @@ class Items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if ids:
                 by_length[len(ids)].append((item, ids))
+        # words of few items; an item found has all of its rare words but as many as there are edits
+        spread = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)
+        for items in by_length.values():
+            for _, ids in items:
+                spread[np.unique(ids)] += 1
+        rare = spread <= max(1, RARE * sum(map(len, by_length.values())))
         rng = np.random.default_rng(seed)
-        longest = max(by_length, default=0)
+        self.longest = longest = max(by_length, default=0)
         self.bits = rng.integers(0, 2, size=(repeats, 2 * longest + 1, _BITS), dtype=np.int8)
         self.at = rng.random((repeats, places))
-        self.classes = []
-        for length, items in sorted(by_length.items()):
+        self.classes, self.bands = [], []
+        for length, edits, needed, items in self._classes(by_length, rare, similarity):
             matrix = np.array([ids for _, ids in items], dtype=np.int32)
+            keys = self.keys(matrix.ravel(), np.arange(len(items)) * length, length)
+            order = np.argsort(keys, axis=1, kind="stable")
+            self.classes.append((length, edits, [i for i, _ in items], matrix,
+                                 np.take_along_axis(keys, order, axis=1), order, needed,
+                                 own := np.unique(matrix), rare[own]))
+            # classes of like length and need are looked for together: (shortest length, need, words, rare words, classes)
+            last = self.bands[-1] if self.bands else None
+            if not last or length > 1.25 * last[0] or length < last[0] or (needed > 0) != (last[1] > 0):
+                last = [length, needed, *np.zeros((2, len(rare)), dtype=bool), []]
+                self.bands.append(last)
+            last[1] = min(last[1], needed)
+            last[2][matrix.ravel()] = True
+            last[3][matrix.ravel()] = rare[matrix.ravel()]
+            last[4].append(len(self.classes) - 1)
+
+    @staticmethod
+    def _classes(by_length: dict, rare: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int, list]]:
+        """(words, edits, rare words that stay at least, items); items that may lose all rare words stand apart."""
+        parts = []
+        for length, items in by_length.items():
             edits = int(length * (1 - similarity) + 1e-9)
-            tables = []
-            for r in range(repeats):
-                keys = self.keys(matrix.ravel(), np.arange(len(items)) * length, length, r)
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], order))
-            self.classes.append((length, edits, [i for i, _ in items], matrix, tables))
-        self.longest = longest
-
-    def keys(self, ids: np.ndarray, starts: np.ndarray, length: int, repeat: int) -> np.ndarray:
-        """LSH keys of the windows of ``length`` words at ``starts``: the walk's output at the sampled places."""
-        places = np.sort((self.at[repeat] * 2 * length).astype(int))
-        at = np.zeros(len(starts), dtype=np.int64)
-        key = np.zeros(len(starts), dtype=np.uint64)
-        bits = self.bits[repeat]
-        for step in range(places[-1] + 1):
-            ended = at >= length
-            word = ids[starts + np.where(ended, 0, at)]
-            word = np.where(ended, -1, word)
-            for _ in range(int((places == step).sum())):
-                key = key * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64) + np.uint64(1)
-                key ^= key >> np.uint64(29)
-            at += bits[step, word & (_BITS - 1)]
+            stay = [int(rare[ids].sum()) - edits for _, ids in items]
+            for some in (True, False):
+                own = [(n, i) for n, i in zip(stay, items) if (n > 0) == some]
+                if own:
+                    parts.append((length, edits, max(min(n for n, _ in own), 0), [i for _, i in own]))
+        return iter(sorted(parts, key=lambda p: (p[2] > 0, p[0])))
+
+    def keys(self, ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """LSH keys (repeat, window) of the windows of ``length`` words at ``starts``.
+
+        All walks go on side by side; a key takes up the walk's output at its sampled places.
+        """
+        places = (self.at * 2 * length).astype(int)
+        sampled = defaultdict(list)
+        for repeat, place in np.ndindex(places.shape):
+            sampled[places[repeat, place]].append(repeat)
+        at = np.zeros((len(places), len(starts)), dtype=np.int32)
+        key = np.full(at.shape, length, dtype=np.uint64)
+        for step in range(places.max(initial=-1) + 1):
+            inside = at < length
+            word = np.where(inside, ids[starts + np.where(inside, at, 0)], -1)
+            for repeat in sampled.get(step, ()):
+                own = key[repeat] * np.uint64(0x9E3779B97F4A7C15) + word[repeat].astype(np.uint64) + np.uint64(step)
+                key[repeat] = own ^ (own >> np.uint64(29))
+            at += np.take_along_axis(self.bits[:, step], word & (_BITS - 1), axis=1)
         return key
 
     def matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item number in its class, class, start, edits) of all matches in a sequence of word numbers.
 
-        ``ids`` ends in ``longest`` zeros, as does every document inside it.
+        ``ids`` ends in ``longest`` zeros, as does every document inside it. A match starts with a word of its item:
+        leaving out a first word costs as much as changing it.
         """
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for c, (length, edits, _, matrix, tables) in enumerate(self.classes):
-            starts = np.flatnonzero(known[length:] - known[:-length] >= length - edits)
-            if not len(starts):
-                continue
-            pairs = []
-            for r, (keys, order) in enumerate(tables):
-                own = self.keys(ids, starts, length, r)
-                low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                hit = np.flatnonzero(high > low)
+        for shortest, needed, vocabulary, rare, members in self.bands:
+            known = np.concatenate([[0], np.cumsum(vocabulary[ids], dtype=np.int32)])
+            scarce = np.concatenate([[0], np.cumsum(rare[ids], dtype=np.int32)])
+            most = max(self.classes[c][1] for c in members)
+            longest = min(max(self.classes[c][0] for c in members), len(ids))
+            ahead = np.concatenate([scarce[longest:], np.full(longest - shortest, scarce[-1])])
+            near = np.flatnonzero((known[shortest:] - known[:-shortest] >= shortest - most)
+                                  & (ahead - scarce[:len(ahead)] >= needed) & vocabulary[ids[:len(ids) - shortest + 1]])
+            for c in members:
+                length, edits, needed = self.classes[c][0], self.classes[c][1], self.classes[c][6]
+                starts = near[near <= len(ids) - length]
+                starts = starts[(known[starts + length] - known[starts] >= length - edits)
+                                & (scarce[starts + length] - scarce[starts] >= needed)]
+                for some in np.array_split(starts, len(starts) // WINDOWS + 1):
+                    yield from self._verified(ids, some, c)
+
+    def _verified(self, ids: np.ndarray, starts: np.ndarray, c: int) -> Iterator[tuple[int, int, int, int]]:
+        """The matches among windows of one class that share a key with an item."""
+        length, edits, _, matrix, keys, order, needed, own, rare = self.classes[c]
+        # the words of the band have been counted; now those of the class
+        window = ids[starts[:, None] + np.arange(length)]
+        place = np.minimum(np.searchsorted(own, window), len(own) - 1)
+        held = own[place] == window
+        starts = starts[(held.sum(axis=1) >= length - edits) & ((held & rare[place]).sum(axis=1) >= needed)]
+        if not len(starts):
+            return
+        pairs = []
+        for table, which, own in zip(keys, order, self.keys(ids, starts, length)):
+            low, high = np.searchsorted(table, own, "left"), np.searchsorted(table, own, "right")
+            hit = np.flatnonzero(high > low)
+            if len(hit):
                 times = (high - low)[hit]
-                which = order[np.repeat(low[hit], times) + (np.arange(times.sum())
-                                                            - np.repeat(np.cumsum(times) - times, times))]
-                pairs.append(np.repeat(starts[hit], times) * len(matrix) + which)
-            pairs = np.unique(np.concatenate(pairs))
-            for some in np.array_split(pairs, len(pairs) // 20_000 + 1):
-                start, which = some // len(matrix), some % len(matrix)
-                found = edit_distances(matrix[which], ids, start, edits)
-                for i in np.flatnonzero(found <= edits):
-                    yield int(which[i]), c, int(start[i]), int(found[i])
+                each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                pairs.append(np.repeat(starts[hit], times) * len(matrix) + which[np.repeat(low[hit], times) + each])
+        if not pairs:
+            return
+        pairs = np.unique(np.concatenate(pairs))
+        for some in np.array_split(pairs, len(pairs) // WINDOWS + 1):
+            start, which = some // len(matrix), some % len(matrix)
+            found = edit_distances(matrix[which], ids, start, edits)
+            for i in np.flatnonzero(found <= edits):
+                yield int(which[i]), c, int(start[i]), int(found[i])
 
 
 def edit_distances(items: np.ndarray, ids: np.ndarray, starts: np.ndarray, edits: int) -> np.ndarray:
@@ -130,7 +186,7 @@ def search(items: Items, texts: Iterable[str | None]) -> Iterator[list[tuple]]:
         for which, c, start, edits in items.matches(np.concatenate(waiting)):
             doc = int(np.searchsorted(ends, start, "right"))
             first = start - int(ends[doc] - len(waiting[doc]))
-            length, _, names, _, _ = items.classes[c]
+            length, _, names = items.classes[c][:3]
             best = found[doc].get((c, which))
             if best is None or (edits, first) < (best[3], best[1]):
                 found[doc][c, which] = (names[which], first, length, edits)
