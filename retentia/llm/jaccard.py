@@ -31,7 +31,7 @@ from retentia.llm.common import WordHashes, checkpointed, name_beside, stored
 from retentia.llm.graph import connected
 
 #: Cells of the table of shingle counts that orders shingles, rarest first. Any order gives the same links.
-CELLS = 1 << 16
+CELLS = 1 << 18
 #: Class names that are broadcast; more are joined by a shuffle.
 CARRIED = 200_000
 #: In round k a region has up to PIVOTS ** (k - 1) pivots.
@@ -74,7 +74,7 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def cells_of(sets: np.ndarray) -> np.ndarray:
-    return (sets >> np.uint64(48)).astype(np.int64) & (CELLS - 1)
+    return (sets >> np.uint64(46)).astype(np.int64)
 
 
 def first_shingles(own: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
@@ -121,15 +121,19 @@ def count_cells(df: DataFrame, text: str, size: int) -> np.ndarray:
         for batch in batches:
             for t in batch["t"]:
                 total += np.bincount(cells_of(shingler(words(t))), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at, "n": total[at]})
+        parts = total.reshape(-1, 1 << 10)
+        yield pd.DataFrame({"part": np.arange(len(parts)), "n": [p.tobytes() for p in parts]})
 
-    counts = (df.select(F.col(text).alias("t")).mapInPandas(count, "cell int, n long")
-              .groupBy("cell").agg(F.sum("n").alias("n")))
-    out = np.zeros(CELLS, dtype=np.int64)
-    for row in counts.collect():  # CELLS rows at most
-        out[row["cell"]] = row["n"]
-    return out
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(n, dtype=np.int64) for n in parts["n"])
+        return pd.DataFrame({"part": parts["part"].iloc[:1], "n": [total.tobytes()]})
+
+    counts = (df.select(F.col(text).alias("t")).mapInPandas(count, "part int, n binary")
+              .groupBy("part").applyInPandas(add, "part int, n binary"))
+    out = np.zeros((CELLS >> 10, 1 << 10), dtype=np.int64)
+    for row in counts.collect():  # CELLS numbers
+        out[row["part"]] = np.frombuffer(row["n"], dtype=np.int64)
+    return out.ravel()
 
 
 def classes(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
@@ -203,13 +207,15 @@ def measure(pairs: DataFrame, bits: DataFrame, sets, percent: int) -> DataFrame:
 def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """((id, n), (id, label)): the classes with their set sizes, and the components of those that have a link."""
     spark = df.sparkSession
-    described = stored(classes(df, text, size, percent), "jaccard-classes")
-    sizes = described.select("id", "n").dropDuplicates(["id"])
-    bits = described.select("id", "bits").dropDuplicates(["id"])
-    firsts = described.select("id", "n", F.explode("firsts").alias("sig")).distinct()
+    described = stored(classes(df, text, size, percent).dropDuplicates(["id"]), "jaccard-classes")
+    sizes, bits = described.select("id", "n"), described.select("id", "bits")
+    # most shingles are nobody else's: until those are gone, rows carry a short handle of their class, and a handle
+    # that two classes share only adds candidates
+    handle = F.xxhash64("id").alias("handle")
+    firsts = described.select(handle, F.explode("firsts").alias("sig"))
     shared = firsts.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = stored(firsts.join(shared, "sig").withColumn("low", F.lit(0.0)).withColumn("high", F.lit(1.0)),
-                     "jaccard-members")
+    members = stored(firsts.join(shared, "sig").join(described.select(handle, "id", "n"), "handle")
+                     .select("sig", "id", "n", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "jaccard-members")
     labels = spark.createDataFrame([], "id binary, label binary")
     held: list[DataFrame] = []
 
