@@ -26,6 +26,8 @@ POSITIVES, UNLABELLED = 3_000, 6_000
 BUCKETS, FEATURES = 1 << 18, 512
 #: A document is rejected from this score on.
 THRESHOLD = 0.3
+#: A feature counts if its document frequencies differ by so many standard errors.
+LEAST_Z = 4
 PRIOR = 0.1
 _WORD = re.compile(r"\w+")
 
@@ -50,7 +52,7 @@ class Features(dict):
         self.wanted = wanted
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         own = buckets(word)
         self[word] = kept = tuple(own if self.wanted is None else [b for b in own if b in self.wanted])
@@ -97,7 +99,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     in_p, in_u = frequency(positive) + 0.5, frequency(unlabelled) + 0.5
     z = np.log(in_p / (n_p + 1) * (n_u + 1) / in_u) / np.sqrt(1 / in_p + 1 / in_u)
     chosen = np.lexsort((np.arange(BUCKETS), -np.abs(z)))[:features]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= 4])
+    chosen = np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
 
