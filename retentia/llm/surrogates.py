@@ -44,6 +44,9 @@ ENTITY = re.compile(
     r"|(?P<number>(?<![\d-])(?:\d{3}-\d{2}-\d{4}|\d{9})(?!-?\d))"
     rf"|(?P<title>\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\b\.?) +(?P<names>{_NAME}(?: (?={_NAME})(?-i:[^\W\d_a-zà-ÿ])[^\W\d_'-]+)?)")
 
+#: Every entity holds one of these; most texts hold none and are looked at no further.
+SIGN = re.compile(rf"[@\d]|\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\b")
+
 
 def _digits(text: str) -> str:
     return re.sub(r"\D", "", text)
@@ -59,7 +62,9 @@ def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
 
     A name after a title gives a surname and, if there are two parts, a forename of the title's gender.
     """
-    for m in ENTITY.finditer(text or ""):
+    if not text or not SIGN.search(text):
+        return
+    for m in ENTITY.finditer(text):
         kind, found = m.lastgroup, m.group()
         if kind == "email":
             yield m.start(), m.end(), kind, found.lower()
