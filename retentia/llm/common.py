@@ -25,13 +25,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    _PATHS.append(path)
+    kept(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _PATHS: list[str] = []
 
 
+def kept(path: str) -> None:
+    """Leave ``path`` to ``release``."""
+    _PATHS.append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``stored`` has written; results that still depend on it must have been written by then."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -1,52 +1,86 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is a stream of equal blocks. With ``share`` slots in a cycle of ``cycle`` slots, its block i may start at
-``floor(i * cycle / share)`` and is due at ``ceil((i + 1) * cycle / share)``; among the blocks that may start, the
-earliest deadline goes first. The shares fill the cycle exactly, so every block meets its window and after any number
-of slots each stream is less than one block away from its target. The schedule of one cycle depends on the weights
-alone; rows join it by their place in their source. DataFrame operations only.
+Every source is a stream of equal blocks. With the exact normalised weight w, its block i may start at ``floor(i / w)``
+and is due at ``ceil((i + 1) / w)``; among the blocks that may start, the earliest deadline goes first. The weights fill
+every slot exactly, so every block meets its window and after any number of slots each source is less than one block
+away from its target, however small its weight and however long the mix. Weights are whole numbers of a common unit, so
+nothing is rounded. Earliest deadline first is sequential: the driver walks the slots, one step a block (not a row),
+with memory for the sources and one chunk of slots; everything that touches rows is DataFrame operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.common import checkpointed, name_beside, ranked
+from retentia.llm.common import kept, name_beside, ranked
+from retentia.session import scratch_path
 
-#: Slots of a cycle: weights are rounded to steps of about 1 / CYCLE, smaller sources share one pooled stream.
+#: Slots in which ``share`` is stated; sources below one slot show the stream ''. The schedule does not depend on it.
 CYCLE = 500
 #: Rows of a block.
 BLOCK = 16
 #: Default target weight of a source: its number of rows to this power.
 TEMPERATURE = 0.7
+#: Slots the driver holds at a time.
+CHUNK_SLOTS = 250_000
+
 
+def earliest_deadline_first(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, call) of slot 0, 1, ...: positions in the lists and how often the source was called before.
 
-def earliest_deadline_first(streams: DataFrame) -> DataFrame:
-    """(stream, share, cycle, turn, offset): the slots of one cycle, from (stream, share); ``turn`` counts a stream's
-    slots from 0. The number of slots is the sum of the shares, bounded by the weights, not by the corpus."""
-    one = streams.filter(F.col("share") > 0).agg(
-        F.array_sort(F.collect_list(F.struct("stream", "share"))).alias("all"),
-        F.sum("share").cast("long").alias("cycle")).filter(F.size("all") > 0)
-
-    def step(state: Column, now: Column) -> Column:
-        # the streams' next blocks that may start now; a deadline is ceil((done + 1) * cycle / share)
-        open_ = F.transform(state["done"], lambda done, j: F.when(
-            (done < F.get("all", j)["share"]) & (done * F.col("cycle") < (now + 1) * F.get("all", j)["share"]),
-            F.struct((-F.floor(-(done + 1) * F.col("cycle") / F.get("all", j)["share"])).alias("due"), j.alias("j"))))
-        best = F.array(F.array_min(F.filter(open_, lambda x: x.isNotNull()))["j"])
-        # the one-element array names the choice, so it is made once a slot
-        return F.get(F.transform(best, lambda b: F.struct(
-            F.transform(state["done"], lambda done, j: done + F.when(j == b, 1).otherwise(0)).alias("done"),
-            F.concat(state["order"], F.array(b)).alias("order"))), F.lit(0))
-
-    start = F.struct(F.transform("all", lambda x: F.lit(0)).alias("done"),
-                     F.slice(F.array(F.lit(0)), 1, 0).alias("order"))
-    order = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("cycle") - 1), start, step)["order"]
-    slots = one.withColumn("order", order).select("all", "cycle", F.posexplode("order").alias("offset", "j"))
-    return slots.select(
-        F.get("all", F.col("j"))["stream"].alias("stream"), F.get("all", F.col("j"))["share"].alias("share"), "cycle",
-        (F.row_number().over(Window.partitionBy("j").orderBy("offset")) - 1).alias("turn"), "offset")
+    Weights are positive and taken exactly. Ends when every source has been called ``blocks`` times (at least 1).
+    """
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    sizes = [w.numerator * (unit // w.denominator) for w in exact]
+    total, left = sum(sizes), len(sizes)
+    done = [0] * left
+    ready = [(-(-total // n), j) for j, n in enumerate(sizes)]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int]] = []
+    now = 0
+    while left:
+        while waiting and waiting[0][0] <= now:
+            j = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[j] + 1) * total // sizes[j]), j))
+        j = heapq.heappop(ready)[1]  # the weights fill every slot, so some block may always start
+        yield j, done[j]
+        done[j] += 1
+        left -= done[j] == blocks[j]
+        heapq.heappush(waiting, (done[j] * total // sizes[j], j))
+        now += 1
+
+
+def _schedule(spark: SparkSession, sources: list, key: str, block: str) -> DataFrame:
+    """(``key``, ``block``, epoch, slot): what each slot of the mix holds, from rows (source, weight, blocks).
+
+    Kept as Parquet in the shared folder and written in chunks.
+    """
+    path = scratch_path(spark, "llm-mix")
+    schema = f"`{key}` string, `{block}` long, epoch long, slot long"
+    names, blocks = [r["source"] for r in sources], [r["blocks"] for r in sources]
+    chunk: list[tuple] = []
+
+    def write() -> None:
+        frame = pd.DataFrame(chunk, columns=[key, block, "epoch", "slot"])
+        spark.createDataFrame(frame, schema).write.mode("append").parquet(path)
+        chunk.clear()
+
+    for slot, (j, call) in enumerate(earliest_deadline_first([r["weight"] for r in sources], blocks)):
+        chunk.append((names[j], call % blocks[j], call // blocks[j], slot))
+        if len(chunk) == CHUNK_SLOTS:
+            write()
+    if chunk or not sources:
+        write()
+    kept(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def tempered_weights(df: DataFrame, source: Column, power: float = TEMPERATURE) -> DataFrame:
@@ -55,56 +89,43 @@ def tempered_weights(df: DataFrame, source: Column, power: float = TEMPERATURE)
             .agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("weight")))
 
 
-def _shares(weights: DataFrame, cycle: int) -> DataFrame:
-    """(source, stream, share): slots in the cycle, rounded up; sources below one slot share the pooled stream ''."""
-    positive = weights.filter(F.col("weight") > 0)
-    total = positive.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
-    slots = F.col("weight") * cycle / F.lit(total)
-    named = positive.withColumn("stream", F.when(slots >= 1, F.concat(F.lit("s:"), "source")).otherwise(F.lit("")))
-    shares = named.groupBy("stream").agg(F.ceil(F.sum(slots)).cast("long").alias("share"))
-    return named.join(shares, "stream").select(F.col("source").alias("mix_source"), "stream", "share")
-
-
 def pfair_mix(df: DataFrame, source: Column, tie: list[Column], weights: DataFrame | None = None,
               cycle: int = CYCLE, block: int = BLOCK) -> DataFrame:
     """Rows of ``df`` in mixing order: adds ``stream``, ``share``, ``cycle``, ``block``, ``epoch``, ``slot``, ``position``.
 
-    ``weights`` has (source, weight); a source without a positive weight takes no part, and by default every source
-    has its ``tempered_weights``. The mix ends when each stream has given all its blocks once; until then streams that
-    run out start again (``epoch`` counts from 0), so no document is dropped and each prefix of slots keeps the
-    weights to less than one block. Inside a source the order is by a hash of ``tie``. The last block of a stream may
-    be short. An empty table gives an empty result; columns of ``df`` with one of the added names are replaced.
+    ``weights`` has (source, weight), weights of one source add up; a source without a positive weight takes no part,
+    and by default every source has its ``tempered_weights``. Targets are the weights over their sum for the sources
+    that have rows. The mix ends when each source has given all its blocks once; until then sources that run out start
+    again (``epoch`` counts from 0), so no document is dropped and each prefix of slots keeps the weights to less than
+    one block. Inside a source the order is by a hash of ``tie``. The last block of a source may be short. ``share`` is
+    the source's target in slots of ``cycle``, not rounded; ``stream`` names the source, or is '' for sources below one
+    slot, which are scheduled like the others. An empty table gives an empty result; columns of ``df`` with one of the
+    added names are replaced.
     """
     added = ["stream", "share", "cycle", "block", "epoch", "slot", "position"]
     df = df.drop(*added)
-    key, place, rows, turn, instance = (name_beside(df, n) for n in ("mix_source", "place", "rows", "turn", "instance"))
+    key, place, rows = (name_beside(df, n) for n in ("mix_source", "place", "rows"))
     weights = tempered_weights(df, source) if weights is None else weights
-    named = _shares(weights, cycle)
-    plan = checkpointed(earliest_deadline_first(named.select("stream", "share").distinct()))
-
+    weights = (weights.filter((F.col("weight") > 0) & (F.col("weight") < float("inf")))
+               .groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+               .agg(F.sum(F.col("weight").cast("double")).alias("weight")))
     keyed = df.withColumn(key, F.coalesce(source.cast("string"), F.lit("")))
-    keyed = keyed.join(named.withColumnRenamed("mix_source", key), key)
-    counts = keyed.groupBy("stream").agg(F.count(F.lit(1)).alias(rows)).withColumn(
-        "blocks", F.expr(f"(`{rows}` + {block - 1}) div {block}"))
-    # the slot after the last block of the first epoch, and how often each stream is called until the latest of them
-    last = (counts.join(plan, "stream").filter(F.expr("turn = (blocks - 1) % share"))
-            .agg(F.max(F.expr("(blocks - 1) div share * cycle + offset + 1")).alias("end")).first()["end"] or 0)
-    streams = plan.groupBy("stream").agg(
-        (F.expr(f"{last}L div any_value(cycle) * any_value(share)")
-         + F.count(F.when(F.expr(f"offset < {last}L % cycle"), 1))).alias("calls"))
-    dealt = ranked(keyed, ["stream"], tie, place, rows).join(F.broadcast(streams), "stream")
-    dealt = (dealt.withColumn("block", F.expr(f"`{place}` div {block}"))
-             .withColumn(rows, F.expr(f"(`{rows}` + {block - 1}) div {block}"))
-             .withColumn(instance, F.explode(F.when(F.col("block") < F.col("calls"), F.sequence(
-                 F.col("block"), F.col("calls") - 1, F.col(rows)))))
-             .withColumn("epoch", F.expr(f"`{instance}` div `{rows}`"))
-             .withColumn(turn, F.expr(f"`{instance}` % share")).drop("share"))
-    slots = plan.withColumnRenamed("turn", turn)
-    # a cycle has at most twice CYCLE slots, so both plan tables are bounded
-    return (dealt.join(F.broadcast(slots), ["stream", turn])
-            .withColumn("slot", F.expr(f"`{instance}` div share * cycle + offset"))
+    counts = keyed.groupBy(F.col(key).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    # one row a source
+    sources = counts.join(weights, "source").select(
+        "source", "weight", F.expr(f"(n + {block - 1}) div {block}").alias("blocks")).orderBy("source").collect()
+    total = math.fsum(r["weight"] for r in sources) or 1.0
+    slots = _schedule(df.sparkSession, sources, key, "block")
+
+    # each block of a source meets one slot an epoch
+    dealt = ranked(keyed, [key], tie, place, rows).withColumn("block", F.expr(f"`{place}` div {block}"))
+    share = F.col("weight") * cycle / F.lit(total)
+    shares = weights.select(F.col("source").alias(key), share.alias("share"), F.when(
+        share >= 1, F.concat(F.lit("s:"), "source")).otherwise(F.lit("")).alias("stream"))
+    return (dealt.join(shares, key).join(slots, [key, "block"])
+            .withColumn("cycle", F.lit(cycle).cast("long"))
             .withColumn("position", F.expr(f"slot * {block} + `{place}` % {block}"))
-            .drop(key, place, rows, turn, instance, "calls", "offset"))
+            .drop(key, place, rows))
 
 
 def in_mixing_order(mixed: DataFrame) -> DataFrame:

@@ -88,6 +88,25 @@ def test_mix_takes_given_weights_and_pools_small_sources(spark):
     assert {r["source"] for r in none.collect()} == {"a"}
 
 
+def test_mix_keeps_unrounded_weights_of_many_sources(spark):
+    """2,000 sources of very different weights, all below or about one slot of the cycle but one."""
+    weight = {f"s{i}": 2000.0 if i == 0 else 0.37 + i % 7 * 0.41 for i in range(2000)}
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2000).alias("source"))
+    given = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    rows = mixing.pfair_mix(docs, F.col("source"), [F.col("doc_id")], given, block=2).select("slot", "source", "doc_id").collect()
+    assert len({r["doc_id"] for r in rows}) == 12_000
+    at = {}
+    for r in rows:
+        at.setdefault(r["source"], set()).add(r["slot"])
+    assert sorted(t for s in at.values() for t in s) == list(range(sum(map(len, at.values()))))
+    total = sum(weight.values())
+    for s, slots in at.items():
+        # a source is furthest behind just before a slot of its own and furthest ahead just after it
+        for i, t in enumerate(sorted(slots)):
+            assert t * weight[s] / total - i < 1 and i + 1 - (t + 1) * weight[s] / total < 1
+        assert max(map(max, at.values())) * weight[s] / total - len(slots) < 1
+
+
 def test_shards_prune_and_keep_law(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     dims = sharding.document_dimensions()
