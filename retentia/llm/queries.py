@@ -49,10 +49,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = tokens.count_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
-    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    return sizes.join(counts, "doc_id").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    counts = tokens.count_bytes_and_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
 @query

@@ -14,9 +14,11 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,49 +97,59 @@ def chunk_edges(tokenizer, text: str, start: int, overlap: int, last: bool) -> t
 
 def count_tokens(df: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
                  overlap: int = OVERLAP) -> DataFrame:
-    """(row columns of ``key``, n_tokens): what the tokenizer file at ``path`` gives for each whole text.
+    """(``key``, n_tokens) of each row, see ``count_bytes_and_tokens``."""
+    return count_bytes_and_tokens(df, key, text, path, chunk, overlap).drop("n_bytes")
+
+
+def count_bytes_and_tokens(df: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
+                           overlap: int = OVERLAP) -> DataFrame:
+    """(``key``, n_bytes, n_tokens): UTF-8 bytes and what the tokenizer file at ``path`` gives for each whole text.
 
     No begin, end or added special tokens, no truncation; special strings in a text are read as the library reads them
-    by default. Null and empty texts have 0 tokens. ``path`` must exist on every executor. ``key`` names an integer
-    column; rows with an equal or null key are counted each for itself in short texts and must be unique for texts
-    longer than ``chunk`` characters.
+    by default. Null and empty texts have 0 of both. ``path`` must exist on every executor. One row for each row of
+    ``df``: ``key`` is carried along and may be null or repeated, in texts of any length. Texts longer than ``chunk``
+    characters are named by their SHA-256; equal ones are counted once.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    full = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).alias("key"), F.octet_length(full).cast("long").alias("n_bytes"), full.alias("text"))
     short = rows.filter(F.length("text") <= chunk)
-    long = rows.filter(F.length("text") > chunk)
+    named = rows.filter(F.length("text") > chunk).withColumn("id", F.sha2("text", 256))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "n_tokens": [counter.count(t) for t in batch["text"]]})
+            # keys stay in Arrow: pandas would turn integers beside nulls into floats
+            n = pa.array([counter.count(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), n],
+                                             names=["key", "n_bytes", "n_tokens"])
 
-    done = [short.mapInPandas(whole, f"key {kind}, n_tokens long")]
+    done, long = [], named.select("id", "text")
     while True:
-        spliced = checkpointed(_spliced(long, kind, path, chunk, overlap))
-        done.append(spliced.filter(~F.col("failed")).select("key", "n_tokens"))
-        failed = spliced.filter("failed").select("key")
+        spliced = checkpointed(_spliced(long, path, chunk, overlap))
+        done.append(spliced.filter(~F.col("failed")).select("id", "n_tokens"))
+        failed = spliced.filter("failed").select("id")
         if failed.isEmpty():
             break
         # an overlap without a common boundary: widen, and keep chunks at least twice as long as their overlap
         overlap *= 4
         chunk = max(chunk, 2 * overlap)
-        long = long.join(failed, "key", "left_semi")
-    counted = done[0]
-    for part in done[1:]:
-        counted = counted.unionByName(part)
-    return counted.withColumnRenamed("key", key)
+        long = long.join(failed, "id", "left_semi")
+    counts = reduce(DataFrame.unionByName, done)
+    return (short.mapInArrow(whole, f"key {kind}, n_bytes long, n_tokens long")
+            .unionByName(named.drop("text").join(counts, "id").drop("id"))
+            .withColumnRenamed("key", key))
 
 
-def _spliced(long: DataFrame, kind: str, path: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, n_tokens, failed) of documents longer than a chunk."""
+def _spliced(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """(id, n_tokens, failed) of texts longer than a chunk, from (id, text); rows of one id have the same text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
+            for name, text in zip(batch["id"], batch["text"]):
                 # one chunk a frame: an input batch of huge texts never doubles in memory
                 for k, start in enumerate(range(0, len(text), chunk)):
-                    yield pd.DataFrame({"key": [key], "k": [k], "start": [start],
+                    yield pd.DataFrame({"id": [name], "k": [k], "start": [start],
                                         "last": [start + chunk + overlap >= len(text)],
                                         "piece": [text[start:start + chunk + overlap]]})
                     if start + chunk + overlap >= len(text):
@@ -146,22 +158,23 @@ def _spliced(long: DataFrame, kind: str, path: str, chunk: int, overlap: int) ->
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = Counter(path).tokenizer
         for batch in batches:
-            for key, k, start, last, piece in batch.itertuples(index=False):
+            for name, k, start, last, piece in batch.itertuples(index=False):
                 total, *lists = chunk_edges(tokenizer, piece, start, overlap, last)
-                yield pd.DataFrame({"key": [key], "k": [k], "last": [last], "total": [total], "head": [lists[0]],
+                yield pd.DataFrame({"id": [name], "k": [k], "last": [last], "total": [total], "head": [lists[0]],
                                     "head_before": [lists[1]], "tail": [lists[2]], "tail_before": [lists[3]]})
 
-    pieces = long.mapInPandas(cut, f"key {kind}, k int, start long, last boolean, piece string")
-    # chunks of one document spread over the tasks
-    parts = checkpointed(pieces.repartition("key", "k").mapInPandas(
-        edges, f"key {kind}, k int, last boolean, total long, head array<long>, head_before array<long>, "
+    pieces = long.mapInPandas(cut, "id string, k int, start long, last boolean, piece string")
+    # chunks of one document spread over the tasks; those of equal texts become one, on the map side first
+    pieces = pieces.dropDuplicates(["id", "k"])
+    parts = checkpointed(pieces.mapInPandas(
+        edges, "id string, k int, last boolean, total long, head array<long>, head_before array<long>, "
                "tail array<long>, tail_before array<long>"))
-    right = parts.select("key", (F.col("k") - 1).alias("k"), "head", "head_before")
-    joined = parts.drop("head", "head_before").join(right, ["key", "k"], "left")
+    right = parts.select("id", (F.col("k") - 1).alias("k"), "head", "head_before")
+    joined = parts.drop("head", "head_before").join(right, ["id", "k"], "left")
     splice = F.array_min(F.array_intersect("tail", "head"))
     at = lambda where, value: F.element_at(value, F.array_position(where, F.col("splice")).cast("int"))
     counted = joined.withColumn("splice", splice).select(
-        "key", (~F.col("last") & F.col("splice").isNull()).alias("failed"),
+        "id", (~F.col("last") & F.col("splice").isNull()).alias("failed"),
         F.when(F.col("last"), F.col("total")).otherwise(
             at(F.col("tail"), F.col("tail_before")) - at(F.col("head"), F.col("head_before"))).alias("n"))
-    return counted.groupBy("key").agg(F.sum("n").alias("n_tokens"), F.max("failed").alias("failed"))
+    return counted.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.max("failed").alias("failed"))

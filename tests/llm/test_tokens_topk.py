@@ -44,6 +44,20 @@ def test_repeated_and_null_keys(spark):
     assert counted(df.limit(0)) == []
 
 
+def test_query_keeps_every_row_of_null_and_repeated_keys(spark, tmp_path, library):
+    long, other = "some words, é 12 and more " * 8_000, "日本 other text " * 9_000
+    assert min(len(long), len(other)) > 1.9 * tokens.CHUNK
+    big = 2**60 + 1
+    rows = [(None, "a b"), (None, long), (None, long), (None, other), (1, long), (1, long), (1, other), (1, "a b"),
+            (1, "a b"), (big, "c"), (big, other), (big, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.QUERIES["op4_token_counts"](spark, str(tmp_path)).collect()]
+    size = {t: (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for t in ("", "a b", "c", long, other)}
+    want = [(k, *size[t or ""], size[t or ""][1] > 1024) for k, t in rows]
+    order = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_top_k_equals_sql(spark, sf_dir):
     name = "op8_pivot_top_k"
