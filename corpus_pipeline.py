@@ -11,10 +11,13 @@ from retentia.llm.queries import may_train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the score at which toxic text is rejected; texts without words score as clean."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), may_train("doc_id"))
+    """Documents below the score from which 95 % are toxic by cross-fitted training labels; texts without words score
+    as clean."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, may_train("doc_id"))
+    cut = toxicity.rejection_cut(docs, labels, may_train("doc_id"))
     score = name_beside(docs, "score")
-    return docs.withColumn(score, toxicity.score(model)("text")).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
+    return docs.withColumn(score, toxicity.score(model)("text")).filter(F.col(score) < cut).drop(score)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 POSITIVES, UNLABELLED = 3_000, 6_000
 #: Hash space of the features and number of features that carry a weight.
 BUCKETS, FEATURES = 1 << 18, 512
-#: A document is rejected from this score on.
+#: A document is predicted toxic from this score on.
 THRESHOLD = 0.3
+#: Share of toxic ones aimed at among the documents that are rejected, and models that are fitted to choose the cut.
+PRECISION, FOLDS = 0.95, 3
+#: Steps of the score in which the cut is chosen.
+CUT_STEPS = 1_000
 #: A feature counts if its document frequencies differ by so many standard errors.
 LEAST_Z = 4
 PRIOR = 0.1
@@ -152,8 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
     of toxic documents among the labelled ones, ``PRIOR`` without negative labels. The unlabelled texts are drawn from
     all documents, whatever their label: the risk estimator takes the positives' share out of them.
     """
-    known = (labels.filter(usable & F.col(key).isNotNull() & F.col(label).isNotNull())
-             .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic_label")))
+    known = _known(labels, usable, key, label)
     count = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic_label").alias("p")).first()
     prior = count["p"] / count["n"] if count["n"] and count["p"] < count["n"] else PRIOR
     toxic = known.filter(F.col("toxic_label") == 1).select(key)
@@ -167,6 +170,48 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
                  for s in (first, second)), prior)
 
 
+def _known(labels: DataFrame, usable: Column, key: str, label: str) -> DataFrame:
+    return (labels.filter(usable & F.col(key).isNotNull() & F.col(label).isNotNull())
+            .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic_label")))
+
+
+def cross_fitted(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
+                 label: str = "toxic", folds: int = FOLDS) -> DataFrame:
+    """(score, toxic_label) of the labelled rows where ``usable`` holds, each by a model fitted without its id."""
+    fold = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fold")), F.lit(folds)).cast("int")
+    models = [train(docs, labels, usable & (fold != i), key, text, label) for i in range(folds)]
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        of = [model.scorer() for model in models]
+        for texts, numbers in batches:
+            yield pd.Series([of[i](t) for t, i in zip(texts, numbers)], dtype="float64")
+
+    rows = docs.select(key, text).join(_known(labels, usable, key, label), key)
+    return rows.select(scored(F.col(text), fold).alias("score"), "toxic_label")
+
+
+def rejection_cut(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
+                  label: str = "toxic", precision: float = PRECISION, folds: int = FOLDS) -> float:
+    """The lowest score, ``THRESHOLD`` at least, from which ``precision`` of the ``cross_fitted`` rows are toxic.
+
+    Held-out rows are not read. A precision of p can be told from 1 / (1 - p) rows or more: with fewer rows from
+    ``THRESHOLD`` on the cut is ``THRESHOLD``; where no cut reaches the precision on that many it is infinite, and
+    nothing is rejected.
+    """
+    least = 1 / (1 - precision)
+    step = F.floor(F.col("score") * CUT_STEPS).cast("int")
+    # one count for each step of the score
+    counts = cross_fitted(docs, labels, usable, key, text, label, folds).filter(F.col("score") >= THRESHOLD).groupBy(
+        step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic_label").alias("toxic")).collect()
+    cut, n, toxic = math.inf, 0, 0
+    for row in sorted(counts, reverse=True):
+        n, toxic = n + row["n"], toxic + row["toxic"]
+        if n >= least and toxic >= precision * n:
+            cut = row["step"] / CUT_STEPS
+    return max(cut, THRESHOLD) if n >= least else THRESHOLD
+
+
 def score(model: Model):
     """A Column function from texts to scores; null and empty texts get the score of a text without known words."""
 

@@ -1,3 +1,4 @@
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,6 +15,17 @@ def test_held_out_accuracy(spark):
     assert rows.score.between(0, 1).all()
 
 
+def test_stage_rejects_few_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id")
+    held_out = labels.filter(~queries.may_train("doc_id"))
+    rejected = [r["toxic"] for r in held_out.join(kept, "doc_id", "left_anti").collect()]
+    toxic = held_out.filter("toxic = 1").count()
+    print(f"rejected {len(rejected)}, of them toxic {sum(rejected)}, toxic in all {toxic}")
+    assert sum(rejected) >= 0.95 * len(rejected) and sum(rejected) >= 0.6 * toxic
+
+
 def test_labels_of_held_out_rows_are_not_read(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     usable = queries.may_train("doc_id")
