@@ -105,7 +105,8 @@ def best_of_block(q: np.ndarray, q_keys: np.ndarray, q_dist: np.ndarray, x: np.n
 def top_k(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, scale: int = SCALE,
           pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank from 1, ``key``, score): each query's ``k`` largest integer inner products, ties to the
-    smaller key; a query's own key is no candidate. ``key`` is an integer id, expected to be unique.
+    smaller key; a query's own key is no candidate. ``key`` is an integer id. Rows of the same key and integer vector count
+    once, as queries and as candidates; a key with several different vectors has each of them ranked.
 
     Queries and candidates are dealt into blocks and every pair of blocks meets in one task, which keeps ``k`` rows a
     query; the work is |queries| x |candidates| at most, the shuffle |candidates| x query blocks. Only vectors of the
@@ -113,8 +114,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k: i
     """
     vectors = quantised(candidates, key, vector, scale)
     indexed, axes, norms = pivot_table(vectors, pivots)
-    indexed = checkpointed(indexed)
-    asked = quantised(queries, key, vector, scale).filter(F.col("dim").isin(list(axes) or [0]))
+    indexed = checkpointed(indexed.dropDuplicates(["key", "v"]))
+    asked = quantised(queries, key, vector, scale).filter(F.col("dim").isin(list(axes) or [0])).dropDuplicates(["key", "v"])
     n_queries, n = max(asked.count(), 1), max(indexed.count(), 1)
     across, down = -(-n_queries // QUERY_BLOCK), -(-n // CANDIDATE_BLOCK)
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

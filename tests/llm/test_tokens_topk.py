@@ -82,3 +82,12 @@ def test_top_k_edges_and_blocks(spark, monkeypatch):
             want += [(q, rank, i, -s) for rank, (s, i) in enumerate(near, 1)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), df, "vec_id", "embedding").collect() == []
+
+
+def test_repeated_rows_of_top_k_count_once(spark):
+    rows = [(i, [i + 1.0, 1.0]) for i in range(20)]
+    df, again = (spark.createDataFrame(r, "vec_id long, embedding array<double>") for r in (rows, rows + rows[10:]))
+    best = lambda *a: sorted(map(tuple, topk.top_k(*a, "vec_id", "embedding").collect()))
+    want = best(df, df)
+    assert len(want) == 100 and [r[2] for r in want[:5]] == [19, 18, 17, 16, 15]
+    assert best(df, again) == want and best(again, df) == want and best(again, again) == want
