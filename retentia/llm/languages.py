@@ -128,7 +128,8 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
         group, sums = TaskContext.get().partitionId() % GROUPS, {}
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"lang": list(sums), "part": group, "total": [s.tobytes() for s in sums.values()]})
+            out = pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "part": group,
+                                "total": pd.Series([s.tobytes() for s in sums.values()], dtype=object)})
             sums.clear()
             return out
 
@@ -148,7 +149,8 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
 
     def combine(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(t, dtype=np.int64) for t in rows["total"])
-        return rows.iloc[:1].assign(total=[total.tobytes()])
+        return pd.DataFrame({"lang": pd.Series([rows["lang"].iloc[0]], dtype=object), "part": rows["part"].iloc[:1].to_numpy(),
+                             "total": [total.tobytes()]})
 
     kind = "lang string, part int, total binary"
     parts = (docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
