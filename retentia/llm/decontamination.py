@@ -10,6 +10,7 @@ exact word edit distance.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -18,10 +19,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentia.llm.common import stored
+
 #: Least similarity of a match: 1 - edits / words of the item.
 SIMILARITY = 0.8
-#: Sampled places of a key and independent repetitions.
-PLACES, REPEATS = 2, 32
+#: Sampled places of a key, the share of matches to be found, and independent repetitions at least.
+PLACES, RECALL, REPEATS = 2, 0.97, 32
+#: Chance that two sampled places agree at the most edits, times the root of the item's words. Measured: a repetition finds
+#: a window 20 % of whose words are edited with probability 0.08 at 300 words and 0.058 at 600; the walks drift apart like
+#: a random walk.
+IN_STEP = 1.3
+#: Bytes of random bits kept between walks.
+BITS_KEPT = 64_000_000
 #: Bytes of item texts searched in one pass; larger benchmarks are searched in blocks.
 ITEM_BYTES = 16_000_000
 #: Words of documents that are compared at once.
@@ -39,11 +48,17 @@ def words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPACE).split() if text else []
 
 
+def repetitions(length: int, places: int = PLACES, recall: float = RECALL, least: int = REPEATS) -> int:
+    """Repetitions that find an item of ``length`` words with probability ``recall`` at the most edits."""
+    chance = min(IN_STEP / math.sqrt(length), 0.5) ** (places / PLACES)
+    return max(least, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+
 class Items:
     """The items of one block, their words numbered from 1, and the LSH tables by item length."""
 
     def __init__(self, rows: Iterable[tuple], similarity: float = SIMILARITY, places: int = PLACES,
-                 repeats: int = REPEATS, seed: int = 7):
+                 recall: float = RECALL, seed: int = 7):
         self.vocabulary: dict[bytes, int] = {}
         by_length = defaultdict(list)
         for item, text in rows:
@@ -56,10 +71,10 @@ class Items:
             for _, ids in items:
                 spread[np.unique(ids)] += 1
         rare = spread <= max(1, RARE * sum(map(len, by_length.values())))
-        rng = np.random.default_rng(seed)
-        self.longest = longest = max(by_length, default=0)
-        self.bits = rng.integers(0, 2, size=(repeats, 2 * longest + 1, _BITS), dtype=np.int8)
-        self.at = rng.random((repeats, places))
+        self.longest = max(by_length, default=0)
+        self.repeats = {n: repetitions(n, places, recall) for n in by_length}
+        self.seed, self.kept = seed, {}
+        self.at = np.random.default_rng(seed).random((max(self.repeats.values(), default=0), places))
         self.classes, self.bands = [], []
         for length, edits, needed, items in self._classes(by_length, rare, similarity):
             matrix = np.array([ids for _, ids in items], dtype=np.int32)
@@ -96,7 +111,7 @@ class Items:
 
         All walks go on side by side; a key takes up the walk's output at its sampled places.
         """
-        places = (self.at * 2 * length).astype(int)
+        places = (self.at[:self.repeats[length]] * 2 * length).astype(int)
         sampled = defaultdict(list)
         for repeat, place in np.ndindex(places.shape):
             sampled[places[repeat, place]].append(repeat)
@@ -108,9 +123,18 @@ class Items:
             for repeat in sampled.get(step, ()):
                 own = key[repeat] * np.uint64(0x9E3779B97F4A7C15) + word[repeat].astype(np.uint64) + np.uint64(step)
                 key[repeat] = own ^ (own >> np.uint64(29))
-            at += np.take_along_axis(self.bits[:, step], word & (_BITS - 1), axis=1)
+            at += np.take_along_axis(self.bits(step)[:len(places)], word & (_BITS - 1), axis=1)
         return key
 
+    def bits(self, step: int) -> np.ndarray:
+        """Random bits (repeat, word) of one step of the walks."""
+        if (own := self.kept.get(step)) is None:
+            draw = np.random.Generator(np.random.Philox(key=[self.seed, step]))
+            own = draw.integers(0, 2, size=(len(self.at), _BITS), dtype=np.int8)
+            if (len(self.kept) + 1) * own.size <= BITS_KEPT:
+                self.kept[step] = own
+        return own
+
     def matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item number in its class, class, start, edits) of all matches in a sequence of word numbers.
 
@@ -205,13 +229,15 @@ def search(items: Items, texts: Iterable[str | None]) -> Iterator[list[tuple]]:
         yield from flush(waiting)
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_bytes: int = ITEM_BYTES) -> list[list[tuple]]:
-    """The items in lists of about ``block_bytes`` bytes; null texts have no words and are left out."""
+def item_blocks(items: DataFrame, key: str, text: str, block_bytes: int = ITEM_BYTES) -> Iterator[tuple[list[tuple], bool]]:
+    """The items in lists of about ``block_bytes`` bytes, one at a time, each with whether it is the last; null texts have no
+    words and are left out."""
     rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     size = rows.agg(F.sum(F.octet_length("t") + 64).alias("s")).first()["s"] or 0
     blocks = size // block_bytes + 1
     part = F.pmod(F.xxhash64("k", "t"), F.lit(blocks))
-    return [sorted(((r["k"], r["t"]) for r in rows.filter(part == b).collect()), key=str) for b in range(blocks)]
+    for b in range(blocks):
+        yield sorted(((r["k"], r["t"]) for r in rows.filter(part == b).collect()), key=str), b == blocks - 1
 
 
 def benchmark_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
@@ -226,7 +252,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     schema = f"d {kinds[0]}, i {kinds[1]}, first_word long, n_words int, edits int"
     rows = docs.select(F.col(key).alias("d"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
     out = None
-    for block in item_blocks(items, item_key, item_text):
+    for block, last in item_blocks(items, item_key, item_text):
         def scan(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             held = Items(block, similarity)
             for batch in batches:
@@ -235,6 +261,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
                 yield pd.DataFrame(found, columns=["d", "i", "first_word", "n_words", "edits"])
 
         part = rows.mapInPandas(scan, schema)
+        if not last:  # written, so that the driver and the plan hold one block of items
+            part = stored(part, "benchmark-matches")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("d").alias(key), F.col("i").alias(item_key), "first_word", "n_words", "edits",
                       (1 - F.col("edits") / F.col("n_words")).alias("similarity"))
@@ -243,8 +271,9 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",
                    item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no item; no join, so rows without a key are judged like all others."""
-    for block in item_blocks(items, item_key, item_text):
+    for block, last in item_blocks(items, item_key, item_text):
         docs = docs.filter(_clean(block, similarity)(F.col(text)))
+        docs = docs if last else stored(docs, "decontaminated")
     return docs
 
 

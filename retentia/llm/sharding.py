@@ -29,10 +29,11 @@ class Dimension:
     kind: str = "linear"
 
 
-def document_dimensions() -> list[Dimension]:
-    return [Dimension("source", F.col("source"), "category"), Dimension("lang", F.col("lang"), "category"),
-            Dimension("size", F.octet_length(F.coalesce("text", F.lit(""))) + 1, "log"),
-            Dimension("doc_id", F.col("doc_id"))]
+def document_dimensions(prefix: str = "") -> list[Dimension]:
+    """Source, language, size and id of documents; ``prefix`` names a struct that holds them."""
+    source, lang, text, key = (F.col(prefix + c) for c in ("source", "lang", "text", "doc_id"))
+    return [Dimension("source", source, "category"), Dimension("lang", lang, "category"),
+            Dimension("size", F.octet_length(F.coalesce(text, F.lit(""))) + 1, "log"), Dimension("doc_id", key)]
 
 
 def _rotate(x: int, by: int, n: int) -> int:

@@ -14,12 +14,16 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentia.llm.common import stored
+
 #: Most rows the model is fitted on: toxic examples and unlabelled texts, drawn by hash of the id.
 POSITIVES, UNLABELLED = 3_000, 6_000
 #: Hash space of the features and number of features that carry a weight.
@@ -49,23 +53,46 @@ def buckets(word: str) -> list[int]:
 
 
 class Features(dict):
-    """Buckets of words, remembered; only those in ``wanted`` if given."""
-
-    def __init__(self, wanted=None):
-        super().__init__()
-        self.wanted = wanted
+    """Buckets of words, remembered."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> list[int]:
         if len(self) >= 100_000:
             self.clear()
-        own = buckets(word)
-        self[word] = kept = tuple(own if self.wanted is None else [b for b in own if b in self.wanted])
-        return kept
+        self[word] = own = buckets(word)
+        return own
 
     def of(self, text: str | None) -> set[int]:
         return {b for w in words(text) for b in self[w]}
 
 
+class Masks(dict):
+    """The wanted buckets of words as bits of a whole number, remembered."""
+
+    def __init__(self, wanted):
+        super().__init__()
+        self.place = {b: i for i, b in enumerate(wanted)}
+        self.width = -(-len(self.place) // 8)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        own = 0
+        for b in buckets(word):
+            if (i := self.place.get(b)) is not None:
+                own |= 1 << i
+        self[word] = own
+        return own
+
+    def of(self, text: str | None) -> bytes:
+        """The buckets of a text, one bit each."""
+        return reduce(or_, map(self.__getitem__, words(text)), 0).to_bytes(self.width, "little")
+
+    def matrix(self, rows: list[bytes]) -> np.ndarray:
+        """Rows of ``of`` as zeros and ones, a column a bucket."""
+        packed = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), self.width)
+        return np.unpackbits(packed, axis=1, count=len(self.place), bitorder="little")
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights of hashed features and a bias; ``prior`` is the share of toxic texts it was fitted with."""
@@ -76,34 +103,25 @@ class Model:
     prior: float
 
     def scorer(self):
-        """A function from a text to its score, 0 to 1; it remembers the features of the words it has met."""
-        weights = dict(zip(self.buckets.tolist(), self.weights.tolist()))
-        features, bias = Features(weights), self.bias
+        """A function from texts to their scores, 0 to 1; it remembers the features of the words it has met."""
+        masks = Masks(self.buckets.tolist())
 
-        def score(text: str | None) -> float:
-            total = bias + sum(weights[b] for b in sorted(features.of(text)))
-            return 1 / (1 + math.exp(-min(max(total, -50.0), 50.0)))
+        def score(texts: list[str | None]) -> np.ndarray:
+            out = np.empty(len(texts))
+            for at in range(0, len(texts), 1_000):
+                on = masks.matrix([masks.of(t) for t in texts[at:at + 1_000]])
+                out[at:at + 1_000] = self.bias + (on * self.weights).sum(axis=1)
+            return 1 / (1 + np.exp(-np.clip(out, -50.0, 50.0)))
 
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES,
-        steps: int = 400, rate: float = 0.05, decay: float = 1e-2) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES) -> Model:
     """Fit on lists of feature buckets. Without positives or unlabelled texts every score is ``prior``."""
-    prior = float(np.clip(prior, 0.001, 0.5))
-    at_rest = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(np.empty(0, np.int64), np.empty(0), at_rest, prior)
-
     def frequency(rows: list[np.ndarray]) -> np.ndarray:
         return np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
 
-    # the features whose document frequency differs most between the two sets, by the z value of the log ratio
-    n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = frequency(positive) + 0.5, frequency(unlabelled) + 0.5
-    z = np.log(in_p / (n_p + 1) * (n_u + 1) / in_u) / np.sqrt(1 / in_p + 1 / in_u)
-    chosen = np.lexsort((np.arange(BUCKETS), -np.abs(z)))[:features]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
+    chosen = telling(frequency(positive), len(positive), frequency(unlabelled), len(unlabelled), features)
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
 
@@ -114,7 +132,26 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             x[i, own[own >= 0]] = 1
         return x
 
-    x_p, x_u = matrix(positive), matrix(unlabelled)
+    return descend(chosen, matrix(positive), matrix(unlabelled), prior)
+
+
+def telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, features: int = FEATURES) -> np.ndarray:
+    """The buckets whose document frequency differs most between positive and unlabelled texts, by the z value of the
+    log ratio."""
+    in_p, in_u = in_p + 0.5, in_u + 0.5
+    z = np.log(in_p / (n_p + 1) * (n_u + 1) / in_u) / np.sqrt(1 / in_p + 1 / in_u)
+    chosen = np.lexsort((np.arange(BUCKETS), -np.abs(z)))[:features]
+    return np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
+
+
+def descend(chosen: np.ndarray, x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05,
+            decay: float = 1e-2) -> Model:
+    """Minimise the risk over rows of zeros and ones, a column for each of the buckets ``chosen``."""
+    prior = float(np.clip(prior, 0.001, 0.5))
+    at_rest = float(np.log(prior / (1 - prior)))
+    n_p, n_u = len(x_p), len(x_u)
+    if not n_p or not n_u:
+        return Model(np.empty(0, np.int64), np.empty(0), at_rest, prior)
     theta, bias = np.zeros(len(chosen)), at_rest
     mean, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -50, 50)))
@@ -135,17 +172,92 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(chosen, theta, float(bias), prior)
 
 
-def bucket_rows(df: DataFrame, text: str) -> list[np.ndarray]:
-    """The distinct buckets of each different text; for bounded samples only."""
+def _known(labels: DataFrame, usable: Column, key: str, label: str) -> DataFrame:
+    return (labels.filter(usable & F.col(key).isNotNull() & F.col(label).isNotNull())
+            .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic_label")))
+
+
+def _fold(key: str, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fold")), F.lit(max(folds, 1))).cast("int")
+
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features()
+def _drawn(docs: DataFrame, known: DataFrame, usable: Column, key: str, text: str, positives: int, unlabelled: int,
+           folds: int) -> DataFrame:
+    """(text, positive, fold): the samples, each different text once; written, so that it is read twice."""
+    draw = F.xxhash64(F.col(key).cast("string"))
+    toxic = known.filter(F.col("toxic_label") == 1).select(key).orderBy(draw, key).limit(positives)
+    ids = docs.select(key).filter(usable & F.col(key).isNotNull()).distinct().orderBy(draw, key).limit(unlabelled)
+    both = toxic.withColumn("positive", F.lit(True)).unionByName(ids.withColumn("positive", F.lit(False)))
+    # the samples are bounded by the parameters, so their texts may be looked up by broadcast
+    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(both), key)
+    return stored(rows.select("text", "positive", _fold(key, folds).alias("fold")).dropDuplicates(), "toxicity-sample")
+
+
+def _frequencies(sample: DataFrame) -> dict[tuple[bool, int], tuple[int, np.ndarray]]:
+    """(texts, texts with each bucket) by (positive, fold); one array of ``BUCKETS`` counts each reaches the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features, rows, total = Features(), {}, {}
         for batch in batches:
-            yield pd.DataFrame({"b": [np.array(sorted(features.of(t)), dtype=np.int32).tobytes()
-                                      for t in batch["t"].drop_duplicates()]})
+            for t, *group in zip(batch["text"], batch["positive"], batch["fold"]):
+                group = tuple(group)
+                if group not in total:
+                    rows[group], total[group] = 0, np.zeros(BUCKETS, dtype=np.int32)
+                rows[group] += 1
+                total[group][list(features.of(t))] += 1
+        yield pd.DataFrame([(p, f, n, total[p, f].tobytes()) for (p, f), n in rows.items()],
+                           columns=["positive", "fold", "rows", "counts"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, dtype=np.int32) for c in parts["counts"])
+        return parts.iloc[:1].assign(rows=parts["rows"].sum(), counts=[total.tobytes()])
+
+    kind = "positive boolean, fold int, rows long, counts binary"
+    parts = sample.mapInPandas(count, kind).groupBy("positive", "fold").applyInPandas(add, kind)
+    return {(r["positive"], r["fold"]): (r["rows"], np.frombuffer(r["counts"], dtype=np.int32)) for r in parts.collect()}
+
+
+def train_folds(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
+                label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+                folds: int = 0) -> list[Model]:
+    """The model of all sampled rows, then one without each of the ``folds`` parts of them.
+
+    The samples are drawn once, with two scans of ``docs`` however many models. Features are chosen from counts of the
+    tasks; the driver gets those counts and, for each sampled text, one bit for each feature that some model uses.
+    """
+    known = _known(labels, usable, key, label)
+    counts = {r["fold"]: (r["n"], r["p"]) for r in known.groupBy(_fold(key, folds).alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic_label").alias("p")).collect()}
+    sample = _drawn(docs, known, usable, key, text, positives, unlabelled, folds)
+    seen = _frequencies(sample)
+    left_out = [None, *range(folds)]
+
+    def summed(positive: bool, out: int | None) -> tuple[int, np.ndarray]:
+        own = [v for (p, f), v in seen.items() if p == positive and f != out]
+        return sum(n for n, _ in own), sum((c for _, c in own), np.zeros(BUCKETS, dtype=np.int64))
+
+    chosen = []
+    for out in left_out:
+        (n_p, in_p), (n_u, in_u) = summed(True, out), summed(False, out)
+        chosen.append(telling(in_p, n_p, in_u, n_u))
+    wanted = np.unique(np.concatenate(chosen))
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        masks = Masks(wanted.tolist())
+        for batch in batches:
+            yield pd.DataFrame({"positive": batch["positive"], "fold": batch["fold"],
+                                "bits": [masks.of(t) for t in batch["text"]]})
 
-    return [np.frombuffer(r["b"], dtype=np.int32)
-            for r in df.select(F.col(text).alias("t")).mapInPandas(hashed, "b binary").collect()]
+    rows = sorted(tuple(r) for r in sample.mapInPandas(describe, "positive boolean, fold int, bits binary").collect())
+    on = Masks(wanted.tolist()).matrix([bytes(bits) for _, _, bits in rows])
+    positive, fold = np.array([r[0] for r in rows], dtype=bool), np.array([r[1] for r in rows], dtype=np.int64)
+    models = []
+    for out, own in zip(left_out, chosen):
+        x = on[:, np.searchsorted(wanted, own)].astype(np.float32)
+        n, p = (sum(v[i] for f, v in counts.items() if f != out) for i in (0, 1))
+        kept = fold != (-1 if out is None else out)
+        models.append(descend(own, x[kept & positive], x[kept & ~positive], p / n if n and p < n else PRIOR))
+    return models
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
@@ -156,60 +268,41 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id
     of toxic documents among the labelled ones, ``PRIOR`` without negative labels. The unlabelled texts are drawn from
     all documents, whatever their label: the risk estimator takes the positives' share out of them.
     """
-    known = _known(labels, usable, key, label)
-    count = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic_label").alias("p")).first()
-    prior = count["p"] / count["n"] if count["n"] and count["p"] < count["n"] else PRIOR
-    toxic = known.filter(F.col("toxic_label") == 1).select(key)
-    draw = F.xxhash64(F.col(key).cast("string"))
-    # ids first: the samples are bounded by the parameters, so their texts may be looked up by broadcast
-    first = toxic.orderBy(draw, key).limit(positives)
-    ids = docs.select(key).filter(usable & F.col(key).isNotNull())
-    second = ids.distinct().orderBy(draw, key).limit(unlabelled)
-    rows = docs.select(key, text)
-    return fit(*(bucket_rows(rows.join(F.broadcast(s), key, "left_semi"), text)
-                 for s in (first, second)), prior)
+    return train_folds(docs, labels, usable, key, text, label, positives, unlabelled)[0]
 
 
-def _known(labels: DataFrame, usable: Column, key: str, label: str) -> DataFrame:
-    return (labels.filter(usable & F.col(key).isNotNull() & F.col(label).isNotNull())
-            .groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic_label")))
-
+def train_and_cut(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
+                  label: str = "toxic", precision: float = PRECISION, folds: int = FOLDS) -> tuple[Model, float]:
+    """The model and the lowest score, ``THRESHOLD`` at least, from which ``precision`` of the labelled rows are toxic.
 
-def cross_fitted(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
-                 label: str = "toxic", folds: int = FOLDS) -> DataFrame:
-    """(score, toxic_label) of the labelled rows where ``usable`` holds, each by a model fitted without its id."""
-    fold = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fold")), F.lit(folds)).cast("int")
-    models = [train(docs, labels, usable & (fold != i), key, text, label) for i in range(folds)]
+    For the cut every labelled row where ``usable`` holds is scored by a model fitted without its part of the rows;
+    held-out rows are not read. A precision of p can be told from 1 / (1 - p) rows or more: where no cut reaches it on
+    that many rows the cut is infinite, so nothing is rejected whose rejection the labels cannot justify.
+    """
+    model, *others = train_folds(docs, labels, usable, key, text, label, folds=folds)
+    fold = _fold(key, folds)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        of = [model.scorer() for model in models]
+        of = [m.scorer() for m in others]
         for texts, numbers in batches:
-            yield pd.Series([of[i](t) for t, i in zip(texts, numbers)], dtype="float64")
+            out = np.empty(len(texts))
+            for i, score in enumerate(of):
+                own = (numbers == i).to_numpy()
+                out[own] = score(texts[own].tolist())
+            yield pd.Series(out)
 
     rows = docs.select(key, text).join(_known(labels, usable, key, label), key)
-    return rows.select(scored(F.col(text), fold).alias("score"), "toxic_label")
-
-
-def rejection_cut(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text",
-                  label: str = "toxic", precision: float = PRECISION, folds: int = FOLDS) -> float:
-    """The lowest score, ``THRESHOLD`` at least, from which ``precision`` of the ``cross_fitted`` rows are toxic.
-
-    Held-out rows are not read. A precision of p can be told from 1 / (1 - p) rows or more: with fewer rows from
-    ``THRESHOLD`` on the cut is ``THRESHOLD``; where no cut reaches the precision on that many it is infinite, and
-    nothing is rejected.
-    """
-    least = 1 / (1 - precision)
-    step = F.floor(F.col("score") * CUT_STEPS).cast("int")
+    rows = rows.select(scored(F.col(text), fold).alias("score"), "toxic_label").filter(F.col("score") >= THRESHOLD)
     # one count for each step of the score
-    counts = cross_fitted(docs, labels, usable, key, text, label, folds).filter(F.col("score") >= THRESHOLD).groupBy(
-        step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic_label").alias("toxic")).collect()
+    counts = rows.groupBy(F.floor(F.col("score") * CUT_STEPS).cast("int").alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic_label").alias("toxic")).collect()
     cut, n, toxic = math.inf, 0, 0
     for row in sorted(counts, reverse=True):
         n, toxic = n + row["n"], toxic + row["toxic"]
-        if n >= least and toxic >= precision * n:
-            cut = row["step"] / CUT_STEPS
-    return max(cut, THRESHOLD) if n >= least else THRESHOLD
+        if n >= 1 / (1 - precision) and toxic >= precision * n:
+            cut = max(row["step"] / CUT_STEPS, THRESHOLD)
+    return model, cut
 
 
 def score(model: Model):
@@ -219,6 +312,6 @@ def score(model: Model):
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model.scorer()
         for batch in batches:
-            yield pd.Series([of(t) for t in batch], dtype="float64")
+            yield pd.Series(of(batch.tolist()), dtype="float64")
 
     return scored

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
 
@@ -62,12 +64,13 @@ def edit_matches(docs, items, similarity, words):
             w = words(item_text)
             if not w:
                 continue
-            row = [0] * (len(d) + 1)
+            # full dynamic programming, one row of the table at a time
+            across = np.arange(len(d) + 1)
+            row = np.zeros(len(d) + 1, dtype=np.int64)
             for i, x in enumerate(w, 1):
-                diagonal, row[0] = row[0], i
-                for j, y in enumerate(d, 1):
-                    diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-            edits = min(row)
+                best = np.minimum(row[1:] + 1, row[:-1] + np.array([x != y for y in d], dtype=np.int64))
+                row = np.minimum.accumulate(np.r_[i, best] - across) + across
+            edits = int(row.min())
             if edits <= int(len(w) * (1 - similarity) + 1e-9):
                 out[key, item] = edits
     return out

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 
 from retentia.llm import decontamination as dc
 from retentia.llm import queries
@@ -49,6 +50,29 @@ def test_recall_of_edited_passages():
     assert got <= set(exact)
 
 
+@pytest.mark.parametrize("length", [15, 60, 150, 300, 600])
+def test_recall_at_the_most_edits(length):
+    """Passages of which 20 % of the words are changed, dropped or preceded by another."""
+    rng = random.Random(length)
+    common = [f"c{i}" for i in range(30)]
+    items = [(i, [f"t{i}x{j}" if rng.random() < 0.5 else rng.choice(common) for j in range(length)]) for i in range(12)]
+    texts = [" ".join(rng.choices(common, k=9) + edited(w, int(length * 0.2), rng, common) + rng.choices(common, k=9))
+             for _, w in items * 12]
+    held = dc.Items([(i, " ".join(w)) for i, w in items])
+    found = [{m[0] for m in hits} for hits in dc.search(held, texts)]
+    assert np.mean([i in f for (i, _), f in zip(items * 12, found)]) >= 0.95
+
+
+def test_items_in_blocks(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, dc.benchmark_matches(docs, items).collect()))
+    kept = sorted(r["doc_id"] for r in dc.decontaminated(docs, items).collect())
+    monkeypatch.setattr(dc.item_blocks, "__defaults__", (2_500,))
+    assert len(list(dc.item_blocks(items, "item_id", "text"))) > 2
+    assert sorted(map(tuple, dc.benchmark_matches(docs, items).collect())) == want
+    assert sorted(r["doc_id"] for r in dc.decontaminated(docs, items).collect()) == kept
+
+
 def test_nulls_empty_short_and_repeated(spark):
     docs = [(1, "the quick brown fox jumps"), (2, None), (3, ""), (None, "QUICK, brown fox"), (5, "nothing here"),
             (5, "nothing here"), (6, "quick brown")]

@@ -14,24 +14,34 @@ def sf_dir():
 
 
 def by_brute_force(spark, sf_dir):
-    """The documents kept by the filtering stages: {doc_id: text}."""
+    """The documents left by each filtering stage: three times {doc_id: text}."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    model = toxicity.train(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")),
-                           queries.may_train("doc_id"))
-    score = model.scorer()
-    docs = {k: t for k, t in docs.items() if score(t) < toxicity.THRESHOLD}
-    docs = {k: docs[k] for k, _, first in brute.jaccard_components(list(docs.items()), 5, 80) if k == first}
+    model, cut = toxicity.train_and_cut(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")),
+                                        queries.may_train("doc_id"))
+    keys = list(docs)
+    clean = {k: docs[k] for k, s in zip(keys, model.scorer()([docs[k] for k in keys])) if s < cut}
+    once = {k: clean[k] for k, _, first in brute.jaccard_components(list(clean.items()), 5, 80) if k == first}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    hit = {k for k, _ in brute.edit_matches(docs.items(), items, decontamination.SIMILARITY, decontamination.words)}
-    return {k: t for k, t in docs.items() if k not in hit}
+    hit = {k for k, _ in brute.edit_matches(once.items(), items, decontamination.SIMILARITY, decontamination.words)}
+    return clean, once, {k: t for k, t in once.items() if k not in hit}
 
 
-def test_run_equals_brute_force(spark, sf_dir):
+def test_run_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
     rows = corpus_pipeline.run(spark, sf_dir).collect()
-    kept = by_brute_force(spark, sf_dir)
+    everything = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    clean, once, kept = by_brute_force(spark, sf_dir)
+    # every filtering stage takes some documents and leaves most
+    assert everything > len(clean) > len(once) > len(kept) > 0.5 * everything
     assert {r["doc_id"]: r["text"] for r in rows} == kept
-    counts = [sum(r["shard"] == s for r in rows) for s in range(16)]
-    assert max(counts) - min(counts) <= 1
+    # the shard law: counts at most one apart, slots gapless, shards in curve order
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append((r["slot"], r["curve"]))
+    assert sorted(shards) == list(range(16)) and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+    in_order = [c for s in range(16) for _, c in sorted(shards[s])]
+    assert all([n for n, _ in sorted(own)] == list(range(len(own))) for own in shards.values())
+    assert in_order == sorted(in_order)
     # mixing repeats whole passes over a source and drops nothing
     sources = {}
     for r in rows:
@@ -41,6 +51,23 @@ def test_run_equals_brute_force(spark, sf_dir):
         assert max(n) - min(n) <= 1
 
 
+def test_toxicity_stage_keeps_all_where_labels_are_too_few(spark):
+    """Nine toxic training rows cannot show a precision of 0.95."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, sf_dir).count() == docs.count() == 200
+
+
+@pytest.mark.parametrize("name", ["mix", "shard"])
+def test_stages_leave_columns_of_the_input_as_they_are(spark, sf_dir, name):
+    names = ["stream", "share", "cycle", "block", "epoch", "slot", "position", "shard", "curve", "document"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).withColumns({c: F.lit(f"my {c}") for c in names})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+    assert {tuple(r[c] for c in docs.columns) for r in out.collect()} == {tuple(r) for r in docs.collect()}
+    if name == "shard":
+        assert out.columns == [*docs.columns, "_shard", "_slot", "_curve"]
+
+
 def messy(spark):
     rows = [(1, "you are all fine " * 5, "en", "a", 3), (1, "you are all fine " * 5, "en", "a", 3), (2, None, None, None, None),
             (None, "", "en", "b", 0), (None, "a text without id and with enough words", "de", "b", 1),
