@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import decontamination, jaccard, mixing, sharding, toxicity
@@ -12,10 +12,8 @@ from retentia.llm.queries import may_train
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the score from which 95 % are toxic by cross-fitted training labels; texts without words score
-    as clean."""
-    labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, labels, may_train("doc_id"))
-    cut = toxicity.rejection_cut(docs, labels, may_train("doc_id"))
+    as clean. Where the labels are too few to show that precision, all documents stay."""
+    model, cut = toxicity.train_and_cut(docs, table(spark, sf_dir, "labels"), may_train("doc_id"))
     score = name_beside(docs, "score")
     return docs.withColumn(score, toxicity.score(model)("text")).filter(F.col(score) < cut).drop(score)
 
@@ -30,15 +28,28 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def as_one_column(docs: DataFrame) -> DataFrame:
+    """All columns in the struct ``document``, so that no name of theirs meets one that an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+
+
+def tie() -> list[Column]:
+    """Tells documents apart, those without an id by their text."""
+    return [F.col("document.doc_id"), F.xxhash64("document.text")]
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, sources below their target weight repeated, rows in mixing order."""
-    mixed = mixing.pfair_mix(docs, F.col("source"), [F.col("doc_id")])
-    return mixing.in_mixing_order(mixed).select(*docs.columns)
+    mixed = mixing.pfair_mix(as_one_column(docs), F.col("document.source"), tie())
+    return mixing.in_mixing_order(mixed).select("document.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the shard and slot they are written to."""
-    return sharding.hilbert_shards(docs, sharding.document_dimensions(), [F.col("doc_id")])
+    """The documents with the ``shard`` and ``slot`` they are written to and their place ``curve`` on the curve; beside
+    an input column of such a name the added one gets an underscore in front."""
+    added = {c: name_beside(docs, c) for c in ("shard", "slot", "curve")}
+    out = sharding.hilbert_shards(as_one_column(docs), sharding.document_dimensions("document."), tie())
+    return out.select("document.*", *(F.col(c).alias(name) for c, name in added.items()))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", one_of_near_copies), ("decontamination", without_benchmark),
