@@ -11,6 +11,8 @@ from retentia.functions.scalars import age_years
 from retentia.operators.explain import (
     ensemble_leaves, linear_contributions, recommendations, tree_contributions,
 )
+from retentia.operators.features import known_number
+from retentia.operators.regressions import LinearFit
 from retentia.operators.selection import with_features
 from retentia.operators.training import class_one_probability, feature_names
 
@@ -26,16 +28,19 @@ def scoring_frame(students: DataFrame, key: str, as_of: Column) -> DataFrame:
     return _with_age(with_features(students).select(key, "dateOfBirth", "ml_features.*"), "dateOfBirth", as_of)
 
 
-def fill_missing(df: DataFrame, regressors: dict[str, PipelineModel]) -> DataFrame:
+def fill_missing(df: DataFrame, regressors: dict[str, LinearFit | PipelineModel]) -> DataFrame:
     """Fill each numeric column by its regressor, then by 0; columns filled earlier feed later ones.
 
-    Narrow: every model is a stage of the same pass.
+    Narrow: every model is an expression or a stage of the same pass.
     """
     columns = df.columns
     for target, model in regressors.items():
-        others = df.withColumn("_known", F.col(target))
-        df = model.transform(others).withColumn(
-            target, F.coalesce("_known", "prediction", F.lit(0.0))).select(*columns)
+        known = known_number(df, target)
+        if isinstance(model, LinearFit):
+            df = df.withColumn(target, F.coalesce(known, model.predicted(df), F.lit(0.0)))
+        else:
+            df = model.transform(df.withColumn("_known", known)).withColumn(
+                target, F.coalesce("_known", "prediction", F.lit(0.0))).select(*columns)
     return df
 
 
@@ -44,6 +49,17 @@ def fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.fillna(0.0, subset=columns)
 
 
+def fill_and_score(df: DataFrame, regressors: dict[str, LinearFit | PipelineModel], numeric: list[str], model: PipelineModel,
+                   key: str, model_name: str, at: Column) -> DataFrame:
+    """Every row scored after its gaps were filled: by the column's regressor, by 0 where there is none.
+
+    (``key``, the filled ``numeric`` columns, prediction struct with advice by a linear model); one narrow pass.
+    """
+    filled = fill_zero(fill_missing(df, regressors), [c for c in numeric if c not in regressors])
+    rows = model.transform(filled)
+    return rows.select(key, *numeric, _prediction(class_one_probability(), _advice(rows, model), model_name, at))
+
+
 def score(df: DataFrame, model: PipelineModel, key: str) -> DataFrame:
     """(key, class, probability of class 1) for every row."""
     return model.transform(df).select(

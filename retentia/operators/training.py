@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -15,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.scalars import label_map, number_column
+from retentia.operators import regressions
 from retentia.operators.features import MISSING, in_holdout, known_number, stratified_holdout
 from retentia.operators.metrics import (
     class_weights, classification_metrics, regression_metrics, roc_auc,
 )
+from retentia.operators.regressions import LinearFit
 from retentia.schemas import MODEL_DETAIL, TRAINED_MODELS
 
 # ---- fixed values: model settings ----------------------------------------------------------------
@@ -152,35 +152,63 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
 
 def train_regressors(df: DataFrame, key: str, targets: list[str], numeric: list[str],
                      categorical: list[str], dataset: str, root: str, seed: int = SEED,
-                     parallelism: int = 4, run: str | None = None) -> list[dict]:
+                     run: str | None = None) -> list[dict]:
     """A linear regression per numeric column on the other columns; short targets are skipped.
 
-    The typed frame is read once and kept; the independent fits are submitted side by side.
+    All targets share two passes over the rows and are solved in closed form (``regressions``), so the number of jobs does
+    not depend on theirs. Only where the category values are too many for that is each target fitted iteratively.
     """
     run = run or uuid.uuid4().hex
-    typed = df.select(key, *[number_column(df, c) for c in dict.fromkeys([*numeric, *targets])],
-                      *categorical).withColumn("_test", in_holdout(F.col(key), seed)).persist()
-    known = typed.agg(*[F.count(t).alias(t) for t in targets]).head()
-
-    def fit(target: str) -> dict | None:
-        if known[target] < MIN_REGRESSION_ROWS:
-            return None
-        rows = typed.filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
-        train, test = rows.filter(~F.col("_test")), rows.filter("_test")
-        prep = fit_preprocessor(train, [c for c in numeric if c != target], categorical)
-        model = LinearRegression(labelCol="label").fit(prep.transform(train).select("label", "features"))
-        path = f"{root}/{dataset}/{run}/lr/{target}"
-        scored = save_and_reload([*prep.stages, model], path).transform(test).select("label", "prediction")
-        metrics = regression_metrics(scored).head().asDict()
-        return {"type": "regression", "target": target, "model_name": "linear_regression",
-                "metrics": {k: v for k, v in metrics.items() if v is not None}, "model_path": path}
-
+    columns = list(dict.fromkeys([*numeric, *targets]))
+    typed = df.select(key, *[number_column(df, c) for c in columns], *categorical)
+    rows = typed.select(*[known_number(typed, c).alias(c) for c in columns], *[F.coalesce(
+        F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in categorical], in_holdout(F.col(key), seed).alias("_test"))
+    layout = regressions.survey(rows, columns, categorical)
+    if layout is None:
+        return _fit_one_by_one(typed, key, targets, numeric, categorical, f"{root}/{dataset}/{run}/lr", seed)
+    sums = regressions.products(rows, layout, targets, "_test")
+    path, fits, found = f"{root}/{dataset}/{run}/{regressions.FOLDER}", [], []
+    for k, target in enumerate(targets):
+        train, test = sums[k, False], sums[k, True]
+        if train[0, 0] + test[0, 0] < MIN_REGRESSION_ROWS:
+            continue
+        fit, metrics = regressions.solve(layout, target, [c for c in numeric if c != target], train, test)
+        fits.append(fit)
+        found.append({"type": "regression", "target": target, "model_name": "linear_regression", "metrics": metrics,
+                      "model_path": f"{path}/{target}"})
+    if fits:
+        regressions.save_fits(df.sparkSession, fits, path)
+    return found
+
+
+def _fit_one_by_one(typed: DataFrame, key: str, targets: list[str], numeric: list[str], categorical: list[str], folder: str,
+                    seed: int) -> list[dict]:
+    """One iterative fit a target on sparse vectors."""
+    typed = typed.withColumn("_test", in_holdout(F.col(key), seed)).persist()
+    out = []
     try:
-        with ThreadPool(parallelism) as pool:
-            fitted = pool.map(inheritable_thread_target(df.sparkSession)(fit), targets)
+        known = typed.agg(*[F.count(t).alias(t) for t in targets]).head()
+        for target in targets:
+            if known[target] < MIN_REGRESSION_ROWS:
+                continue
+            rows = typed.filter(F.col(target).isNotNull()).withColumn("label", F.col(target))
+            train, test = rows.filter(~F.col("_test")), rows.filter("_test")
+            prep = fit_preprocessor(train, [c for c in numeric if c != target], categorical)
+            model = LinearRegression(labelCol="label").fit(prep.transform(train).select("label", "features"))
+            path = f"{folder}/{target}"
+            scored = save_and_reload([*prep.stages, model], path).transform(test).select("label", "prediction")
+            metrics = regression_metrics(scored).head().asDict()
+            out.append({"type": "regression", "target": target, "model_name": "linear_regression",
+                        "metrics": {k: v for k, v in metrics.items() if v is not None}, "model_path": path})
     finally:
         typed.unpersist()
-    return [r for r in fitted if r]
+    return out
+
+
+def load_regressor(spark, path: str) -> LinearFit | PipelineModel:
+    """A model that ``train_regressors`` has stored."""
+    closed = path.rpartition("/")[0].endswith(f"/{regressions.FOLDER}")
+    return regressions.load_fit(spark, path) if closed else PipelineModel.load(path)
 
 
 def registry_row(spark, dataset: str, user_id: str, username: str, created_at, is_paid: bool,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retentia.operators import anomaly, scoring, selection
 from retentia.operators.explain import ensemble_leaves, expected_value, tree_contributions
 from retentia.operators.training import (
-    class_one_probability, details_frame, feature_names, train_classifiers, train_regressors,
+    class_one_probability, details_frame, feature_names, load_regressor, train_classifiers, train_regressors,
 )
 from retentia.plans import views as v
 from retentia.plans.catalog.base import query
@@ -102,7 +102,7 @@ def fill_missing(spark, sf):
     columns = ["l_quantity", "l_extendedprice"]
     found = train_regressors(rows, "line", columns, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
                              ["l_returnflag"], "lines", scratch_path(spark, "models"))
-    models = {f["target"]: PipelineModel.load(f["model_path"]) for f in found}
+    models = {f["target"]: load_regressor(spark, f["model_path"]) for f in found}
     holes = rows.withColumns({
         "l_quantity": F.when(F.col("l_linestatus") != "O", F.col("l_quantity")),
         "l_extendedprice": F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice"))})
@@ -156,19 +156,49 @@ def anomaly_share(spark, sf):
                      (flagged <= at + 1).alias("share_holds"))
 
 
-@query("regression_by_hand", """
-WITH l AS (SELECT *, CAST(concat('0x', substr(md5(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, ':42')), 1, 8)) AS BIGINT) % 100 < 20 AS test FROM lineitem),
-c AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM l WHERE NOT test)
-SELECT metric, round(value, 6) AS value FROM (
-  SELECT 'r2_score' AS metric, 1 - sum((l_extendedprice - a * l_quantity - b) ** 2) / sum((l_extendedprice - m) ** 2) AS value
-  FROM l, c, (SELECT avg(l_extendedprice) AS m FROM l WHERE test) WHERE test)
+_HELD = "CAST(concat('0x', substr(md5(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, ':42')), 1, 8)) AS BIGINT) % 100 < 20"
+_BY_HAND = ["l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
+
+
+@query("regression_by_hand", f"""
+WITH l AS ({' UNION ALL '.join(f"SELECT '{t}' AS target, l_quantity AS x, CAST({t} AS DOUBLE) AS y, {_HELD} AS test FROM lineitem" for t in _BY_HAND)}),
+c AS (SELECT target, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM l WHERE NOT test GROUP BY target),
+m AS (SELECT target, avg(y) AS m FROM l WHERE test GROUP BY target),
+r AS (SELECT target, avg((y - a * x - b) ** 2) AS mse, 1 - sum((y - a * x - b) ** 2) / sum((y - m) ** 2) AS r2
+      FROM l JOIN c USING (target) JOIN m USING (target) WHERE test GROUP BY target)
+SELECT target, 'r2_score' AS metric, round(r2, 6) AS value FROM r UNION ALL SELECT target, 'rmse', round(sqrt(mse), 4) FROM r
 """)
 def regression_by_hand(spark, sf):
-    """The stored regression of price on quantity, against least squares in closed form on the same split."""
-    found = train_regressors(_lines(spark, sf), "line", ["l_extendedprice"], ["l_quantity", "l_extendedprice"], [],
-                             "lines", scratch_path(spark, "models"))
-    return _flat_details(details_frame(spark, found)).filter("metric = 'r2_score'").select(
-        "metric", F.round("value", 6).alias("value"))
+    """Regressions of four targets on the quantity, against least squares in closed form on the same split."""
+    found = train_regressors(_lines(spark, sf), "line", _BY_HAND, ["l_quantity"], [], "lines", scratch_path(spark, "models"))
+    value = F.when(F.col("metric") == "mse", F.round(F.sqrt("value"), 4)).otherwise(F.round("value", 6))
+    return _flat_details(details_frame(spark, found)).select(
+        "target", F.when(F.col("metric") == "mse", "rmse").otherwise(F.col("metric")).alias("metric"), value.alias("value"))
+
+
+@query("fill_then_predict", f"""
+WITH l AS (SELECT *, concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS line, {_HELD} AS test FROM lineitem),
+c AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b
+      FROM l WHERE NOT test AND l_linestatus <> 'O')
+SELECT line, round(CASE WHEN l_linestatus <> 'O' THEN l_extendedprice ELSE a * l_quantity + b END, 3) AS l_extendedprice,
+       CASE WHEN l_returnflag <> 'R' THEN l_tax ELSE 0 END AS l_tax, true AS scored
+FROM l, c
+""")
+def fill_then_predict(spark, sf):
+    """Gaps in the price filled by its regression, gaps in the tax, which has none, by 0; then every line is scored."""
+    lines = _lines(spark, sf).withColumns({
+        "l_extendedprice": F.when(F.col("l_linestatus") != "O", F.col("l_extendedprice")),
+        "l_tax": F.when(F.col("l_returnflag") != "R", F.col("l_tax"))})
+    folder = scratch_path(spark, "models")
+    found = train_regressors(lines, "line", ["l_extendedprice"], ["l_quantity"], [], "lines", folder)
+    models = {f["target"]: load_regressor(spark, f["model_path"]) for f in found}
+    late = lines.withColumn("late", (F.col("l_shipdate") >= F.lit("1995-06-17")).cast("string"))
+    numeric = ["l_quantity", "l_extendedprice", "l_tax"]
+    path = train_classifiers(late, "line", "late", numeric, [], "lines", folder, ["logistic_regression"])[0]["model_path"]
+    scored = scoring.fill_and_score(lines.select("line", *numeric), models, numeric, PipelineModel.load(path), "line", "lines",
+                                    F.lit("2024-05-10"))
+    return scored.select("line", F.round("l_extendedprice", 3).alias("l_extendedprice"), "l_tax",
+                         F.col("prediction.probability").between(0, 1).alias("scored"))
 
 
 @query("isolation_forest_file")

@@ -129,10 +129,64 @@ def test_regressors_skip_short_targets(spark):
     assert [f["target"] for f in found] == ["b", "ten"]
     assert found[0]["metrics"]["r2_score"] == pytest.approx(1.0)
     holes = df.withColumn("b", F.when(F.col("id" if "id" in df.columns else "a") % 2 == 0, F.col("b")))
-    filled = scoring.fill_missing(holes, {"b": PipelineModel.load(found[0]["model_path"])})
+    filled = scoring.fill_missing(holes, {"b": training.load_regressor(spark, found[0]["model_path"])})
     assert filled.filter(F.abs(F.col("b") - (2 * F.col("a") + 1)) > 1e-6).count() == 0
 
 
+def test_regressions_equal_least_squares_with_gaps_and_categories(spark, monkeypatch):
+    """Closed form and iterative fits against numpy: own means for the gaps of each target, a value only test rows have."""
+    draw = np.random.default_rng(3)
+    n = 600
+    a, b, kind = draw.normal(50, 3, n), draw.normal(-2, 1, n), draw.integers(0, 4, n)
+    y = 3 * a - 7 * b + 5 * kind + draw.normal(0, 0.5, n)
+    table = [(f"k{i}", None if i % 7 == 0 else float(a[i]), float("nan") if i % 11 == 0 else float(b[i]),
+              None if kind[i] == 0 else f"v{kind[i]}", None if i % 5 == 0 else float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(table, "k string, a double, b double, kind string, y double")
+    found = training.train_regressors(df, "k", ["y", "a"], ["a", "b", "y"], ["kind"], "t", scratch_path(spark, "r"))
+    held = {r["k"] for r in df.filter(training.in_holdout(F.col("k"), training.SEED)).collect()}
+
+    def by_numpy(target, features):
+        rows = [r for r in (dict(zip(df.columns, t)) for t in table) if r[target] is not None and not np.isnan(r[target])]
+        get = lambda r, c: np.nan if r[c] is None else r[c]
+        train, test = [r for r in rows if r["k"] not in held], [r for r in rows if r["k"] in held]
+        means = {c: np.nanmean([get(r, c) for r in train]) for c in features}
+        x = lambda some: np.array([[1, *(means[c] if np.isnan(get(r, c)) else get(r, c) for c in features),
+                                    *((r["kind"] or "missing") == v for v in ("missing", "v1", "v2", "v3"))] for r in some], dtype=float)
+        w = np.linalg.lstsq(x(train), np.array([r[target] for r in train]), rcond=None)[0]
+        t = np.array([r[target] for r in test])
+        mse = np.mean((t - x(test) @ w) ** 2)
+        return mse, 1 - mse / t.var()
+
+    for f, features in zip(found, (["a", "b"], ["b", "y"])):
+        mse, r2 = by_numpy(f["target"], features)
+        assert f["metrics"]["mse"] == pytest.approx(mse) and f["metrics"]["r2_score"] == pytest.approx(r2)
+    # the stored fit gives the same error row by row
+    fit = training.load_regressor(spark, found[0]["model_path"])
+    rows = df.filter(F.col("y").isNotNull() & training.in_holdout(F.col("k"), training.SEED))
+    error = rows.select(F.avg((F.col("y") - fit.predicted(rows)) ** 2)).head()[0]
+    assert error == pytest.approx(found[0]["metrics"]["mse"])
+    monkeypatch.setattr(training.regressions.survey, "__defaults__", (3,))
+    slow = training.train_regressors(df, "k", ["y"], ["a", "b"], ["kind"], "t", scratch_path(spark, "r"))
+    assert slow[0]["metrics"]["mse"] == pytest.approx(by_numpy("y", ["a", "b"])[0], rel=1e-4)
+    filled = scoring.fill_missing(df, {"y": training.load_regressor(spark, slow[0]["model_path"])})
+    assert filled.filter("y is null or isnan(y)").count() == 0
+
+
+def test_regressions_need_as_many_jobs_for_six_targets_as_for_two(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("k"), *[(F.rand(i) + F.col("id") * i).alias(f"x{i}") for i in range(6)])
+    names = [f"x{i}" for i in range(6)]
+
+    def jobs(targets, tag):
+        spark.sparkContext.setJobGroup(tag, tag)
+        training.train_regressors(df, "k", targets, names, [], "t", scratch_path(spark, "r"))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+
+    try:
+        assert 0 < jobs(names, "six") == jobs(names[:2], "two") <= 5
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
 def points(spark):
     normal = spark.range(950).select("id", F.randn(1).alias("a"), F.randn(2).alias("b"))
     far = spark.range(950, 960).select("id", F.lit(12.0).alias("a"), (F.lit(-9.0) - F.col("id") / 1000).alias("b"))
