@@ -4,98 +4,99 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.operators.joins import lookup_join
 from retentia.session import checkpointed
 
-RANGES = 256
+#: Rank error of the first look at a quantile; twice that share of the rows on both sides is looked at exactly.
+NEAR = 1 / 2000
 
 
-def _splits(values: DataFrame, by: str, ranges: int) -> list[float]:
-    """Bounds of about ``ranges`` ranges that hold like numbers of rows."""
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(values.approxQuantile(by, probs, 0.25 / ranges)))
-    # infinite values belong to the outer ranges
-    return [float("-inf"), *([c for c in cuts if math.isfinite(c)] or [0.0]), float("inf")]
+def ranged(values: DataFrame, *by: str) -> DataFrame:
+    """``values`` cut into ranges in the order of ``by``, numbered by ``_range``.
 
-
-def _with_range(values: DataFrame, by: str, splits: list[float]) -> DataFrame:
-    return Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
-        values.withColumn("_v", F.col(by).cast("double"))).drop("_v")
+    There are as many ranges as the session has shuffle partitions, less where adaptive execution finds little
+    data. The rows are written through the shared folder, so every reader sees the same cuts.
+    """
+    return checkpointed(values.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
 
 
-def running_totals(values: DataFrame, by: str, measures: list[str], ranges: int = RANGES) -> DataFrame:
+def running_totals(values: DataFrame, by: str, measures: list[str]) -> DataFrame:
     """Add ``<measure>_before``: the total over all rows with a smaller ``by``.
 
-    ``values`` holds one row per distinct ``by`` (aggregate first, so a hot value is one row).
-    Approximate quantiles cut the values into ranges of like size; each range is summed, the few
-    range totals are accumulated and broadcast back, and the fine accumulation runs per range.
-    The result is exact wherever the cuts fall.
+    ``values`` holds one row per distinct ``by`` (aggregate first, so a hot value is one row). Each range of rows is
+    summed, the range totals are accumulated, and the fine accumulation runs per range from its range's offset.
     """
-    return accumulate(_with_range(values, by, _splits(values, by, ranges)), by, measures)
+    return accumulate(ranged(values, by), by, measures)
 
 
-def accumulate(ranged: DataFrame, by: str, measures: list[str], groups: tuple[str, ...] = ()) -> DataFrame:
+def accumulate(cut: DataFrame, by: str, measures: list[str], groups: tuple[str, ...] = ()) -> DataFrame:
     """Running totals over rows that carry an ordered ``_range``, within each of few ``groups``."""
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*groups, "_range").agg(*[F.sum(m).alias(m) for m in measures]).select(
+    # at most one row per group and range
+    offsets = cut.groupBy(*groups, "_range").agg(*[F.sum(m).alias(m) for m in measures]).select(
         *groups, "_range", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_offset") for m in measures])
     inside = Window.partitionBy(*groups, "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    # offsets: at most one row per group and range
-    return ranged.join(F.broadcast(offsets), [*groups, "_range"]).select(
-        *[c for c in ranged.columns if c != "_range"],
+    return cut.join(offsets, [*groups, "_range"]).select(
+        *[c for c in cut.columns if c != "_range"],
         *[(F.coalesce(F.sum(m).over(inside), F.lit(0)) + F.col(f"_{m}_offset")).alias(f"{m}_before")
           for m in measures])
 
 
-def exact_quantile(df: DataFrame, column: str, p: float) -> DataFrame:
-    """One row ``q``: the interpolated quantile over all rows; null when there is none.
+def _by_feature(values: dict[str, float], kind: str) -> Column:
+    """The value of the row's ``feature``."""
+    table = F.create_map(*(x for c, v in values.items() for x in (F.lit(c), F.lit(v).cast(kind))))
+    return table[F.col("feature")]
+
 
-    ``percentile`` would hold every distinct value in one task. Here the rows are counted per range
-    of values, and only the range (or two) around the wanted rank is read again, by a predicate the
-    scan can use, and ranked. The driver sees one count per range.
+def exact_quantiles(df: DataFrame, columns: list[str], p: float) -> DataFrame:
+    """(feature, q) per column: the interpolated quantile over its known values; null when there is none.
+
+    ``percentile`` would hold every distinct value in one task. Here three scans serve all columns together: an
+    approximate look gives two bounds around each quantile, the rows below and between the bounds are counted, and
+    only what lies between them (a few thousandths of the rows) is ranked over ranges of values.
+    Bounds that turn out not to hold the wanted ranks are widened to all values. The driver sees two counts a column.
     """
-    spark = df.sparkSession
-    values = df.select(F.col(column).cast("double").alias("value")).filter(
-        F.col("value").isNotNull() & ~F.isnan("value"))
-    splits = _splits(values, "value", RANGES)
-    per_range = {int(r["_range"]): r["n"] for r in _with_range(values, "value", splits).groupBy(
-        "_range").agg(F.count("*").alias("n")).collect()}
-    total = sum(per_range.values())
-    if not total:
-        return spark.range(1).select(F.lit(None).cast("double").alias("q"))
-    at = (total - 1) * p
-    low, high = math.floor(at), math.ceil(at)
-    below, start, first, last = 0, 0, None, None
-    for i in sorted(per_range):
-        if first is None and low < below + per_range[i]:
-            first, start = i, below
-        if high < below + per_range[i]:
-            last = i
-            break
-        below += per_range[i]
-    near = values.filter((F.col("value") >= splits[first]) & (F.col("value") <= splits[last + 1]))
-    # the upper bound may let in values of the next range; they rank behind and are never picked
-    counts = near.groupBy("value").agg(F.count("*").alias("n"))
-    ranks = running_totals(counts, "value", ["n"]).withColumn("n_before", F.col("n_before") + start)
-
-    def holds(rank: int):
-        return (F.col("n_before") <= rank) & (F.col("n_before") + F.col("n") > rank)
-
-    ends = ranks.filter(holds(low) | holds(high)).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(at - low)).alias("q"))
+    spark, names = df.sparkSession, list(dict.fromkeys(columns))
+    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in names])
+    probs = [max(p - 2 * NEAR, 0.0), min(p + 2 * NEAR, 1.0)]
+    bounds = {c: b for c, b in zip(names, values.approxQuantile(names, probs, NEAR)) if b}
+    every = spark.createDataFrame([(c,) for c in names], "feature string")
+    if not bounds:
+        return every.withColumn("q", F.lit(None).cast("double"))
+    counts = values.agg(*[F.struct(
+        F.count(c).alias("n"), F.count_if(F.col(c) < b[0]).alias("below"),
+        F.count_if(F.col(c) <= b[1]).alias("up_to")).alias(c) for c, b in bounds.items()]).head()
+    start, low, high, part = {}, {}, {}, {}
+    for c, (least, most) in bounds.items():
+        at = (counts[c]["n"] - 1) * p
+        low[c], high[c], part[c], start[c] = math.floor(at), math.ceil(at), at - math.floor(at), counts[c]["below"]
+        if not (counts[c]["below"] <= low[c] and high[c] < counts[c]["up_to"]):
+            bounds[c], start[c] = [-math.inf, math.inf], 0
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(F.col(c).between(*b), F.col(c)).alias("value"))
+                      for c, b in bounds.items()])
+    near = values.select(F.inline(F.filter(cells, lambda cell: cell["value"].isNotNull())))
+    each = near.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    ranks = accumulate(ranged(each, "feature", "value"), "value", ["n"], ("feature",))
+    first = F.col("n_before") + _by_feature(start, "long")
+    holds = lambda rank: (first <= rank) & (first + F.col("n") > rank)
+    ends = ranks.filter(holds(_by_feature(low, "long")) | holds(_by_feature(high, "long"))).groupBy("feature").agg(
+        F.min("value").alias("a"), F.max("value").alias("b"))
+    q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * _by_feature(part, "double"))
+    return every.join(ends.select("feature", q.alias("q")), "feature", "left")
+
+
+def exact_quantile(df: DataFrame, column: str, p: float) -> DataFrame:
+    """One row ``q``: the interpolated quantile over all rows; null when there is none."""
+    return exact_quantiles(df, [column], p).select("q")
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (feature, median) per column."""
-    out = None
-    for c in columns:
-        row = exact_quantile(df, c, 0.5).select(F.lit(c).alias("feature"), F.col("q").alias("median"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return exact_quantiles(df, columns, 0.5).withColumnRenamed("q", "median")
 
 
 def category_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
@@ -105,9 +106,7 @@ def category_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     range. The codes come back by a lookup join.
     """
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    ranged = checkpointed(values.repartitionByRange(column).select(
-        column, F.spark_partition_id().alias("_range"), F.lit(1).cast("long").alias("one")))
-    codes = accumulate(ranged, column, ["one"]).select(column, F.col("one_before").alias(code))
+    codes = running_totals(values.withColumn("one", F.lit(1).cast("long")), column, ["one"]).select(column, F.col("one_before").alias(code))
     joined = lookup_join(df, codes, [column], "left")
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1).cast("long"))).select(
         *df.columns, code)

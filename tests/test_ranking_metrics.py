@@ -24,6 +24,41 @@ def test_quantile_of_nothing_and_of_one(spark):
     assert ranking.exact_quantile(frame(spark, [4.0]), "x", 0.5).head()["q"] == 4.0
 
 
+def test_quantiles_of_many_columns_at_once(spark):
+    rng = np.random.default_rng(8)
+    table = {"a": rng.normal(size=5000), "b": rng.integers(0, 3, 5000).astype(float), "c": np.full(5000, np.nan),
+             "d": np.where(rng.random(5000) < 0.3, np.nan, rng.exponential(size=5000)), "e": np.r_[np.inf, -np.inf, np.zeros(4998)]}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*table.values())], ", ".join(f"{c} double" for c in table))
+    for p in (0.0, 0.013, 0.5, 0.77, 1.0):
+        got = {r["feature"]: r["q"] for r in ranking.exact_quantiles(df, list(table), p).collect()}
+        assert got.pop("c") is None
+        for c, q in got.items():
+            assert q == np.quantile(table[c][~np.isnan(table[c])], p, method="lower") or q == pytest.approx(
+                np.quantile(table[c][~np.isnan(table[c])], p))
+
+
+def test_bounds_that_miss_the_rank_are_widened(spark, monkeypatch):
+    df = frame(spark, [float(i) for i in range(101)])
+    from pyspark.sql.classic.dataframe import DataFrame
+    monkeypatch.setattr(DataFrame, "approxQuantile", lambda *_: [[70.0, 90.0]])
+    assert ranking.exact_quantile(df, "x", 0.5).head()["q"] == 50.0
+
+
+def test_medians_need_as_many_jobs_for_forty_columns_as_for_four(spark):
+    df = spark.range(3000).select(*[(F.rand(i) * i).alias(f"x{i}") for i in range(40)]).cache()
+    df.count()
+
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"m{n}", "medians")
+        assert len(ranking.exact_medians(df, df.columns[:n]).collect()) == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"m{n}"))
+
+    try:
+        assert 0 < jobs(40) <= jobs(4)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
 def test_running_totals(spark):
     df = spark.range(2000).select(F.col("id").alias("v"), (F.col("id") % 7).alias("n"))
     got = {r["v"]: r["n_before"] for r in ranking.running_totals(df, "v", ["n"]).collect()}
