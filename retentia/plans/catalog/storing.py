@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from retentia.functions.scalars import UPDATE_DATE_FORMAT, date_text, parse_update_date
 from retentia.operators import merge
-from retentia.operators.quality import header_fingerprint, schema_fingerprints
+from retentia.operators.quality import schema_fingerprints
 from retentia.plans import views as v
 from retentia.plans.catalog.base import query
 from retentia.plans.jobs import store_delivery as store_new
 from retentia.session import scratch_path
-from retentia.sources import files, tables
+from retentia.sources import deliveries, files, keyed, tables
 from retentia.streaming import incremental
 
 
@@ -72,34 +72,56 @@ def store_tagged(spark, sf):
 SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'
 """)
 def versioned_merge(spark, sf):
-    """A table replaced by versions computed from itself: a delete, then an update."""
-    root = scratch_path(spark, "versions")
-    tables.publish(v.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), root)
-    tables.publish(merge.delete_where(tables.current(spark, root), F.col("c_mktsegment") == "BUILDING"), root)
-    tables.publish(merge.update_where(tables.current(spark, root), F.col("c_acctbal") < 0, c_acctbal=F.lit(0.0)), root)
-    return tables.current(spark, root).select("c_custkey", "c_acctbal")
+    """A table changed from itself: a delete, then an update; each writes the rows it touches."""
+    rows = v.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    table = keyed.create(rows, scratch_path(spark, "versions"), "c_custkey", buckets=16)
+    table.delete_where(F.col("c_mktsegment") == "BUILDING")
+    table.update_where(F.col("c_acctbal") < 0, c_acctbal=F.lit(0.0))
+    return table.read().select("c_custkey", "c_acctbal")
+
+
+@query("upsert_on_read", """
+SELECT c_custkey, c_name, CASE WHEN o.c_custkey IS NOT NULL THEN o.c_acctbal ELSE c.c_acctbal END AS c_acctbal
+FROM customer c FULL JOIN (
+  SELECT o_custkey AS c_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS c_acctbal
+  FROM orders WHERE o_orderpriority = '1-URGENT'
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) o USING (c_custkey)
+WHERE c_custkey % 5 <> 0
+""")
+def upsert_on_read(spark, sf):
+    """Balances changed by the last urgent order, compacted, then accounts deleted by key; read through the changes."""
+    rows = v.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    table = keyed.create(rows, scratch_path(spark, "keyed"), "c_custkey", buckets=16)
+    orders = v.table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("c_acctbal"),
+        "o_orderdate", "o_orderkey")
+    last = merge.latest_per_key(orders, ["c_custkey"], ["o_orderdate", "o_orderkey"])
+    table.upsert(last.select("c_custkey", "c_acctbal"))
+    table.compact()
+    table.delete_keys(table.read().filter(F.col("c_custkey") % 5 == 0))
+    return table.read()
 
 
 @query("store_delivery", """
 SELECT DISTINCT text, lang, source, n_chars FROM documents
 """)
 def store_delivery(spark, sf):
-    """Deliveries with one header merged without exact duplicates, each merge a new version."""
+    """Deliveries with one header merged without exact duplicates; each adds the rows that are new."""
     root = scratch_path(spark, "deliveries")
     docs = v.table(spark, sf, "documents").select("text", "lang", "source", "n_chars")
     store_new(docs.filter(F.col("lang") != "fr"), root)
     store_new(docs.filter(F.col("n_chars") > 0), root)
-    return tables.current(spark, f"{root}/{header_fingerprint(docs)}")
+    return deliveries.read(spark, deliveries.home_of(docs, root))
 
 
 @query("file_pick", "SELECT * FROM documents WHERE lang = 'en'")
 def file_pick(spark, sf):
-    """The newest data file of a landing folder, then its rows."""
+    """The newest delivery of a landing folder, as many files as its writer had tasks, then its rows."""
     landing = scratch_path(spark, "landing")
     docs = v.table(spark, sf, "documents")
-    tables.write_csv(docs.coalesce(1), f"{landing}/a")
-    tables.write_csv(docs.filter(F.col("lang") == "en").coalesce(1), f"{landing}/b")
-    return files.read_latest(spark, landing, docs.schema)
+    tables.write_csv(docs, f"{landing}/a")
+    tables.write_csv(docs.filter(F.col("lang") == "en"), f"{landing}/b")
+    return files.read_latest_delivery(spark, landing, docs.schema)
 
 
 @query("file_listing", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, true AS has_bytes" for t in (
@@ -112,15 +134,22 @@ def file_listing(spark, sf):
 
 
 @query("delivered_headers", """
-SELECT sha256('doc_id,lang') AS fingerprint UNION ALL SELECT sha256('doc_id,lang,source,n_chars')
+SELECT sha256('doc_id,lang') AS fingerprint, lang AS delivery, count(*) AS n FROM documents GROUP BY lang
+UNION ALL SELECT sha256('doc_id,text,lang,source,n_chars,a "quoted, name"'), 'all', count(*) FROM documents
 """)
 def delivered_headers(spark, sf):
-    """Fingerprints of the headers of all delivered CSV files."""
+    """Fingerprints of the headers of all delivered CSV files, with the rows that came under each."""
     landing = scratch_path(spark, "headers")
-    docs = v.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    docs.coalesce(1).write.option("header", True).csv(f"{landing}/full")
-    docs.select("doc_id", "lang").coalesce(1).write.option("header", True).csv(f"{landing}/short")
-    return schema_fingerprints(files.csv_headers(spark, f"{landing}/*")).select("fingerprint")
+    docs = v.table(spark, sf, "documents").withColumn('a "quoted, name"', F.lit(1))
+    tables.write_csv(docs, f"{landing}/delivery=all")
+    short = docs.select("doc_id", "lang", F.col("lang").alias("delivery"))
+    short.write.options(**files.CSV_OPTIONS).mode("append").partitionBy("delivery").csv(landing)
+    found = schema_fingerprints(files.csv_headers(spark, landing))
+    deliveries_of = found.select(F.regexp_extract("file", "delivery=([^/]*)/", 1).alias("delivery"), "fingerprint").distinct()
+    rows = spark.read.options(**files.CSV_OPTIONS, multiLine=True, recursiveFileLookup=True).schema("doc_id string").csv(
+        landing).select(F.regexp_extract(F.col("_metadata.file_path"), "delivery=([^/]*)/", 1).alias("delivery"))
+    return rows.groupBy("delivery").agg(F.count("*").alias("n")).join(deliveries_of, "delivery").select(
+        "fingerprint", "delivery", "n")
 
 
 @query("incremental_ingest", """

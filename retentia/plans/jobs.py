@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from retentia.operators import anomaly, ingest, merge, reports, scoring
 from retentia.operators.training import registry_row, train_classifiers, train_regressors
 from retentia.schemas import CATEGORICAL_FEATURES, ENTITY_ID, LABEL, NUMERIC_FEATURES, REGRESSION_TARGETS
-from retentia.operators.quality import header_fingerprint, require_columns
+from retentia.operators.quality import require_columns
 from retentia.operators.shaping import rename_columns
 from retentia.session import checkpointed
-from retentia.sources import files, tables
+from retentia.sources import deliveries, files, tables
 
 
 def merge_job(spark: SparkSession, new_path: str, root: str, schema) -> tuple[str, DataFrame]:
@@ -30,12 +30,8 @@ def merge_job(spark: SparkSession, new_path: str, root: str, schema) -> tuple[st
 
 
 def store_delivery(new: DataFrame, root: str) -> str:
-    """Store a delivery: exact-duplicate merge into the dataset with the same header, or a new one."""
-    home = f"{root}/{header_fingerprint(new)}"
-    old = tables.current(new.sparkSession, home)
-    if old is None:
-        return tables.publish(new, home, "dataset")
-    return tables.publish(merge.union_distinct(old, new), home, "merged_dataset")
+    """Store a delivery: its new rows into the dataset with the same header, or a new dataset."""
+    return deliveries.store(new, deliveries.home_of(new, root))
 
 
 def upload_and_train(df: DataFrame, key: str = ENTITY_ID, label: str = LABEL,

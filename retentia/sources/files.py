@@ -79,14 +79,34 @@ def read_latest(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
     return read_csv(spark, path, schema) if path.endswith("csv") else read_json(spark, path, schema)
 
 
+def latest_delivery(files: DataFrame, suffix: str = DATA_SUFFIX) -> DataFrame:
+    """(folder, kind) of the most recently modified delivery, a folder with data files of one kind, as at most one row."""
+    inside = files.filter(F.col("name").rlike(suffix)).withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    newest = inside.groupBy("folder").agg(F.max("modified").alias("modified"), F.max("name").alias("name"))
+    return newest.orderBy(F.col("modified").desc(), "folder").limit(1).select(
+        "folder", F.regexp_extract("name", suffix, 1).alias("kind"))
+
+
+def read_latest_delivery(spark: SparkSession, landing: str, schema: T.StructType) -> DataFrame:
+    """Scan all files of the newest delivery below ``landing``, in as many tasks as it has files."""
+    found = latest_delivery(list_files(spark, landing)).collect()
+    if not found:
+        raise FileNotFoundError(f"no CSV or JSON file in {landing}")
+    return (read_csv if found[0]["kind"] == "csv" else read_json)(spark, found[0]["folder"], schema)
+
+
 def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, position, name) of every CSV file's header, from the first line of each file.
+    """(file, position, name) of every CSV file's header, from the first line of each file; quoted names may hold commas
+    and doubled quotes, but no line ends.
 
     Each task keeps one line per file before the shuffle.
     """
-    lines = spark.read.text(folder).select(
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("line"), "value")
     first = lines.filter(F.col("at") == 0).groupBy("file").agg(
         F.min(F.struct("line", "value"))["value"].alias("header"))
-    return first.select("file", F.posexplode(F.split("header", ",")).alias("position", "name"))
+    cells = F.regexp_extract_all("header", F.lit('(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(
+        F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return first.select("file", F.posexplode(plain).alias("position", "name"))

@@ -50,15 +50,20 @@ def delete_tagged(spark: SparkSession, path: str, tag: str, new_path: str) -> No
     spark.read.parquet(path).filter(F.col("hash") != tag).write.partitionBy("hash").parquet(new_path)
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame | None:
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A log of JSON lines; None before the first."""
     try:
-        return spark.read.schema("version int, name string").json(f"{root}/versions")
+        return spark.read.schema(schema).json(path)
     except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":  # before the first version
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
+def _log(spark: SparkSession, root: str) -> DataFrame | None:
+    return read_log(spark, f"{root}/versions", "version int, name string")
+
+
 def publish(df: DataFrame, root: str, prefix: str = "dataset") -> str:
     """Write a new numbered version, then make it current by appending to the version log.
 

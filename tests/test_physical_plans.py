@@ -8,11 +8,11 @@ import pytest
 import __spark_entry__ as entry_point
 
 QUERIES = entry_point.queries()
-WRITERS = {"csv_roundtrip", "json_roundtrip", "append_partitioned", "store_dataset", "store_tagged", "versioned_merge",
+WRITERS = {"csv_roundtrip", "json_roundtrip", "append_partitioned", "store_dataset", "store_tagged", "versioned_merge", "upsert_on_read",
            "file_pick", "file_listing", "store_delivery", "delivered_headers", "incremental_ingest"}
 FITTED = {"train_classifiers", "train_regressors", "train_all", "score_all", "score_write_back", "fill_missing",
           "tree_contributions", "isolation_forest_file", "isolation_forest_table", "contributions_add_up", "scores_hold",
-          "anomaly_share", "regression_by_hand"}
+          "anomaly_share", "regression_by_hand", "fill_then_predict"}
 CORPUS = {q for q in QUERIES if q == "pipeline" or q.startswith("op")}
 
 

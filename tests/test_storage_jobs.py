@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retentia.plans import jobs
 from retentia.schemas import raw_text_schema
 from retentia.session import scratch_path
-from retentia.sources import files, tables
+from retentia.sources import deliveries, files, keyed, tables
 from retentia.streaming import incremental
 
 
@@ -72,9 +72,108 @@ def test_store_delivery(spark):
     assert jobs.store_delivery(a, root) == "dataset_1"
     b = spark.createDataFrame([(2, "b"), (3, "c")], "id int, v string")
     assert jobs.store_delivery(b, root) == "merged_dataset_2"
+    assert rows(deliveries.read(spark, deliveries.home_of(b, root))) == [(1, "a"), (2, "b"), (3, "c")]
     assert jobs.store_delivery(b.select("v", "id"), root) == "dataset_1"
 
 
+def test_deliveries_keep_every_distinct_row_and_tell_nulls_apart(spark):
+    home = scratch_path(spark, "deliveries")
+    assert deliveries.read(spark, home) is None
+    first = [(None, "x", 0.0), ("x", None, 0.0), ("", "x", -0.0), ("", "x", 0.0), ("a", "b", float("nan")), ("a", "b", float("nan"))]
+    schema = "p string, q string, z double"
+    deliveries.store(spark.createDataFrame(first, schema), home)
+    assert deliveries.read(spark, home).count() == 6  # one delivery stays as it came
+    deliveries.store(spark.createDataFrame([*first, ("x", "", 0.0), (None, None, None), (None, None, None)], schema), home)
+    assert deliveries.read(spark, home).count() == 6 == deliveries.read(spark, home).distinct().count()
+    deliveries.store(spark.createDataFrame([], schema), home)
+    assert deliveries.read(spark, home).count() == 6
+
+
+def test_a_delivery_neither_reads_nor_rewrites_old_rows(spark):
+    home = scratch_path(spark, "deliveries")
+    draw = lambda a, b: spark.range(a, b).select("id", F.md5(F.col("id").cast("string")).alias("v"))
+    deliveries.store(draw(0, 20_000), home)
+    part = os.listdir(f"{home}/rows")[0]
+    os.rename(f"{home}/rows/{part}", f"{home}/aside")
+    deliveries.store(draw(19_900, 20_100), home)  # the old rows are out of reach
+    new = next(p for p in os.listdir(f"{home}/rows"))
+    assert spark.read.parquet(f"{home}/rows/{new}").count() == 100
+    os.rename(f"{home}/aside", f"{home}/rows/{part}")
+    assert deliveries.read(spark, home).count() == 20_100
+
+
+def size(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_keyed_table_equals_plain_merges(spark):
+    from retentia.operators import merge
+
+    root = scratch_path(spark, "keyed")
+    plain = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("a"), F.lit("x").alias("b"))
+    table = keyed.create(plain, root, "k", buckets=8)
+
+    def same():
+        return rows(table.read()) == rows(plain)
+
+    changes = spark.range(990, 1010).select(F.col("id").alias("k"), F.lit(None).cast("long").alias("a"), F.lit(1).alias("c"))
+    table.upsert(changes)
+    plain = merge.upsert(plain, changes, "k").checkpoint()
+    assert same() and table.read().columns == ["k", "a", "b", "c"]
+    before = table._entries()[-1]["number"]
+    table.update_where(F.col("a") < 100, b=F.lit("low"))
+    plain = merge.update_where(plain, F.col("a") < 100, b=F.lit("low")).checkpoint()
+    table.delete_where(F.col("k") % 10 == 3)
+    plain = merge.delete_where(plain, F.col("k") % 10 == 3).checkpoint()
+    table.delete_keys(spark.createDataFrame([(5,), (5000,)], "k long"))
+    plain = plain.filter("k <> 5").checkpoint()
+    assert same() and table.read(before).count() == 1010
+    assert table.compact(share=0.05) and same() and table.read(before).count() == 1010
+    again = spark.createDataFrame([(5, 7, "back", 1), (5, 8, "last", 2)], "k long, a long, b string, t int")
+    table.upsert(again, order=["t"])
+    assert rows(keyed.open_table(spark, root).read().filter("k = 5").select("a", "b", "t")) == [(8, "last", 2)]
+    with pytest.raises(ValueError):
+        table.upsert(again)
+    with pytest.raises(ValueError):
+        keyed.create(spark.createDataFrame([(None,)], "k long"), root + "-null", "k")
+
+
+def test_an_upsert_of_one_row_in_a_hundred_writes_as_much(spark):
+    root = scratch_path(spark, "keyed")
+    rows_ = spark.range(200_000).select(F.col("id").alias("k"), *[F.sha2(F.concat(F.col("id"), F.lit(i)), 256).alias(f"v{i}") for i in range(6)])
+    table = keyed.create(rows_, root, "k", buckets=8)
+    whole = size(root)
+    table.upsert(rows_.filter("k % 100 = 7").select("k", F.lit("new").alias("v0")))
+    assert size(root) - whole < 0.02 * whole
+    # only the grown buckets are written anew
+    few = table.read().filter(F.pmod(F.xxhash64("k"), F.lit(8)) == 3).select("k", F.lit("hot").alias("v1"))
+    table.upsert(few)
+    whole = size(root)
+    assert table.compact() == [3] and size(root) - whole < 0.2 * whole
+    assert table.read().filter("v1 = 'hot'").count() == few.count() and table.read().count() == 200_000
+
+
+def test_newest_delivery_of_several_files(spark):
+    landing = scratch_path(spark, "landing")
+    df = spark.range(50).select("id", F.concat(F.lit("a,"), "id").alias("v")).repartition(4)
+    with pytest.raises(Exception):
+        files.read_latest_delivery(spark, landing, df.schema)
+    tables.write_csv(df, f"{landing}/one")
+    time.sleep(0.05)
+    tables.write_csv(df.filter("id < 20"), f"{landing}/two")
+    got = files.read_latest_delivery(spark, landing, df.schema)
+    assert rows(got) == rows(df.filter("id < 20")) and len(got.inputFiles()) > 1
+
+
+def test_headers_with_quoted_names(spark, tmp_path):
+    put(tmp_path / "x", "a.csv", '"a ""b"", c",d,"",e\n1,2,3,4\n')
+    put(tmp_path / "y", "b.csv", "one\n")
+    got = {}
+    for r in files.csv_headers(spark, str(tmp_path)).orderBy("file", "position").collect():
+        got.setdefault(os.path.basename(r["file"]), []).append(r["name"])
+    assert got == {"a.csv": ['a "b", c', "d", "", "e"], "b.csv": ["one"]}
+
+
 def test_delete_tagged(spark):
     path = scratch_path(spark, "tags")
     a = tables.store_tagged(spark.range(3), path)
