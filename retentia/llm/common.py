@@ -11,6 +11,9 @@ from retentia.session import scratch_path, shared_root
 
 #: Rows one window task ranks at a time; larger groups are dealt over several slices.
 SLICE_ROWS = 50_000
+#: Bytes of a batch of rows for Python workers while intermediate tables are written.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, so a lost executor costs a read.
 
-    The files stay until ``release`` or until whoever owns the folder clears it.
+    The files stay until ``release`` or until whoever owns the folder clears it. While they are written, Python workers get
+    batches of ``BATCH_BYTES``, so that long texts do not add up in their memory.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
     kept(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,9 +6,11 @@ so a repeated window has a phrase that recurs. Documents are dealt over shards,
 
 1. the phrases that stand for windows are counted over all documents; those that recur are confirmed;
 2. every shard compiles an automaton of its recurring phrases and streams its documents through it, which locates
-   every occurrence; the windows that one occurrence stands for form a block;
-3. blocks are compared as wholes: all windows of a block whose words occurred earlier are repeated. Where a phrase has
-   different blocks, the windows of each block's first occurrence are compared one by one;
+   every occurrence; only documents with one are looked at further. The windows that one occurrence stands for form a
+   block;
+3. blocks are compared as wholes, first inside their shard, then the first ones of all shards: all windows of a block
+   whose words occurred earlier are repeated. Where a phrase has different blocks, the windows of each block's first
+   occurrence are compared one by one;
 4. the words covered by repeated windows go, per shard.
 
 Documents whose word sequence occurred earlier are decided by that alone.
@@ -31,6 +33,8 @@ from retentia.llm.common import WordHashes, stored
 WINDOW, PHRASE = 20, 5
 #: Bytes of text of one shard.
 SHARD_BYTES = 8_000_000
+#: Words that are hashed side by side.
+LOT_WORDS = 200_000
 #: Stands for a null key; such documents come after all others.
 LAST_KEY = (1 << 63) - 1
 _M = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -71,17 +75,40 @@ def blocks(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(places)])
 
 
-def block_hashes(hashes: np.ndarray, window: int, first: np.ndarray, length: np.ndarray) -> tuple:
-    """Two hashes (64 and 32 bits) of the words that each block covers."""
-    out = []
-    for by in _M[1:]:
-        own = runs(hashes, window, by)
-        # windows of a block, weighted by their place in it
-        place = np.arange(len(own)) - np.repeat(first, length)
-        weight = np.cumprod(np.full(int(length.max(initial=1)), _M[0] | np.uint64(1), dtype=np.uint64))
-        total = np.add.reduceat(own * weight[place], first) if len(first) else own[:0]
-        out.append((total ^ length.astype(np.uint64)) * by)
-    return out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int64)
+def block_hash(own: np.ndarray, first: np.ndarray, length: np.ndarray, by: np.uint64) -> np.ndarray:
+    """A hash of the windows (hashes ``own``) of each block; the blocks cover all windows."""
+    weight = np.cumprod(np.full(int(length.max(initial=1)), _M[0] | np.uint64(1), dtype=np.uint64))
+    place = np.arange(len(own)) - np.repeat(first, length)
+    total = np.add.reduceat(own * weight[place], first) if len(first) else own[:0]
+    return (total ^ length.astype(np.uint64)) * by
+
+
+class Lot:
+    """Documents (name, words) side by side, so that one array operation serves many."""
+
+    def __init__(self, documents: list[tuple], window: int, known: WordHashes):
+        self.names = [name for name, _ in documents]
+        self.words = [w for _, own in documents for w in own]
+        self.hashes = known.of(self.words)
+        lengths = np.array([len(own) for _, own in documents])
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.places = representatives(self.hashes, window)
+        # windows that reach into the next document stand for nothing
+        inside = np.arange(len(self.places)) + window <= np.repeat(self.ends, lengths)[:len(self.places)]
+        self.places[~inside] = -1
+
+    @staticmethod
+    def of(documents: Iterator[tuple], window: int, known: WordHashes) -> Iterator[Lot]:
+        waiting, size = [], 0
+        for name, own in documents:
+            waiting.append((name, own))
+            size += len(own)
+            if size >= LOT_WORDS:
+                yield Lot(waiting, window, known)
+                waiting, size = [], 0
+        if waiting:
+            yield Lot(waiting, window, known)
 
 
 def _groups(side: pd.DataFrame) -> dict:
@@ -115,83 +142,64 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
                     .select("shard", "key", "dig").distinct(), "substrings-copies")
     docs = rows.groupBy("shard")
 
-    def phrases(copy: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        later, known, count = set(zip(copy["key"], copy["dig"])), WordHashes(), Counter()
+    def originals(own: pd.DataFrame, later: set) -> Iterator[tuple]:
+        """((key, digest), words) of the documents of a shard that hold a window and are no later copies."""
         for k, t in _distinct(own):
             split = words(t)
-            if len(split) >= window and (k, digest(split)) not in later:
-                for p in np.unique(representatives(known.of(split), window)).tolist():
-                    count[b" ".join(split[p:p + PHRASE])] += 1
+            if len(split) >= window and (name := (k, digest(split))) not in later:
+                yield name, split
+
+    def phrases(copy: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        count = Counter()
+        for lot in Lot.of(originals(own, set(zip(copy["key"], copy["dig"]))), window, WordHashes()):
+            for p in np.unique(lot.places[lot.places >= 0]).tolist():
+                count[b" ".join(lot.words[p:p + PHRASE])] += 1
         shard = int(own["shard"].iloc[0]) if len(own) else 0
         return pd.DataFrame({"phrase": list(count), "shard": shard, "times": list(count.values())})
 
-    counted = copies.groupBy("shard").cogroup(docs).applyInPandas(phrases, "phrase binary, shard int, times long")
-    recurring = (counted.groupBy("phrase").agg(F.sum("times").alias("times"), F.collect_set("shard").alias("shards"))
-                 .filter("times > 1").select(F.explode("shards").alias("shard"), "phrase"))
+    counted = stored(copies.groupBy("shard").cogroup(docs).applyInPandas(phrases, "phrase binary, shard int, times long"),
+                     "substrings-phrases")
+    often = counted.groupBy("phrase").agg(F.sum("times").alias("all_times")).filter("all_times > 1").select("phrase")
+    recurring = counted.join(often, "phrase").select("shard", "phrase")
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     side = recurring.select("shard", "phrase", nothing("long", "key"), nothing("long", "dig")).unionByName(
         copies.select("shard", nothing("binary", "phrase"), "key", "dig"))
+    kind_of_block = ("shard int, key long, dig long, start int, length int, ph long, b1 long, b2 long, again boolean, "
+                     "w1 array<long>, w2 array<long>")
 
     def locate(side: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         patterns = side["phrase"].dropna()
         copy = side[side["phrase"].isna()]
-        later = set(zip(copy["key"].astype("int64"), copy["dig"].astype("int64")))
-        out, known = [], WordHashes()
+        out = []
         if len(own) and len(patterns):
-            numbers, automaton = compile_phrases(patterns)
-            shard = int(own["shard"].iloc[0])
-            for k, t in _distinct(own):
-                split = words(t)
-                if len(split) < window or (k, dig := digest(split)) in later:
-                    continue
-                found = occurrences(automaton, numbers, split)
-                if not len(found):
-                    continue
-                hashes = known.of(split)
-                places = representatives(hashes, window)
-                first, length = blocks(places)
-                b1, b2 = block_hashes(hashes, window, first, length)
-                of = runs(hashes, PHRASE, _M[0])[places[first]].view(np.int64)
-                take = found[places[first]]
-                out.append(pd.DataFrame({"shard": shard, "key": k, "dig": dig, "start": first[take],
-                                         "length": length[take], "ph": of[take], "b1": b1[take], "b2": b2[take]}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {c: [] for c in ("shard", "key", "dig", "start", "length", "ph", "b1", "b2")}).astype("int64")
-
-    block = stored(side.groupBy("shard").cogroup(docs).applyInPandas(
-        locate, "shard int, key long, dig long, start int, length int, ph long, b1 long, b2 long"), "substrings-blocks")
+            automaton = Phrases(patterns)
+            found = ((name, split) for name, split in originals(own, set(zip(copy["key"].astype("int64"), copy["dig"].astype("int64"))))
+                     if automaton.occurs(split))
+            for lot in Lot.of(found, window, WordHashes()):
+                out.append(automaton.blocks(lot, window))
+        if not out:
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in kind_of_block.split(", ")})
+        made = pd.concat(out, ignore_index=True).sort_values(["key", "dig", "start"], kind="stable")
+        # what is not the shard's first block of its words is repeated whatever the other shards hold
+        made["again"] = made.duplicated(["ph", "b1", "b2"])
+        for w in ("w1", "w2"):
+            made[w] = [None if again else v for again, v in zip(made["again"], made[w])]
+        return made.assign(shard=int(own["shard"].iloc[0]))[[c.split()[0] for c in kind_of_block.split(", ")]]
+
+    block = stored(side.groupBy("shard").cogroup(docs).applyInPandas(locate, kind_of_block), "substrings-blocks")
     at = F.struct("key", "dig", "start")
-    first = block.groupBy("ph", "b1", "b2").agg(F.min(at).alias("first"))
-    judged = stored(block.join(first, ["ph", "b1", "b2"]).select(
-        "shard", "key", "dig", "start", "length", "ph", (at != F.col("first")).alias("again")), "substrings-judged")
+    place = ["shard", "key", "dig", "start", "length"]
+    ahead = block.filter("not again")  # one a shard
+    first = stored(ahead.groupBy("ph", "b1", "b2").agg(F.min(at).alias("first")), "substrings-firsts")
+    judged = ahead.join(first, ["ph", "b1", "b2"]).withColumn("again", at != F.col("first"))
     several = first.groupBy("ph").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("ph")
     apart = judged.filter("not again").join(several, "ph", "left_semi").select(
-        "shard", "key", "dig", "start", "length")
-
-    def windows(side: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        wanted, out, known = _groups(side), [], WordHashes()
-        keys = {k for k, _ in wanted}
-        for k, t in _distinct(own):
-            if k not in keys:
-                continue
-            split = words(t)
-            part = wanted.get((k, digest(split)))
-            if part is None:
-                continue
-            hashes = known.of(split)
-            starts = np.concatenate([np.arange(a, a + n) for a, n in zip(part["start"], part["length"])])
-            w1, w2 = (runs(hashes, window, by)[starts] for by in _M[1:])
-            out.append(pd.DataFrame({"shard": part["shard"].iloc[0], "key": k, "dig": part["dig"].iloc[0],
-                                     "start": starts, "w1": w1.view(np.int64),
-                                     "w2": (w2 >> np.uint64(33)).astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {c: [] for c in ("shard", "key", "dig", "start", "w1", "w2")}).astype("int64")
-
-    each = stored(apart.groupBy("shard").cogroup(docs).applyInPandas(
-        windows, "shard int, key long, dig long, start int, w1 long, w2 long"), "substrings-windows")
+        "shard", "key", "dig", "start", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w"))
+    each = stored(apart.select("shard", "key", "dig", (F.col("start") + F.col("at")).alias("start"), "w.w1", "w.w2"),
+                  "substrings-windows")
     earliest = each.groupBy("w1", "w2").agg(F.min(at).alias("first"))
     single = each.join(earliest, ["w1", "w2"]).filter(at != F.col("first"))
-    gone = (judged.filter("again").select("shard", "key", "dig", "start", "length")
+    gone = (block.filter("again").select(place).unionByName(judged.filter("again").select(place))
             .unionByName(single.select("shard", "key", "dig", "start", F.lit(1).alias("length")))
             .unionByName(copies.select("shard", "key", "dig", F.lit(0).alias("start"), F.lit(-1).alias("length"))))
 
@@ -222,27 +230,59 @@ def _distinct(own: pd.DataFrame) -> Iterator[tuple]:
     return zip(*(own.drop_duplicates(["key", "text"])[c] for c in ("key", "text")))
 
 
-def compile_phrases(phrases) -> tuple[dict, object]:
-    """Word numbers and an automaton over sequences of them."""
-    import ahocorasick
-
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for phrase in phrases:
-        automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in bytes(phrase).split(b" ")))
-    automaton.make_automaton()
-    return numbers, automaton
-
-
-def occurrences(automaton, numbers: dict, split: list[bytes]) -> np.ndarray:
-    """For each word of a text whether a phrase of the automaton starts there; empty if none does."""
-    get = numbers.get
-    ends = [end for end, _ in automaton.iter(tuple(get(w, 0) for w in split))]
-    if not ends:
-        return np.empty(0, dtype=bool)
-    found = np.zeros(len(split), dtype=bool)
-    found[np.array(ends) - PHRASE + 1] = True
-    return found
+class Phrases:
+    """An automaton of phrases. Words are numbered and spelled by three characters of three alphabets, so that few
+    branches leave a node, an occurrence starts at a word, and unknown words never match."""
+
+    BASE = 120
+
+    def __init__(self, phrases):
+        import ahocorasick
+
+        self.spelling: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in phrases:
+            self.automaton.add_word("".join([self.spelled(w) for w in bytes(phrase).split(b" ")]))
+        self.automaton.make_automaton()
+
+    def spelled(self, word: bytes) -> str:
+        if (own := self.spelling.get(word)) is None:
+            high, low = divmod(len(self.spelling), self.BASE)
+            high, middle = divmod(high, self.BASE)
+            own = self.spelling[word] = chr(1 + low) + chr(0x100 + middle) + chr(0x200 + high)
+        return own
+
+    def text(self, split: list[bytes]) -> str:
+        spelled = self.spelling.get
+        return "".join([spelled(w, "\0\0\0") for w in split])
+
+    def occurs(self, split: list[bytes]) -> bool:
+        """Whether any phrase occurs."""
+        return next(self.automaton.iter(self.text(split)), None) is not None
+
+    def starts(self, split: list[bytes]) -> np.ndarray:
+        """For each word whether a phrase starts there."""
+        found = np.zeros(len(split), dtype=bool)
+        ends = np.fromiter((end for end, _ in self.automaton.iter(self.text(split))), dtype=np.int64)
+        found[ends // 3 - PHRASE + 1] = True
+        return found
+
+    def blocks(self, lot: Lot, window: int) -> pd.DataFrame:
+        """The blocks of a lot that occurrences stand for, with the hashes of their words and windows."""
+        found = self.starts(lot.words)
+        first, length = blocks(lot.places)
+        place = lot.places[first]
+        take = (place >= 0) & found[place]
+        own = [runs(lot.hashes, window, by) for by in _M[1:]]
+        b1, b2 = (block_hash(w, first, length, by)[take].view(np.int64) for w, by in zip(own, _M[1:]))
+        first, length = first[take], length[take]
+        doc = np.searchsorted(lot.ends, first, "right")
+        w1, w2 = (w.view(np.int64) for w in own)
+        return pd.DataFrame({
+            "key": np.array([k for k, _ in lot.names], dtype=np.int64)[doc],
+            "dig": np.array([d for _, d in lot.names], dtype=np.int64)[doc], "start": first - lot.starts[doc], "length": length,
+            "ph": runs(lot.hashes, PHRASE, _M[0])[place[take]].view(np.int64), "b1": b1, "b2": b2,
+            "w1": [w1[a:a + n] for a, n in zip(first, length)], "w2": [w2[a:a + n] for a, n in zip(first, length)]})
 
 
 def removed_spans(part: pd.DataFrame, n: int, window: int) -> list[tuple[int, int]]:
