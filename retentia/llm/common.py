@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Python workers of the jobs started inside get batches of ``BATCH_BYTES``."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, so a lost executor costs a read.
 
@@ -28,12 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, BATCH_BYTES)
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
     kept(path)
     return spark.read.schema(df.schema).parquet(path)
 

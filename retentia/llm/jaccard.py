@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retentia.llm.common import WordHashes, checkpointed, name_beside, stored
+from retentia.llm.common import WordHashes, checkpointed, name_beside, small_batches, stored
 from retentia.llm.graph import connected
 
 #: Cells of the table of shingle counts that orders shingles, rarest first. Any order gives the same links.
@@ -120,7 +120,7 @@ def count_cells(df: DataFrame, text: str, size: int) -> np.ndarray:
         shingler, total = Shingler(size), np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for t in batch["t"]:
-                total += np.bincount(cells_of(shingler(words(t))), minlength=CELLS)
+                np.add.at(total, cells_of(shingler(words(t))), 1)
         parts = total.reshape(-1, 1 << 10)
         yield pd.DataFrame({"part": np.arange(len(parts)), "n": [p.tobytes() for p in parts]})
 
@@ -131,7 +131,9 @@ def count_cells(df: DataFrame, text: str, size: int) -> np.ndarray:
     counts = (df.select(F.col(text).alias("t")).mapInPandas(count, "part int, n binary")
               .groupBy("part").applyInPandas(add, "part int, n binary"))
     out = np.zeros((CELLS >> 10, 1 << 10), dtype=np.int64)
-    for row in counts.collect():  # CELLS numbers
+    with small_batches(df.sparkSession):
+        rows = counts.collect()  # CELLS numbers
+    for row in rows:
         out[row["part"]] = np.frombuffer(row["n"], dtype=np.int64)
     return out.ravel()
 

@@ -19,13 +19,12 @@ Documents whose word sequence occurred earlier are decided by that alone.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.llm.common import WordHashes, stored
@@ -83,6 +82,12 @@ def block_hash(own: np.ndarray, first: np.ndarray, length: np.ndarray, by: np.ui
     return (total ^ length.astype(np.uint64)) * by
 
 
+def _first_of_each(values: np.ndarray, with_them: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values and what goes with the first of each."""
+    different, at = np.unique(values, return_index=True)
+    return different, with_them[at]
+
+
 class Lot:
     """Documents (name, words) side by side, so that one array operation serves many."""
 
@@ -98,6 +103,17 @@ class Lot:
         inside = np.arange(len(self.places)) + window <= np.repeat(self.ends, lengths)[:len(self.places)]
         self.places[~inside] = -1
 
+    def phrase_hashes(self) -> np.ndarray:
+        return runs(self.hashes, PHRASE, _M[0]).view(np.int64)
+
+    def blocks(self, window: int) -> tuple:
+        """(first window, windows, place of the phrase, two hashes of the words) of all blocks, and the hashes of all windows."""
+        first, length = blocks(self.places)
+        own = [runs(self.hashes, window, by) for by in _M[1:]]
+        real = self.places[first] >= 0
+        hashes = [block_hash(w, first, length, by)[real].view(np.int64) for w, by in zip(own, _M[1:])]
+        return first[real], length[real], self.places[first[real]], hashes, [w.view(np.int64) for w in own]
+
     @staticmethod
     def of(documents: Iterator[tuple], window: int, known: WordHashes) -> Iterator[Lot]:
         waiting, size = [], 0
@@ -149,30 +165,42 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
             if len(split) >= window and (name := (k, digest(split))) not in later:
                 yield name, split
 
+    kind_of_phrase = "phrase binary, shard int, times long, low long, high long"
+
     def phrases(copy: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        count = Counter()
+        """The phrases of a shard, how often each stands for windows, and the range of the hashes of its blocks."""
+        made, text = [], {}
         for lot in Lot.of(originals(own, set(zip(copy["key"], copy["dig"]))), window, WordHashes()):
-            for p in np.unique(lot.places[lot.places >= 0]).tolist():
-                count[b" ".join(lot.words[p:p + PHRASE])] += 1
-        shard = int(own["shard"].iloc[0]) if len(own) else 0
-        return pd.DataFrame({"phrase": list(count), "shard": shard, "times": list(count.values())})
-
-    counted = stored(copies.groupBy("shard").cogroup(docs).applyInPandas(phrases, "phrase binary, shard int, times long"),
-                     "substrings-phrases")
-    often = counted.groupBy("phrase").agg(F.sum("times").alias("all_times")).filter("all_times > 1").select("phrase")
-    recurring = counted.join(often, "phrase").select("shard", "phrase")
+            first, length, place, (b1, _), _ = lot.blocks(window)
+            ph = lot.phrase_hashes()[place]
+            made.append(pd.DataFrame({"ph": ph, "b1": b1}))
+            for i, p in zip(*(x.tolist() for x in _first_of_each(ph, place))):
+                if i not in text:
+                    text[i] = b" ".join(lot.words[p:p + PHRASE])
+        if not made:
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in kind_of_phrase.split(", ")})
+        found = pd.concat(made).groupby("ph")["b1"].agg(["size", "min", "max"])
+        return pd.DataFrame({"phrase": [text[i] for i in found.index.tolist()], "shard": int(own["shard"].iloc[0]),
+                             "times": found["size"].to_numpy(), "low": found["min"].to_numpy(), "high": found["max"].to_numpy()})
+
+    counted = copies.groupBy("shard").cogroup(docs).applyInPandas(phrases, kind_of_phrase)
+    # over the shards of a phrase, at most one row each
+    everywhere = Window.partitionBy("phrase")
+    recurring = counted.select(
+        "shard", "phrase", F.sum("times").over(everywhere).alias("times"),
+        (F.min("low").over(everywhere) != F.max("high").over(everywhere)).alias("several")).filter("times > 1").drop("times")
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    side = recurring.select("shard", "phrase", nothing("long", "key"), nothing("long", "dig")).unionByName(
-        copies.select("shard", nothing("binary", "phrase"), "key", "dig"))
+    side = recurring.select("shard", "phrase", "several", nothing("long", "key"), nothing("long", "dig")).unionByName(
+        copies.select("shard", nothing("binary", "phrase"), nothing("boolean", "several"), "key", "dig"))
     kind_of_block = ("shard int, key long, dig long, start int, length int, ph long, b1 long, b2 long, again boolean, "
                      "w1 array<long>, w2 array<long>")
 
     def locate(side: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        patterns = side["phrase"].dropna()
+        patterns = side[side["phrase"].notna()]
         copy = side[side["phrase"].isna()]
         out = []
         if len(own) and len(patterns):
-            automaton = Phrases(patterns)
+            automaton = Phrases(patterns["phrase"], patterns["several"].astype(bool))
             found = ((name, split) for name, split in originals(own, set(zip(copy["key"].astype("int64"), copy["dig"].astype("int64"))))
                      if automaton.occurs(split))
             for lot in Lot.of(found, window, WordHashes()):
@@ -182,8 +210,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         made = pd.concat(out, ignore_index=True).sort_values(["key", "dig", "start"], kind="stable")
         # what is not the shard's first block of its words is repeated whatever the other shards hold
         made["again"] = made.duplicated(["ph", "b1", "b2"])
-        for w in ("w1", "w2"):
-            made[w] = [None if again else v for again, v in zip(made["again"], made[w])]
+        made.loc[made["again"], ["w1", "w2"]] = None
         return made.assign(shard=int(own["shard"].iloc[0]))[[c.split()[0] for c in kind_of_block.split(", ")]]
 
     block = stored(side.groupBy("shard").cogroup(docs).applyInPandas(locate, kind_of_block), "substrings-blocks")
@@ -192,8 +219,8 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
     ahead = block.filter("not again")  # one a shard
     first = stored(ahead.groupBy("ph", "b1", "b2").agg(F.min(at).alias("first")), "substrings-firsts")
     judged = ahead.join(first, ["ph", "b1", "b2"]).withColumn("again", at != F.col("first"))
-    several = first.groupBy("ph").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("ph")
-    apart = judged.filter("not again").join(several, "ph", "left_semi").select(
+    # windows are there where a phrase has several blocks
+    apart = judged.filter("not again").filter(F.col("w1").isNotNull()).select(
         "shard", "key", "dig", "start", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w"))
     each = stored(apart.select("shard", "key", "dig", (F.col("start") + F.col("at")).alias("start"), "w.w1", "w.w2"),
                   "substrings-windows")
@@ -236,14 +263,20 @@ class Phrases:
 
     BASE = 120
 
-    def __init__(self, phrases):
+    def __init__(self, phrases, several):
         import ahocorasick
 
         self.spelling: dict[bytes, str] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for phrase in phrases:
-            self.automaton.add_word("".join([self.spelled(w) for w in bytes(phrase).split(b" ")]))
+        marked, known = [], WordHashes()
+        for phrase, many in zip(phrases, several):
+            split = bytes(phrase).split(b" ")
+            self.automaton.add_word("".join([self.spelled(w) for w in split]))
+            if many:
+                marked += split
         self.automaton.make_automaton()
+        #: hashes of the phrases whose blocks differ
+        self.several = runs(known.of(marked), PHRASE, _M[0])[::PHRASE].view(np.int64)
 
     def spelled(self, word: bytes) -> str:
         if (own := self.spelling.get(word)) is None:
@@ -270,19 +303,18 @@ class Phrases:
     def blocks(self, lot: Lot, window: int) -> pd.DataFrame:
         """The blocks of a lot that occurrences stand for, with the hashes of their words and windows."""
         found = self.starts(lot.words)
-        first, length = blocks(lot.places)
-        place = lot.places[first]
-        take = (place >= 0) & found[place]
-        own = [runs(lot.hashes, window, by) for by in _M[1:]]
-        b1, b2 = (block_hash(w, first, length, by)[take].view(np.int64) for w, by in zip(own, _M[1:]))
-        first, length = first[take], length[take]
-        doc = np.searchsorted(lot.ends, first, "right")
-        w1, w2 = (w.view(np.int64) for w in own)
+        first, length, place, hashes, (w1, w2) = lot.blocks(window)
+        take = found[place]
+        first, length, place = first[take], length[take], place[take]
+        ph, doc = lot.phrase_hashes()[place], np.searchsorted(lot.ends, first, "right")
+        compared = np.isin(ph, self.several).tolist()
+        parts = list(zip(first.tolist(), length.tolist(), compared))
         return pd.DataFrame({
             "key": np.array([k for k, _ in lot.names], dtype=np.int64)[doc],
             "dig": np.array([d for _, d in lot.names], dtype=np.int64)[doc], "start": first - lot.starts[doc], "length": length,
-            "ph": runs(lot.hashes, PHRASE, _M[0])[place[take]].view(np.int64), "b1": b1, "b2": b2,
-            "w1": [w1[a:a + n] for a, n in zip(first, length)], "w2": [w2[a:a + n] for a, n in zip(first, length)]})
+            "ph": ph, "b1": hashes[0][take], "b2": hashes[1][take],
+            "w1": pd.Series([w1[a:a + n] if c else None for a, n, c in parts], dtype=object),
+            "w2": pd.Series([w2[a:a + n] if c else None for a, n, c in parts], dtype=object)})
 
 
 def removed_spans(part: pd.DataFrame, n: int, window: int) -> list[tuple[int, int]]:
