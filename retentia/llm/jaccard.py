@@ -9,7 +9,8 @@ first. The documents with a common first shingle are a region. In each region, r
 * the documents of smallest hash are its pivots, one, then more each round, and all others are measured against them;
   a document's home is the pivot it is linked to, and everything linked to one pivot is one component;
 * pairs that are in one component already need no further look, nor do pairs whose distances to the region's first
-  pivot differ by more than the join distance (triangle inequality); documents in the window go on to the next round;
+  pivot differ by more than the join distance (triangle inequality), nor pairs whose sizes or parities in 256 cells
+  differ too much; documents in the window go on to the next round;
 * pivots have met everything in their region and leave it. A region ends when one component is left.
 
 A measurement first compares sizes, then parity bitmaps (the sets differ in at least as many shingles as their bitmaps
@@ -93,6 +94,24 @@ def bitmap(own: np.ndarray) -> bytes:
                        bitorder="little").tobytes()
 
 
+#: Cells of the parity word that every row of a region carries.
+PARITY = 256
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of ``PARITY`` cells, as 64-bit numbers."""
+    odd = np.bincount((own >> np.uint64(32) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(nx, np_, difference, percent: int):
+    """Sets of these sizes that differ in ``difference`` shingles at least may be as similar as asked.
+
+    |x & p| <= (nx + np - difference) / 2.
+    """
+    return 100 * (nx + np_ - difference) >= percent * (nx + np_ + difference)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Two sets differ in at least so many shingles; the longer bitmap is folded to the cells of the shorter."""
     x, y = (np.frombuffer(m, dtype=np.uint64) for m in (a, b))
@@ -139,7 +158,7 @@ def count_cells(df: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def classes(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(id, n, firsts array<long>, bits): one row per word sequence and task, with what the regions need."""
+    """(id, n, firsts array<long>, bits, parity): one row per word sequence and task, with what the regions need."""
     rarity = df.sparkSession.sparkContext.broadcast(count_cells(df, text, size))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,11 +171,12 @@ def classes(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                     continue
                 seen.add(name)
                 sets = shingler(own)
-                rows.append((name, len(sets), first_shingles(sets, rarity.value, percent).view(np.int64), bitmap(sets)))
-            yield pd.DataFrame(rows, columns=["id", "n", "firsts", "bits"])
+                rows.append((name, len(sets), first_shingles(sets, rarity.value, percent).view(np.int64), bitmap(sets),
+                             parity(sets)))
+            yield pd.DataFrame(rows, columns=["id", "n", "firsts", "bits", "parity"])
 
     return df.select(F.col(text).alias("t")).mapInPandas(
-        describe, "id binary, n int, firsts array<long>, bits binary")
+        describe, "id binary, n int, firsts array<long>, bits binary, parity array<long>")
 
 
 def sets_of(df: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -189,8 +209,7 @@ def measure(pairs: DataFrame, bits: DataFrame, sets, percent: int) -> DataFrame:
     left, right = (bits.select(F.col("id").alias(c), F.col("bits").alias(f"{c}b")) for c in "xp")
     total = F.col("nx") + F.col("np")
     bounded = stored(pairs.join(left, "x").join(right, "p").withColumn("diff", differ("xb", "pb")).drop("xb", "pb")
-                     # |x & p| <= (nx + np - diff) / 2
-                     .withColumn("may", 100 * (total - F.col("diff")) >= percent * (total + F.col("diff"))),
+                     .withColumn("may", may_link(F.col("nx"), F.col("np"), F.col("diff"), percent)),
                      "jaccard-bounds")
     close = bounded.filter("may").select("x", "p", "nx", "np")
     known = sets(checkpointed(close.select(F.col("x").alias("id")).union(close.select("p")).distinct()))
@@ -216,8 +235,8 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
     handle = F.xxhash64("id").alias("handle")
     firsts = described.select(handle, F.explode("firsts").alias("sig"))
     shared = firsts.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = stored(firsts.join(shared, "sig").join(described.select(handle, "id", "n"), "handle")
-                     .select("sig", "id", "n", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "jaccard-members")
+    members = stored(firsts.join(shared, "sig").join(described.select(handle, "id", "n", "parity"), "handle")
+                     .select("sig", "id", "n", "parity", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "jaccard-members")
     labels = spark.createDataFrame([], "id binary, label binary")
     held: list[DataFrame] = []
 
@@ -240,11 +259,15 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
         order = Window.partitionBy("sig").orderBy(F.xxhash64("id"), "id")
         pivots = live.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count).select(
             "sig", F.col("id").alias("p"), F.col("n").alias("np"), F.col("comp").alias("cp"),
-            F.col("low").alias("plow"), F.col("high").alias("phigh"))
+            F.col("parity").alias("pparity"), F.col("low").alias("plow"), F.col("high").alias("phigh"))
         pivots = stored(pivots, "jaccard-pivots")
         window = ((F.col("low") - F.col("phigh") <= reach) & (F.col("plow") - F.col("high") <= reach))
+        # rows that differ in too many parities are no pair of the join at all
+        apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pparity", F.lit(i)))) for i in range(PARITY // 64)),
+                    F.lit(0))
         pairs = (live.withColumnRenamed("id", "x").withColumnRenamed("n", "nx").join(pivots, "sig")
-                 .filter((F.col("comp") != F.col("cp")) & similar_enough("nx", "np", percent) & window)
+                 .filter((F.col("comp") != F.col("cp")) & similar_enough("nx", "np", percent) & window
+                         & may_link(F.col("nx"), F.col("np"), apart, percent))
                  .select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p"), "nx", "np")
                  .dropDuplicates(["x", "p"]))
         measured = measure(pairs, bits, sets, percent)
@@ -264,7 +287,7 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
             rest = (rest.drop("low", "high").join(pivots.select("sig", "p"), "sig")
                     .join(ways.withColumnRenamed("x", "id"), ["id", "p"], "left").drop("p")
                     .withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0))))
-        members = stored(rest.select("sig", "id", "n", "low", "high"), "jaccard-members")
+        members = stored(rest.select("sig", "id", "n", "parity", "low", "high"), "jaccard-members")
         count *= PIVOTS
     return sizes, labels
 

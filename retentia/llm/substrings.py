@@ -89,13 +89,14 @@ def _first_of_each(values: np.ndarray, with_them: np.ndarray) -> tuple[np.ndarra
 
 
 class Lot:
-    """Documents (name, words) side by side, so that one array operation serves many."""
+    """Documents (name, words, spelled words if any) side by side, so that one array operation serves many."""
 
     def __init__(self, documents: list[tuple], window: int, known: WordHashes):
-        self.names = [name for name, _ in documents]
-        self.words = [w for _, own in documents for w in own]
+        self.names = [name for name, *_ in documents]
+        self.words = [w for _, own, *_ in documents for w in own]
+        self.spelled = "".join([text for _, _, *given in documents for text in given])
         self.hashes = known.of(self.words)
-        lengths = np.array([len(own) for _, own in documents])
+        lengths = np.array([len(own) for _, own, *_ in documents])
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.places = representatives(self.hashes, window)
@@ -106,20 +107,21 @@ class Lot:
     def phrase_hashes(self) -> np.ndarray:
         return runs(self.hashes, PHRASE, _M[0]).view(np.int64)
 
-    def blocks(self, window: int) -> tuple:
-        """(first window, windows, place of the phrase, two hashes of the words) of all blocks, and the hashes of all windows."""
+    def blocks(self, window: int, hashes: int) -> tuple:
+        """(first window, windows, place of the phrase, so many hashes of the words) of all blocks, and the hashes of all
+        windows."""
         first, length = blocks(self.places)
-        own = [runs(self.hashes, window, by) for by in _M[1:]]
+        own = [runs(self.hashes, window, by) for by in _M[1:1 + hashes]]
         real = self.places[first] >= 0
-        hashes = [block_hash(w, first, length, by)[real].view(np.int64) for w, by in zip(own, _M[1:])]
-        return first[real], length[real], self.places[first[real]], hashes, [w.view(np.int64) for w in own]
+        named = [block_hash(w, first, length, by)[real].view(np.int64) for w, by in zip(own, _M[1:])]
+        return first[real], length[real], self.places[first[real]], named, [w.view(np.int64) for w in own]
 
     @staticmethod
     def of(documents: Iterator[tuple], window: int, known: WordHashes) -> Iterator[Lot]:
         waiting, size = [], 0
-        for name, own in documents:
-            waiting.append((name, own))
-            size += len(own)
+        for document in documents:
+            waiting.append(document)
+            size += len(document[1])
             if size >= LOT_WORDS:
                 yield Lot(waiting, window, known)
                 waiting, size = [], 0
@@ -165,13 +167,13 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
             if len(split) >= window and (name := (k, digest(split))) not in later:
                 yield name, split
 
-    kind_of_phrase = "phrase binary, shard int, times long, low long, high long"
+    kind_of_phrase = "phrase binary, shard int, times long, low long, differ boolean"
 
     def phrases(copy: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        """The phrases of a shard, how often each stands for windows, and the range of the hashes of its blocks."""
+        """The phrases of a shard, how often each stands for windows, the least hash of its blocks and whether they differ."""
         made, text = [], {}
         for lot in Lot.of(originals(own, set(zip(copy["key"], copy["dig"]))), window, WordHashes()):
-            first, length, place, (b1, _), _ = lot.blocks(window)
+            first, length, place, (b1,), _ = lot.blocks(window, 1)
             ph = lot.phrase_hashes()[place]
             made.append(pd.DataFrame({"ph": ph, "b1": b1}))
             for i, p in zip(*(x.tolist() for x in _first_of_each(ph, place))):
@@ -181,14 +183,15 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
             return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in kind_of_phrase.split(", ")})
         found = pd.concat(made).groupby("ph")["b1"].agg(["size", "min", "max"])
         return pd.DataFrame({"phrase": [text[i] for i in found.index.tolist()], "shard": int(own["shard"].iloc[0]),
-                             "times": found["size"].to_numpy(), "low": found["min"].to_numpy(), "high": found["max"].to_numpy()})
+                             "times": found["size"].to_numpy(), "low": found["min"].to_numpy(),
+                             "differ": (found["min"] != found["max"]).to_numpy()})
 
     counted = copies.groupBy("shard").cogroup(docs).applyInPandas(phrases, kind_of_phrase)
     # over the shards of a phrase, at most one row each
     everywhere = Window.partitionBy("phrase")
     recurring = counted.select(
         "shard", "phrase", F.sum("times").over(everywhere).alias("times"),
-        (F.min("low").over(everywhere) != F.max("high").over(everywhere)).alias("several")).filter("times > 1").drop("times")
+        (F.max("differ").over(everywhere) | (F.min("low").over(everywhere) != F.max("low").over(everywhere))).alias("several")).filter("times > 1").drop("times")
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     side = recurring.select("shard", "phrase", "several", nothing("long", "key"), nothing("long", "dig")).unionByName(
         copies.select("shard", nothing("binary", "phrase"), nothing("boolean", "several"), "key", "dig"))
@@ -201,8 +204,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         out = []
         if len(own) and len(patterns):
             automaton = Phrases(patterns["phrase"], patterns["several"].astype(bool))
-            found = ((name, split) for name, split in originals(own, set(zip(copy["key"].astype("int64"), copy["dig"].astype("int64"))))
-                     if automaton.occurs(split))
+            found = automaton.holding(originals(own, set(zip(copy["key"].astype("int64"), copy["dig"].astype("int64")))))
             for lot in Lot.of(found, window, WordHashes()):
                 out.append(automaton.blocks(lot, window))
         if not out:
@@ -211,6 +213,8 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         # what is not the shard's first block of its words is repeated whatever the other shards hold
         made["again"] = made.duplicated(["ph", "b1", "b2"])
         made.loc[made["again"], ["w1", "w2"]] = None
+        made = made.astype({c: "Int64" for c in ("ph", "b1", "b2")})
+        made.loc[made["again"], ["ph", "b1", "b2"]] = pd.NA
         return made.assign(shard=int(own["shard"].iloc[0]))[[c.split()[0] for c in kind_of_block.split(", ")]]
 
     block = stored(side.groupBy("shard").cogroup(docs).applyInPandas(locate, kind_of_block), "substrings-blocks")
@@ -289,21 +293,24 @@ class Phrases:
         spelled = self.spelling.get
         return "".join([spelled(w, "\0\0\0") for w in split])
 
-    def occurs(self, split: list[bytes]) -> bool:
-        """Whether any phrase occurs."""
-        return next(self.automaton.iter(self.text(split)), None) is not None
-
-    def starts(self, split: list[bytes]) -> np.ndarray:
-        """For each word whether a phrase starts there."""
-        found = np.zeros(len(split), dtype=bool)
-        ends = np.fromiter((end for end, _ in self.automaton.iter(self.text(split))), dtype=np.int64)
+    def holding(self, documents: Iterator[tuple]) -> Iterator[tuple]:
+        """The documents (name, words) in which any phrase occurs, with their words spelled."""
+        for name, split in documents:
+            text = self.text(split)
+            if next(self.automaton.iter(text), None) is not None:
+                yield name, split, text
+
+    def starts(self, text: str) -> np.ndarray:
+        """For each word of a spelled text whether a phrase starts there."""
+        found = np.zeros(len(text) // 3, dtype=bool)
+        ends = np.fromiter((end for end, _ in self.automaton.iter(text)), dtype=np.int64)
         found[ends // 3 - PHRASE + 1] = True
         return found
 
     def blocks(self, lot: Lot, window: int) -> pd.DataFrame:
         """The blocks of a lot that occurrences stand for, with the hashes of their words and windows."""
-        found = self.starts(lot.words)
-        first, length, place, hashes, (w1, w2) = lot.blocks(window)
+        found = self.starts(lot.spelled)
+        first, length, place, hashes, (w1, w2) = lot.blocks(window, 2)
         take = found[place]
         first, length, place = first[take], length[take], place[take]
         ph, doc = lot.phrase_hashes()[place], np.searchsorted(lot.ends, first, "right")
