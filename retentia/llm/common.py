@@ -94,20 +94,20 @@ def ranked(df: DataFrame, key: list[str], tie: list[Column], out: str, total: st
            slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``out``, the row's 0-based place among the rows of equal ``key``, and ``total``, their number.
 
-    The order is by a hash of ``tie``, then ``tie``. A key with many rows is dealt over hash slices of
-    about ``slice_rows`` rows: rows are ranked inside their slice and moved up by the rows of the slices
-    before, so no key meets in one task, however hot. Key columns must not be null. Rows equal in all of
-    ``tie`` share a slice and get their places in any order.
+    The order is by slice, then by a hash of ``tie``, then ``tie``. All rows are dealt over hash slices, as many as
+    bring a slice to about ``slice_rows`` rows if one key had all of them: rows are ranked inside their slice of
+    their key and moved up by the rows of the slices before, so no key meets in one task, however hot, and the rows
+    are shuffled once. Key columns must not be null. Rows equal in all of ``tie`` share a slice and get their places in
+    any order.
     """
-    slices, piece, hashed, ahead = (name_beside(df, n) for n in ("slices", "slice", "tie_hash", "ahead"))
-    totals = df.groupBy(*key).agg(F.count(F.lit(1)).alias(total)).withColumn(
-        slices, F.expr(f"cast(`{total}` div {slice_rows} + 1 as int)"))
-    rows = (df.join(totals, key).withColumn(hashed, F.xxhash64(*tie))
-            .withColumn(piece, F.pmod(F.shiftright(hashed, 8), F.col(slices)).cast("int")))
-    before = Window.partitionBy(*key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*key, piece).agg(F.count(F.lit(1)).alias(ahead)).withColumn(
-        ahead, F.coalesce(F.sum(ahead).over(before), F.lit(0)))
+    piece, hashed, ahead = (name_beside(df, n) for n in ("slice", "tie_hash", "ahead"))
+    slices = df.count() // slice_rows + 1
+    rows = df.withColumn(hashed, F.xxhash64(*tie)).withColumn(
+        piece, F.pmod(F.shiftright(hashed, 8), F.lit(slices)).cast("int"))
+    of_key = Window.partitionBy(*key)
+    before = of_key.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*key, piece).agg(F.count(F.lit(1)).alias(ahead)).select(
+        *key, piece, F.coalesce(F.sum(ahead).over(before), F.lit(0)).alias(ahead), F.sum(ahead).over(of_key).alias(total))
     inside = Window.partitionBy(*key, piece).orderBy(hashed, *tie)
-    return (rows.join(offsets, [*key, piece])
-            .withColumn(out, F.col(ahead) + F.row_number().over(inside) - 1)
-            .drop(slices, piece, hashed, ahead))
+    return (rows.withColumn(out, F.row_number().over(inside) - 1).join(offsets, [*key, piece])
+            .withColumn(out, F.col(ahead) + F.col(out)).drop(piece, hashed, ahead))
