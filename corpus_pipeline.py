@@ -40,7 +40,7 @@ def tie() -> list[Column]:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, sources below their target weight repeated, rows in mixing order."""
-    mixed = mixing.pfair_mix(as_one_column(docs), F.col("document.source"), tie())
+    mixed = stored(mixing.pfair_mix(as_one_column(docs), F.col("document.source"), tie()), "mixed")
     return mixing.in_mixing_order(mixed).select("document.*")
 
 
