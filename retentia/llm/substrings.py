@@ -57,6 +57,11 @@ def runs(hashes: np.ndarray, size: int, by: np.uint64) -> np.ndarray:
     return total
 
 
+def half(hashes: np.ndarray) -> np.ndarray:
+    """31 bits of each hash."""
+    return (hashes >> np.uint64(33)).astype(np.int32)
+
+
 def representatives(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> np.ndarray:
     """For each window the place of its phrase of smallest hash, the leftmost of equals."""
     if len(hashes) < window:
@@ -114,7 +119,7 @@ class Lot:
         own = [runs(self.hashes, window, by) for by in _M[1:1 + hashes]]
         real = self.places[first] >= 0
         named = [block_hash(w, first, length, by)[real].view(np.int64) for w, by in zip(own, _M[1:])]
-        return first[real], length[real], self.places[first[real]], named, [w.view(np.int64) for w in own]
+        return first[real], length[real], self.places[first[real]], named, own
 
     @staticmethod
     def of(documents: Iterator[tuple], window: int, known: WordHashes) -> Iterator[Lot]:
@@ -167,10 +172,11 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
             if len(split) >= window and (name := (k, digest(split))) not in later:
                 yield name, split
 
-    kind_of_phrase = "phrase binary, shard int, times long, low long, differ boolean"
+    kind_of_phrase = "phrase binary, shard int, low long, twice boolean, differ boolean"
 
     def phrases(copy: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        """The phrases of a shard, how often each stands for windows, the least hash of its blocks and whether they differ."""
+        """The phrases of a shard, the least hash of the blocks of each, whether there are two of them and whether they
+        differ."""
         made, text = [], {}
         for lot in Lot.of(originals(own, set(zip(copy["key"], copy["dig"]))), window, WordHashes()):
             first, length, place, (b1,), _ = lot.blocks(window, 1)
@@ -183,20 +189,20 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
             return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in kind_of_phrase.split(", ")})
         found = pd.concat(made).groupby("ph")["b1"].agg(["size", "min", "max"])
         return pd.DataFrame({"phrase": [text[i] for i in found.index.tolist()], "shard": int(own["shard"].iloc[0]),
-                             "times": found["size"].to_numpy(), "low": found["min"].to_numpy(),
+                             "low": found["min"].to_numpy(), "twice": (found["size"] > 1).to_numpy(),
                              "differ": (found["min"] != found["max"]).to_numpy()})
 
     counted = copies.groupBy("shard").cogroup(docs).applyInPandas(phrases, kind_of_phrase)
     # over the shards of a phrase, at most one row each
     everywhere = Window.partitionBy("phrase")
     recurring = counted.select(
-        "shard", "phrase", F.sum("times").over(everywhere).alias("times"),
-        (F.max("differ").over(everywhere) | (F.min("low").over(everywhere) != F.max("low").over(everywhere))).alias("several")).filter("times > 1").drop("times")
+        "shard", "phrase", (F.max("twice").over(everywhere) | (F.count(F.lit(1)).over(everywhere) > 1)).alias("recurs"),
+        (F.max("differ").over(everywhere) | (F.min("low").over(everywhere) != F.max("low").over(everywhere))).alias("several")).filter("recurs").drop("recurs")
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     side = recurring.select("shard", "phrase", "several", nothing("long", "key"), nothing("long", "dig")).unionByName(
         copies.select("shard", nothing("binary", "phrase"), nothing("boolean", "several"), "key", "dig"))
-    kind_of_block = ("shard int, key long, dig long, start int, length int, ph long, b1 long, b2 long, again boolean, "
-                     "w1 array<long>, w2 array<long>")
+    kind_of_block = ("shard int, key long, dig long, start int, length int, ph long, b1 long, b2 int, again boolean, "
+                     "w1 array<long>, w2 array<int>")
 
     def locate(side: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         patterns = side[side["phrase"].notna()]
@@ -213,7 +219,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         # what is not the shard's first block of its words is repeated whatever the other shards hold
         made["again"] = made.duplicated(["ph", "b1", "b2"])
         made.loc[made["again"], ["w1", "w2"]] = None
-        made = made.astype({c: "Int64" for c in ("ph", "b1", "b2")})
+        made = made.astype({"ph": "Int64", "b1": "Int64", "b2": "Int32"})
         made.loc[made["again"], ["ph", "b1", "b2"]] = pd.NA
         return made.assign(shard=int(own["shard"].iloc[0]))[[c.split()[0] for c in kind_of_block.split(", ")]]
 
@@ -221,7 +227,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
     at = F.struct("key", "dig", "start")
     place = ["shard", "key", "dig", "start", "length"]
     ahead = block.filter("not again")  # one a shard
-    first = stored(ahead.groupBy("ph", "b1", "b2").agg(F.min(at).alias("first")), "substrings-firsts")
+    first = ahead.groupBy("ph", "b1", "b2").agg(F.min(at).alias("first"))
     judged = ahead.join(first, ["ph", "b1", "b2"]).withColumn("again", at != F.col("first"))
     # windows are there where a phrase has several blocks
     apart = judged.filter("not again").filter(F.col("w1").isNotNull()).select(
@@ -315,11 +321,12 @@ class Phrases:
         first, length, place = first[take], length[take], place[take]
         ph, doc = lot.phrase_hashes()[place], np.searchsorted(lot.ends, first, "right")
         compared = np.isin(ph, self.several).tolist()
+        w1, w2 = w1.view(np.int64), half(w2)
         parts = list(zip(first.tolist(), length.tolist(), compared))
         return pd.DataFrame({
             "key": np.array([k for k, _ in lot.names], dtype=np.int64)[doc],
             "dig": np.array([d for _, d in lot.names], dtype=np.int64)[doc], "start": first - lot.starts[doc], "length": length,
-            "ph": ph, "b1": hashes[0][take], "b2": hashes[1][take],
+            "ph": ph, "b1": hashes[0][take], "b2": half(hashes[1][take].view(np.uint64)),
             "w1": pd.Series([w1[a:a + n] if c else None for a, n, c in parts], dtype=object),
             "w2": pd.Series([w2[a:a + n] if c else None for a, n, c in parts], dtype=object)})
 
