@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from retentia.operators import anomaly, scoring, selection
+from retentia.operators import anomaly, encoding, scoring, selection
 from retentia.operators.explain import ensemble_leaves, expected_value, tree_contributions
 from retentia.operators.training import (
     class_one_probability, details_frame, feature_names, load_regressor, train_classifiers, train_regressors,
@@ -201,6 +201,39 @@ def fill_then_predict(spark, sf):
                          F.col("prediction.probability").between(0, 1).alias("scored"))
 
 
+@query("sparse_codes", """
+WITH c AS (SELECT DISTINCT 'l_partkey' AS k, CAST(l_partkey AS VARCHAR) AS v FROM lineitem
+           UNION SELECT 'flag', coalesce(CASE WHEN l_linenumber <> 2 THEN l_returnflag END, 'missing') FROM lineitem),
+n AS (SELECT k, v, row_number() OVER (ORDER BY k, v) - 1 AS code FROM c)
+SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS line,
+       concat(f.code, ',', p.code) AS codes
+FROM lineitem JOIN n p ON p.k = 'l_partkey' AND p.v = CAST(l_partkey AS VARCHAR)
+JOIN n f ON f.k = 'flag' AND f.v = coalesce(CASE WHEN l_linenumber <> 2 THEN l_returnflag END, 'missing')
+""")
+def sparse_codes(spark, sf):
+    """Every line's places among all parts and flags, the flag of second lines treated as missing."""
+    lines = _lines(spark, sf).select("line", "l_partkey", F.when(
+        F.col("l_linenumber") != 2, F.col("l_returnflag")).alias("flag"))
+    columns = ["l_partkey", "flag"]
+    coded = encoding.one_hot_sparse(lines, columns, encoding.fit_codes(lines, columns))
+    return coded.select("line", F.concat_ws(",", F.transform("codes", lambda x: x.cast("string"))).alias("codes"))
+
+
+@query("sparse_scores", """
+SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS line, true AS in_range,
+       l_linestatus = 'O' AS late FROM lineitem
+""")
+def sparse_scores(spark, sf):
+    """A linear classifier on the quantities, parts and status of all lines; the status tells the label in full."""
+    lines = _lines(spark, sf).select("line", "l_quantity", "l_partkey", "l_linestatus", (
+        F.col("l_linestatus") == "O").cast("string").alias("label_text"))
+    found = encoding.train_sparse(lines, "line", "label_text", ["l_quantity"], ["l_partkey", "l_linestatus"],
+                                  scratch_path(spark, "models"))
+    p = F.col("probability")
+    return encoding.score_sparse(lines, found["model_path"], ["line"]).select(
+        "line", p.between(0, 1).alias("in_range"), (p > 0.5).alias("late"))
+
+
 @query("isolation_forest_file")
 def isolation_forest_file(spark, sf):
     """Anomalies of an uploaded table by age, total score, attendance and the coded gender."""

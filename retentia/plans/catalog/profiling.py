@@ -10,6 +10,8 @@ from retentia.operators.explain import contribution_array, long_contributions, r
 from retentia.operators import explain
 from retentia.plans import views as v
 from retentia.plans.catalog.base import query
+from retentia.session import scratch_path
+from retentia.sources import profiles
 
 _CONTRACT = ["student ID", "currentGPA", "attendance", "gender", "dropout", "age"]
 
@@ -39,6 +41,25 @@ def field_catalog(spark, sf):
     return quality.field_catalog({t: v.table(spark, sf, t) for t in ("orders", "customer")}, exact=True)
 
 
+_DELIVERED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("field_catalog_merged", " UNION ALL ".join(
+    f"SELECT '{c}' AS field, count(*) AS rows, count({'CASE WHEN o_orderkey % 4 <> 3 THEN o_orderpriority END' if c == 'o_orderpriority' else c}) AS filled, "
+    "true AS near FROM orders" for c in _DELIVERED))
+def field_catalog_merged(spark, sf):
+    """The catalogue of four deliveries from their sketches, the last one without a column, held against exact counts."""
+    orders, home = v.table(spark, sf, "orders"), scratch_path(spark, "profiles")
+    for n in range(4):
+        part = orders.filter(F.col("o_orderkey") % 4 == n).select(*_DELIVERED)
+        profiles.record(part.drop("o_orderpriority") if n == 3 else part, home, "orders", n + 1)
+    merged = profiles.catalogue(profiles.profiles(spark, home))
+    exact = quality.field_catalog({"orders": orders.select(*_DELIVERED)}, exact=True).select(
+        "field", F.col("distinct_values").alias("exact"))
+    return merged.join(exact, "field").select("field", "rows", "filled", (
+        F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))).alias("near"))
+
+
 _HEADERS = """headers AS (
   SELECT p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS position, p_type AS name
   FROM (SELECT DISTINCT p_brand, p_type FROM part)),

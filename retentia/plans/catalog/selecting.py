@@ -8,6 +8,8 @@ from retentia.operators import selection, shaping
 from retentia.operators.features import sample_rows, top_per_row
 from retentia.plans import views as v
 from retentia.plans.catalog.base import query
+from retentia.session import scratch_path
+from retentia.sources import text_index
 
 
 @query("project_columns", "SELECT o_orderkey AS order_id, o_custkey AS student_id, o_totalprice FROM orders")
@@ -104,6 +106,17 @@ def search_text(spark, sf):
     return selection.search(v.table(spark, sf, "documents"), "Tion", ["text"], "en", "lang").select("doc_id")
 
 
+@query("search_indexed", """
+SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') AND lang = 'en'
+""")
+def search_indexed(spark, sf):
+    """Substring search through an index of triples, built from two deliveries of all documents."""
+    docs, home = v.table(spark, sf, "documents"), scratch_path(spark, "text-index")
+    text_index.build(docs.filter(F.col("doc_id") % 2 == 0).select("doc_id", "text", "lang"), home, ["text"], 1000)
+    text_index.add(docs.filter(F.col("doc_id") % 2 != 0).select("doc_id", "text", "lang"), home)
+    return text_index.search(spark, home, "Worthless", "en", "lang").select("doc_id")
+
+
 @query("page_after", "SELECT p_partkey, p_name FROM part WHERE p_partkey > 100 ORDER BY p_partkey LIMIT 50")
 def page_after(spark, sf):
     return selection.page_after(v.table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", 100, 50)
