@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,12 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set ``retentia.surrogate.secret`` for surrogates that last; without it the session draws a key of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    secret = spark.conf.get("retentia.surrogate.secret", "set retentia.surrogate.secret")
+    secret = spark.conf.get("retentia.surrogate.secret", None)
+    if not secret:
+        secret = token_hex(32)
+        spark.conf.set("retentia.surrogate.secret", secret)
     return surrogates.pseudonymised(docs, "text", secret).withColumn("n_entities", F.size("entities"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -24,10 +25,13 @@ from retentia.llm.common import checkpointed, name_beside, stored
 CARRIED = 50_000
 #: Draws for one entity before the space of its format counts as full.
 ATTEMPTS = 200
+#: Draws after which names and mailboxes get one letter more, so that short ones never run out.
+GROWS_AFTER = 8
 
-# Titles that show a gender, and forenames by gender.
+# Titles that show a gender, titles that do not, and forenames by gender.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Monsieur", "Sir", "господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "госпожа")
+TITLES = ("Dr", "Prof", "Doctor", "Professor", "Docteur", "Doktor", "Doctora", "доктор")
 MALE = ("Adam", "Anton", "Bruno", "Carl", "Daniel", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leo", "Lucas",
         "Marc", "Martin", "Noah", "Oscar", "Paul", "Peter", "Simon", "Thomas", "Victor")
 FEMALE = ("Alice", "Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Eva", "Helena", "Ida", "Julia", "Laura", "Lea",
@@ -36,16 +40,20 @@ FEMALE = ("Alice", "Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Eva", "H
 SCRIPTS = (("а", "я"), ("α", "ρ"), ("א", "ת"), ("ا", "ي"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "龠"), ("가", "힣"))
 
 _NAME = r"[^\W\d_][^\W\d_'-]+"
+_TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + TITLES)})\b\.?"
+_PART = rf"(?: (?={_NAME})(?-i:[^\W\d_a-zà-ÿ])[^\W\d_'-]+)"
 ENTITY = re.compile(
     r"(?P<email>(?<![\w.+-])[\w+-](?:[\w.+-]*[\w+-])?@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
-    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"
+    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\d.-])\d{3}(?P<sep>[ .-])\d{3}(?P=sep)\d{4}(?![\d-]|\.\d))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]))"
     r"|(?P<number>(?<![\d-])(?:\d{3}-\d{2}-\d{4}|\d{9})(?!-?\d))"
-    rf"|(?P<title>\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\b\.?) +(?P<names>{_NAME}(?: (?={_NAME})(?-i:[^\W\d_a-zà-ÿ])[^\W\d_'-]+)?)")
+    rf"|(?P<title>\b{_TITLE}(?: +{_TITLE})*) +(?P<names>{_NAME}{_PART}{{0,3}})")
 
 #: Every entity holds one of these; most texts hold none and are looked at no further.
-SIGN = re.compile(rf"[@\d]|\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\b")
+SIGN = re.compile(rf"[@\d]|::|\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + TITLES)})\b")
 
 
 def _digits(text: str) -> str:
@@ -57,31 +65,66 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
+def _gender(title: str, forename: str) -> str:
+    """By the title, else by the forename; 'forename' where neither tells."""
+    titles = re.split(r"\.? +|\.$", title)
+    if any(t in MALE_TITLES for t in titles):
+        return "male"
+    if any(t in FEMALE_TITLES for t in titles):
+        return "female"
+    name = forename.capitalize()
+    return "male" if name in MALE else "female" if name in FEMALE else "forename"
+
+
+def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of the personal data in a text, left to right.
 
-    A name after a title gives a surname and, if there are two parts, a forename of the title's gender.
+    A name of up to four parts after a title gives a surname and forenames of the title's gender; after a title that
+    shows none the forename tells. Wherever a surname so found stands again in the text as a capitalised word, it is a
+    mention, too, with or without a title. Phones have a country code, an area code in brackets or the form 3-3-4.
     """
+    out: list[tuple[int, int, str, str]] = []
     if not text or not SIGN.search(text):
-        return
+        return out
+    surnames = set()
     for m in ENTITY.finditer(text):
         kind, found = m.lastgroup, m.group()
         if kind == "email":
-            yield m.start(), m.end(), kind, found.lower()
+            out.append((m.start(), m.end(), kind, found.lower()))
         elif kind == "ip":
-            yield m.start(), m.end(), kind, ".".join(str(int(p)) for p in found.split("."))
+            out.append((m.start(), m.end(), kind, ".".join(str(int(p)) for p in found.split("."))))
+        elif kind == "ip6":
+            try:
+                out.append((m.start(), m.end(), kind, ipaddress.IPv6Address(found).exploded))
+            except ValueError:  # a time of day, a ratio
+                continue
         elif kind == "phone":  # with or without country code: the last ten digits name the line
-            yield m.start(), m.end(), kind, _digits(found)[-10:]
+            out.append((m.start(), m.end(), kind, _digits(found)[-10:]))
         elif kind in ("card", "number"):
-            yield m.start(), m.end(), kind, _digits(found)
+            out.append((m.start(), m.end(), kind, _digits(found)))
         else:
             at, parts = m.start("names"), m["names"].split(" ")
             if not parts[0][0].isupper() and parts[0][0].lower() != parts[0][0].upper():
                 continue
-            if len(parts) == 2:
-                gender = "male" if m["title"].rstrip(".") in MALE_TITLES else "female"
-                yield at, at + len(parts[0]), gender, parts[0].lower()
-            yield m.end("names") - len(parts[-1]), m.end("names"), "surname", parts[-1].lower()
+            for part in parts[:-1]:
+                out.append((at, at + len(part), _gender(m["title"], part), part.lower()))
+                at += len(part) + 1
+            out.append((at, m.end("names"), "surname", parts[-1].lower()))
+            surnames.add(parts[-1])
+    return _with_mentions(text, out, surnames) if surnames else out
+
+
+def _with_mentions(text: str, found: list[tuple], surnames: set[str]) -> list[tuple]:
+    """``found`` and the words between that are one of the surnames."""
+    out, end = [], 0
+    for a, b, kind, canonical in [*found, (len(text), len(text), None, None)]:
+        for m in re.finditer(rf"(?<![\w'-]){_NAME}", text[end:a]):
+            if m.group() in surnames and m.group()[0].isupper():
+                out.append((end + m.start(), end + m.end(), "surname", m.group().lower()))
+        if kind:
+            out.append((a, b, kind, canonical))
+        end = b
+    return out
 
 
 def _stream(secret: str, *parts) -> Iterator[int]:
@@ -113,20 +156,34 @@ def _scrambled(text: str, draws: Iterator[int]) -> str:
     return "".join(out)
 
 
+def _more(draws: Iterator[int], attempt: int, like: str = "a") -> str:
+    """Letters of the script of ``like`` behind a stand-in, one for every ``GROWS_AFTER`` draws made in vain."""
+    return "".join(_letter(like, next(draws) * 256 + next(draws)) for _ in range(attempt // GROWS_AFTER))
+
+
 def surrogate(secret: str, kind: str, canonical: str, attempt: int) -> str:
     """The canonical form of an entity's stand-in; each attempt draws another one."""
     draws = _stream(secret, kind, canonical, attempt)
     if kind == "email":  # one domain has one surrogate, its last label stays
         local, domain = canonical.rsplit("@", 1)
         name, top = domain.rsplit(".", 1)
-        return f"{_scrambled(local, draws)}@{_scrambled(name, _stream(secret, 'domain', domain))}.{top}"
+        return f"{_scrambled(local, draws)}{_more(draws, attempt)}@{_scrambled(name, _stream(secret, 'domain', domain))}.{top}"
     if kind == "ip":
         return ".".join(str(1 + next(draws) % 254) for _ in range(4))
+    if kind == "ip6":  # groups of zeros stay, the others keep their length
+        groups = (g.lstrip("0") for g in canonical.split(":"))
+        new = ["".join("0123456789abcdef"[next(draws) % 15 + 1 if i == 0 else next(draws) % 16] for i in range(len(g)))
+               for g in groups]
+        if attempt >= GROWS_AFTER:  # an address of few digits: all of the last group
+            new[-1] = f"{1 + (next(draws) * 256 + next(draws)) % 65535:x}"
+        return ipaddress.IPv6Address(":".join(g or "0" for g in new)).exploded
     if kind in ("male", "female") and canonical.isascii():
         names = MALE if kind == "male" else FEMALE
         end = "".join("aeiou"[next(draws) % 5] + "lnrst"[next(draws) % 5] for _ in range(attempt))
         return (names[(next(draws) * 256 + next(draws)) % len(names)] + end).lower()
     drawn = _scrambled(canonical, draws)
+    if kind in ("male", "female", "forename", "surname"):
+        drawn += _more(draws, attempt, canonical[-1])
     if kind == "card" and luhn(canonical):
         drawn = next(drawn[:-1] + str(d) for d in range(10) if luhn(drawn[:-1] + str(d)))
     return drawn
@@ -142,7 +199,11 @@ def shown(kind: str, old: str, new: str) -> str:
                 out[i] = new[left]
         return "".join(out)
     if kind == "email":
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(old, new))
+        cases = old.rjust(len(new), "a")  # a longer mailbox: the case follows the end
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(cases, new))
+    if kind == "ip6":
+        short = ipaddress.IPv6Address(new).compressed
+        return short.upper() if old.isupper() else short
     if old.isupper() and len(old) > 1:
         return new.upper()
     return new[:1].upper() + new[1:] if old[:1].isupper() else new

@@ -36,6 +36,39 @@ def test_coreference_across_spellings_and_documents(spark):
     assert sg._digits(got[2].split(" ", 1)[1])[1:] == sg._digits(got[3])
 
 
+def test_names_and_numbers_in_other_forms():
+    text = ("Mr Ivan Meyer came. Meyer left, Meyers and meyer stayed. Dr Jane Smith, Prof. Dr. Anna Meyer and Mr John Michael "
+            "Smith; 555-123-4567 or 555.123.4567, 2001:DB8::1f and 12:30:45, 555-123-456")
+    new, spans = sg.replace(text, SECRET, {})
+    old = [(text[a:b], k) for a, b, k, _ in sg.entities(text)]
+    assert old == [("Ivan", "male"), ("Meyer", "surname"), ("Meyer", "surname"), ("Jane", "forename"), ("Smith", "surname"),
+                   ("Anna", "female"), ("Meyer", "surname"), ("John", "male"), ("Michael", "male"), ("Smith", "surname"),
+                   ("555-123-4567", "phone"), ("555.123.4567", "phone"), ("2001:DB8::1f", "ip6")]
+    got = [new[a:b] for a, b, _ in spans]
+    assert got[1] == got[2] == got[6] and got[4] == got[9] and got[10].replace("-", ".") == got[11]
+    assert "::" in got[12] and len(got[12]) == len("2001:DB8::1f") and "12:30:45, 555-123-456" in new
+    assert "Meyers and meyer stayed" in new
+
+
+def test_short_formats_grow_and_stay_different(spark):
+    from itertools import product
+
+    short = ["".join(p) for p in product("abcdefghijklmnopqrstuvwxyz", repeat=2)]
+    found = [("surname", w) for w in short] + [("email", f"{w}@x.org") for w in short] + [
+        ("ip6", sg.ipaddress.IPv6Address(f"fe::{i:x}").exploded) for i in range(1, 40)]
+    again = {(r["kind"], r["canonical"]): r["attempt"] for r in sg.settle(
+        spark.createDataFrame(found, "kind string, canonical string"), SECRET).collect()}
+    made = {(k, sg.surrogate(SECRET, k, c, again.get((k, c), 0))) for k, c in found}
+    assert len(made) == len(found) and not made & set(found)
+    assert sg.shown("email", "aB@X.org", "qzr@y.org") == "qzR@Y.org"
+
+
+def test_without_a_secret_the_session_draws_one(spark, sf):
+    spark.conf.unset("retentia.surrogate.secret")
+    queries.QUERIES["op3_keyed_surrogates"](spark, sf)
+    assert len(spark.conf.get("retentia.surrogate.secret")) == 64
+
+
 def test_colliding_draws_are_made_again(spark, monkeypatch):
     plain = sg.surrogate
     few = lambda s, kind, canonical, attempt: (
