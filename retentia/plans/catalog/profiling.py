@@ -45,13 +45,13 @@ _DELIVERED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_ord
 
 
 @query("field_catalog_merged", " UNION ALL ".join(
-    f"SELECT '{c}' AS field, count(*) AS rows, count({'CASE WHEN o_orderkey % 4 <> 3 THEN o_orderpriority END' if c == 'o_orderpriority' else c}) AS filled, "
+    f"SELECT '{c}' AS field, count(*) AS rows, count({'CASE WHEN coalesce(o_orderkey % 4, 0) <> 3 THEN o_orderpriority END' if c == 'o_orderpriority' else c}) AS filled, "
     "true AS near FROM orders" for c in _DELIVERED))
 def field_catalog_merged(spark, sf):
     """The catalogue of four deliveries from their sketches, the last one without a column, held against exact counts."""
     orders, home = v.table(spark, sf, "orders"), scratch_path(spark, "profiles")
     for n in range(4):
-        part = orders.filter(F.col("o_orderkey") % 4 == n).select(*_DELIVERED)
+        part = orders.filter(F.coalesce(F.pmod("o_orderkey", F.lit(4)), F.lit(0)) == n).select(*_DELIVERED)
         profiles.record(part.drop("o_orderpriority") if n == 3 else part, home, "orders", n + 1)
     merged = profiles.catalogue(profiles.profiles(spark, home))
     exact = quality.field_catalog({"orders": orders.select(*_DELIVERED)}, exact=True).select(

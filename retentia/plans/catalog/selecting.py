@@ -112,8 +112,9 @@ SELECT doc_id FROM documents WHERE contains(lower(text), 'worthless') AND lang =
 def search_indexed(spark, sf):
     """Substring search through an index of triples, built from two deliveries of all documents."""
     docs, home = v.table(spark, sf, "documents"), scratch_path(spark, "text-index")
-    text_index.build(docs.filter(F.col("doc_id") % 2 == 0).select("doc_id", "text", "lang"), home, ["text"], 1000)
-    text_index.add(docs.filter(F.col("doc_id") % 2 != 0).select("doc_id", "text", "lang"), home)
+    even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    text_index.build(docs.filter(even).select("doc_id", "text", "lang"), home, ["text"], 1000)
+    text_index.add(docs.filter(~even).select("doc_id", "text", "lang"), home)
     return text_index.search(spark, home, "Worthless", "en", "lang").select("doc_id")
 
 
