@@ -234,9 +234,9 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
     # that two classes share only adds candidates
     handle = F.xxhash64("id").alias("handle")
     firsts = described.select(handle, F.explode("firsts").alias("sig"))
-    shared = firsts.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    shared = firsts.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = stored(firsts.join(shared, "sig").join(described.select(handle, "id", "n", "parity"), "handle")
-                     .select("sig", "id", "n", "parity", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "jaccard-members")
+                     .select("sig", "id", "n", "parity", "m"), "jaccard-members")
     labels = spark.createDataFrame([], "id binary, label binary")
     held: list[DataFrame] = []
 
@@ -249,18 +249,31 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
 
     reach = 1 - percent / 100 + 1e-9
     count = 1
+    ways = None
     while True:
-        live = members.join(labels, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-        open_ = (live.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-                 .filter(F.col("a") != F.col("b")).select("sig"))
-        live = stored(live.join(open_, "sig", "left_semi"), "jaccard-live")
+        if count == 1:  # every class is a component of its own and every region is open
+            live = members.select("sig", "id", "n", "parity", F.col("id").alias("comp"), F.lit(0.0).alias("low"),
+                                  F.lit(1.0).alias("high"))
+            first = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id").alias("hash"), "id", "n", "parity")).alias("of"))
+            pivots = first.select("sig", "of.*").withColumn("comp", F.col("id")).withColumns(
+                {"low": F.lit(0.0), "high": F.lit(1.0)})
+        else:
+            live = members.join(labels, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
+            open_ = (live.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+                     .filter(F.col("a") != F.col("b")).select("sig"))
+            live = live.join(open_, "sig", "left_semi")
+            if ways is not None:  # distances to the region's first pivot give the windows of the later rounds
+                live = (live.join(ways, ["id", "first"], "left").drop("first")
+                        .withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0))))
+                ways = None
+            live = stored(live, "jaccard-live")
+            order = Window.partitionBy("sig").orderBy(F.xxhash64("id"), "id")
+            pivots = live.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
         if live.isEmpty():
             break
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("id"), "id")
-        pivots = live.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count).select(
+        pivots = stored(pivots.select(
             "sig", F.col("id").alias("p"), F.col("n").alias("np"), F.col("comp").alias("cp"),
-            F.col("parity").alias("pparity"), F.col("low").alias("plow"), F.col("high").alias("phigh"))
-        pivots = stored(pivots, "jaccard-pivots")
+            F.col("parity").alias("pparity"), F.col("low").alias("plow"), F.col("high").alias("phigh")), "jaccard-pivots")
         window = ((F.col("low") - F.col("phigh") <= reach) & (F.col("plow") - F.col("high") <= reach))
         # rows that differ in too many parities are no pair of the join at all
         apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pparity", F.lit(i)))) for i in range(PARITY // 64)),
@@ -281,13 +294,14 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
         merged = (labels.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
                   .select("id", F.coalesce("to", "label").alias("label")))
         labels = checkpointed(merged.union(joined.join(labels, "id", "left_anti")))
-        rest = live.drop("comp").join(pivots.select("sig", F.col("p").alias("id")), ["sig", "id"], "left_anti")
-        if count == 1:  # distances to the region's first pivot give the windows of the later rounds
-            ways = measured.select("x", "p", "low", "high").union(measured.select("p", "x", "low", "high"))
-            rest = (rest.drop("low", "high").join(pivots.select("sig", "p"), "sig")
-                    .join(ways.withColumnRenamed("x", "id"), ["id", "p"], "left").drop("p")
-                    .withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0))))
-        members = stored(rest.select("sig", "id", "n", "parity", "low", "high"), "jaccard-members")
+        if count == 1:  # a region of two classes ends with its pivot
+            members = stored(members.filter("m > 2").drop("m").join(pivots.select("sig", F.col("p").alias("first")), "sig")
+                             .filter(F.col("id") != F.col("first")), "jaccard-members")
+            ways = (measured.select(F.col("x").alias("id"), F.col("p").alias("first"), "low", "high")
+                    .union(measured.select("p", "x", "low", "high")))
+        else:
+            rest = live.drop("comp").join(pivots.select("sig", F.col("p").alias("id")), ["sig", "id"], "left_anti")
+            members = stored(rest, "jaccard-members")
         count *= PIVOTS
     return sizes, labels
 
