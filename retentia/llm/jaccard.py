@@ -206,6 +206,10 @@ def measure(pairs: DataFrame, bits: DataFrame, sets, percent: int) -> DataFrame:
     def differ(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([least_difference(x, y) for x, y in zip(a, b)], dtype="int32")
 
+    # tables of known size: few pairs need few bitmaps, and the others are then not shuffled
+    pairs = stored(pairs, "jaccard-pairs")
+    needed = stored(pairs.select(F.col("x").alias("id")).union(pairs.select("p")).distinct(), "jaccard-needed")
+    bits = stored(bits.join(needed, "id", "left_semi"), "jaccard-bits")
     left, right = (bits.select(F.col("id").alias(c), F.col("bits").alias(f"{c}b")) for c in "xp")
     total = F.col("nx") + F.col("np")
     bounded = stored(pairs.join(left, "x").join(right, "p").withColumn("diff", differ("xb", "pb")).drop("xb", "pb")
