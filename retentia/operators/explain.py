@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retentia.operators.joins import lookup_join
+
 # ---- fixed values: advice rules ------------------------------------------------------------------
 TOP_FEATURES = 5
 SOCIAL_MEDIA = "Consider reducing time spent on social media to improve focus and well-being."
@@ -182,23 +184,54 @@ def shapley_values(x: np.ndarray, leaves=None, paths: tuple[list, int] | None =
     return phi
 
 
+def tests_of(leaves) -> tuple[dict[int, list[float]], list[int]]:
+    """({feature: its sorted thresholds}, features tested for categories) of an ensemble."""
+    cuts, exact = {}, set()
+    for _, steps in leaves:
+        for feature, kind, test, _ in steps:
+            if kind in ("le", "gt"):
+                cuts.setdefault(feature, set()).add(test)
+            else:
+                exact.add(feature)
+    return {feature: sorted(own) for feature, own in sorted(cuts.items())}, sorted(exact)
+
+
+def cells(x: np.ndarray, tests: tuple[dict[int, list[float]], list[int]]) -> list[bytes]:
+    """Names rows by the answers they give to all tests: rows of one cell walk every tree alike.
+
+    A threshold test asks on which side of it a number lies, so the place among the feature's thresholds answers all of
+    them; NaN lies on neither side. The value itself answers tests on categories.
+    """
+    cuts, exact = tests
+    places = [np.where(np.isnan(x[:, f]), -1.0, np.searchsorted(own, x[:, f])) for f, own in cuts.items()]
+    places += [x[:, f] + 0.0 for f in exact]  # 0 and -0 are one value
+    return [row.tobytes() for row in np.column_stack([np.zeros(len(x)), *places])]
+
+
 def tree_contributions(df: DataFrame, key: str, leaves, names: list[str], features: str = "features",
                        carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, contributions) for every row, with ``carry`` columns passed along.
 
-    One narrow pass in Arrow batches; the paths, bounded by the model settings, are broadcast once.
+    Rows that no test of the ensemble tells apart have equal contributions: each such cell is explained once, dealt over
+    all cores, and its rows look it up. There are as many cells as the tests of the model allow, however many the rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(shared_paths(leaves))
+    spark = df.sparkSession
+    context = spark.sparkContext
+    every, shared = context.broadcast(tests_of(leaves)), context.broadcast(shared_paths(leaves))
     kept = [key, *carry]
-    rows = df.select(*kept, vector_to_array(features).alias("x"))
+
+    @F.pandas_udf("binary")
+    def cell(x: pd.Series) -> pd.Series:
+        return pd.Series(cells(np.vstack(x.to_numpy()), every.value) if len(x) else [], dtype=object)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 phi = shapley_values(np.vstack(batch["x"].to_numpy()), paths=shared.value)
-                yield batch[kept].assign(phi=list(phi))
+                yield batch[["_cell"]].assign(phi=list(phi))
 
-    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    phi = rows.mapInPandas(explain, f"{types}, phi array<double>")
+    rows = df.select(*kept, vector_to_array(features).alias("x")).withColumn("_cell", cell("x"))
+    each = rows.groupBy("_cell").agg(F.first("x").alias("x")).repartition(context.defaultParallelism)
+    phi = lookup_join(rows.drop("x"), each.mapInPandas(explain, "_cell binary, phi array<double>"), ["_cell"])
     return phi.select(*kept, contribution_array({n: F.col("phi")[i] for i, n in enumerate(names)})
                       .alias("contributions"))

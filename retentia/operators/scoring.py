@@ -104,7 +104,7 @@ def score_students(students: DataFrame, model: PipelineModel, model_name: str, a
 
 def score_trees(df: DataFrame, model: PipelineModel, saved_path: str, key: str, model_name: str,
                 at: Column) -> DataFrame:
-    """(key, prediction struct with advice from tree contributions); one narrow pass."""
+    """(key, prediction struct with advice from tree contributions)."""
     rows = model.transform(df)
     stage = model.stages[-1]
     leaves = ensemble_leaves(df.sparkSession, f"{saved_path}/stages/{len(model.stages) - 1}_{stage.uid}",

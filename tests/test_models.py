@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from retentia.operators import anomaly, explain, scoring, training
@@ -234,3 +235,18 @@ def test_detection_keeps_every_row_and_value(spark):
     assert found.count() == 100 and found.filter("id is null").count() == 5
     assert found.filter("b is null").count() == 10 and found.filter("isnan(b)").count() == 1
     assert found.filter("anomaly_score is null").count() == 0
+
+
+def test_rows_that_no_test_tells_apart_are_explained_once(spark):
+    leaves = [(1.0, [(0, "le", 2.0, 0.5), (1, "in", (1.0,), 0.25)]), (2.0, [(0, "le", 2.0, 0.5), (1, "out", (1.0,), 0.75)]),
+              (5.0, [(0, "gt", 2.0, 0.5), (0, "le", 7.0, 0.5)]), (3.0, [(0, "gt", 2.0, 0.5), (0, "gt", 7.0, 0.5)])]
+    x = np.array([[i % 100 / 10, i % 3 // 2] for i in range(3000)] + [[float("nan"), 1.0], [2.0, -0.0], [float("-inf"), 0.0]])
+    tests = explain.tests_of(leaves)
+    assert tests == ({0: [2.0, 7.0]}, [1]) and len(set(explain.cells(x, tests))) == 7
+    want = explain.shapley_values(x, leaves)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>").select(
+        "id", array_to_vector("x").alias("features"), (-F.col("id")).alias("other"))
+    told = explain.tree_contributions(df, "id", leaves, ["a", "b"], carry=("other",))
+    got = {r["id"]: r for r in told.collect()}
+    assert len(got) == len(x) and all(r["other"] == -i for i, r in got.items())
+    assert all([c["contribution"] for c in got[i]["contributions"]] == list(want[i]) for i in range(len(x)))
