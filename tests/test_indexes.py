@@ -80,3 +80,17 @@ def test_merged_profile_equals_profile_of_the_whole(spark):
     exact = {r["field"]: r["distinct_values"] for r in quality.field_catalog({"t": df.select("a")}, exact=True).collect()}
     near = {r["field"]: r["distinct_values"] for r in profiles.catalogue(parts).collect()}
     assert abs(near["a"] - exact["a"]) <= 0.03 * exact["a"]
+
+
+def test_a_posting_lists_the_rows_of_a_batch(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("Common words "), F.md5(F.col("id").cast("string"))).alias("text"))
+    home = scratch_path(spark, "index")
+    text_index.build(df.coalesce(1), home, rows_a_block=100)
+    postings = spark.read.parquet(f"{home}/postings")
+    one = postings.filter("gram = 'mon'")
+    assert one.count() == 1 and one.select(F.size("ids")).head()[0] == 3000
+    pairs = postings.select("gram", F.explode("ids").alias("id"))
+    want = df.select("id", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.lower("text").substr(i, F.lit(3))))))
+    assert pairs.count() == pairs.distinct().count() == want.count()
+    assert text_index.search(spark, home, "common words").count() == 3000
