@@ -7,14 +7,13 @@ the driver; rows get their codes by lookup joins. Columns with a declared list s
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from retentia.operators.features import MISSING, known_number, stratified_holdout, z_score
 from retentia.operators.joins import lookup_join
@@ -23,6 +22,14 @@ from retentia.operators.ranking import accumulate, ranged
 from retentia.operators.training import MAX_ITER, split_labelled, weighted
 
 CODES = "column string, value string, code long"
+#: Weights that the driver of a fit holds: the intercept, the numbers and columns of few values.
+DENSE = 12
+#: Rows whose fit is the start of the fit to all rows.
+START_ROWS = 20_000
+#: Rows of one value that one task adds up.
+HOT_ROWS = 250_000
+#: A fit ends where its next step gains less than this share of the loss.
+TOLERANCE = 1e-8
 
 
 def category_value(column: str) -> Column:
@@ -73,15 +80,6 @@ def dummies_sparse(df: DataFrame, columns: list[str], codes: DataFrame, into: st
     return one_hot_sparse(df, columns, kept, into)
 
 
-def sparse_vector(size: int, numbers: list[Column], places: Column) -> Column:
-    """The stored form of a vector: ``numbers`` first, then ones at ``places``, which are sorted."""
-    n = len(numbers)
-    return F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.concat(F.array(*[F.lit(i) for i in range(n)]).cast("array<int>"), places.cast("array<int>")).alias("indices"),
-        F.concat(F.array(*numbers).cast("array<double>"), F.transform(places, lambda _: F.lit(1.0))).alias("values"))
-
-
 def _scaled(df: DataFrame, scales: dict[str, tuple[float, float]]) -> list[Column]:
     return [z_score(F.coalesce(known_number(df, c).cast("double"), F.lit(m)), F.lit(m), F.lit(s)) for c, (m, s) in scales.items()]
 
@@ -101,8 +99,8 @@ def train_sparse(df: DataFrame, key: str, label: str, numeric: list[str], catego
 
     Fitted on the training share of a stratified hold-out with the penalty and class weights of the other classifiers.
     Stored are the codes and one weight per value (``weights``), the numbers' scales and the intercept (``numbers``).
-    The driver holds the coefficients, eight bytes a value, as any linear fit does. Rows of the fit are written as
-    Parquet in the vector's stored form and read back as vectors, so no Python touches a row.
+    The driver holds the weights of the numbers and of few values (``DENSE``); those of columns with more values are
+    tables throughout.
     """
     spark = df.sparkSession
     usable, _ = split_labelled(df, label)
@@ -116,22 +114,16 @@ def train_sparse(df: DataFrame, key: str, label: str, numeric: list[str], catego
     else:
         spark.createDataFrame([], CODES).write.parquet(f"{home}/codes")
     codes = spark.read.schema(CODES).parquet(f"{home}/codes")
-    size = len(numeric) + codes.count()
-    coded = weighted(one_hot_sparse(train, categorical, codes) if categorical else train.withColumn(
-        "codes", F.array().cast("array<long>")))
-    coded.select("label", "weight", sparse_vector(size, _scaled(coded, scales), F.col("codes")).alias("features")
-                 ).write.parquet(f"{home}/vectors")
-    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("weight", T.DoubleType()),
-                           T.StructField("features", VectorUDT())])
-    fit_rows = spark.read.schema(schema).parquet(f"{home}/vectors")
-    fitted = LogisticRegression(labelCol="label", weightCol="weight", maxIter=MAX_ITER, standardization=False,
-                                regParam=1.0 / max(fit_rows.count(), 1)).fit(fit_rows)
-    found = fitted.coefficients.toArray()
-    numbers = [(c, m, s, float(found[i])) for i, (c, (m, s)) in enumerate(scales.items())]
-    spark.createDataFrame([*numbers, (None, 0.0, 1.0, float(fitted.intercept))],
+    coded = weighted(with_codes(train, categorical, codes))
+    coded.select("label", "weight", *[z.alias(f"_x{i}") for i, z in enumerate(_scaled(coded, scales))],
+                 *[F.col(f"_code_{c}") for c in categorical]).write.parquet(f"{home}/vectors")
+    fitted, intercept, narrow, wide = fit_logistic(spark.read.parquet(f"{home}/vectors"), len(numeric), categorical, codes, home)
+    numbers = [(c, m, s, fitted[i]) for i, (c, (m, s)) in enumerate(scales.items())]
+    spark.createDataFrame([*numbers, (None, 0.0, 1.0, intercept)],
                           "column string, mean double, std double, weight double").write.parquet(f"{home}/numbers")
-    _place_weights(spark, found, len(numeric)).join(codes, "code").select("column", "value", "code", "weight").write.parquet(
-        f"{home}/weights")
+    few = spark.createDataFrame(sorted(narrow.items()), "code long, weight double").join(codes, "code")
+    weights = reduce(DataFrame.unionByName, [w.join(codes.filter(F.col("column") == c), "code") for c, w in wide.items()], few)
+    weights.select("column", "value", "code", "weight").write.parquet(f"{home}/weights")
     scored = score_sparse(rows.filter("is_test"), home, [key, "label"]).withColumnRenamed("probability", "p").withColumn(
         "prediction", (F.col("p") > 0.5).cast("double"))
     metrics = classification_metrics(scored).head().asDict()
@@ -140,12 +132,159 @@ def train_sparse(df: DataFrame, key: str, label: str, numeric: list[str], catego
             "metrics": {k: v for k, v in metrics.items() if v is not None}}
 
 
-def _place_weights(spark: SparkSession, found, first: int) -> DataFrame:
-    """(code, weight) of the places behind the numbers."""
-    import pandas as pd
+def fit_logistic(rows: DataFrame, numbers: int, categorical: list[str], codes: DataFrame, home: str
+                 ) -> tuple[list[float], float, dict[int, float], dict[str, DataFrame]]:
+    """(weights of the numbers, intercept, {code: weight} of columns with few values, {column: (code, weight)}).
 
-    frame = pd.DataFrame({"code": range(first, len(found)), "weight": found[first:]})
-    return spark.createDataFrame(frame.astype({"code": "int64", "weight": "float64"}), "code long, weight double")
+    Minimises the weighted logistic loss with the penalty ``1 / rows`` per unit of mean weight, the intercept free, by
+    Newton's method. Given the dense weights, the weights of one column's values do not meet in any row, so their part of
+    the Hessian is a diagonal: each value has its own sums, and the dense weights solve what is left, ``DENSE`` numbers
+    wide. Columns with many values take turns until the loss stands still; one alone needs one turn.
+    """
+    spark = rows.sparkSession
+    about = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).head()
+    if not about["n"]:
+        raise ValueError("no labelled rows to fit on")
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}  # one row a column
+    few: list[str] = []
+    for c in sorted(categorical, key=lambda c: (sizes[c], c)):
+        if numbers + sum(sizes[x] for x in [*few, c]) < DENSE:
+            few.append(c)
+    wide = [c for c in categorical if c not in few]
+    places = [r["code"] for r in codes.filter(F.col("column").isin(few)).select("code").orderBy("code").collect()]  # DENSE
+    zero = {c: codes.filter(F.col("column") == c).select("code", F.lit(0.0).alias("weight")) for c in wide}
+    if about["a"] == about["b"]:
+        return [0.0] * numbers, math.inf if about["b"] else -math.inf, dict.fromkeys(places, 0.0), zero
+    of = {r["code"]: r["column"] for r in codes.filter(F.col("code").isin(places)).collect()}
+    dense = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(numbers)],
+             *[(F.col(f"_code_{of[k]}") == k).cast("double") for k in places]]
+    d, strength = len(dense), about["w"] / about["n"]
+    cells = rows.select("label", "weight", *[x.alias(f"x{j}") for j, x in enumerate(dense)],
+                        *[F.col(f"_code_{c}").alias(f"v_{i}") for i, c in enumerate(wide)], F.lit(-1).cast("long").alias("v_"))
+    some = cells.sample(min(1.0, START_ROWS / about["n"]), seed=42).select("label", "weight", *[f"x{j}" for j in range(d)]).toPandas()
+    theta, squares, loss = _start(some.to_numpy(dtype=float), about["w"], strength), {}, math.inf
+    weights: dict[str, DataFrame] = {}
+    turns = [f"v_{i}" for i in range(len(wide))] or ["v_"]
+    for _ in range(MAX_ITER):
+        before = loss
+        for own in turns:
+            block = cells.withColumn("rest", F.lit(0.0))
+            for other in weights:
+                if other != own:
+                    block = lookup_join(block, weights[other].withColumnsRenamed({"code": other, "weight": "_u"}), [other], "left"
+                                        ).withColumn("rest", F.col("rest") + F.col("_u")).drop("_u")
+            rest = sum(x for c, x in squares.items() if c != own)
+            theta, weights[own], squares[own], loss = _newton(
+                block.select("label", "weight", "rest", F.col(own).alias("code"), *[f"x{j}" for j in range(d)]),
+                weights.get(own), theta, strength, rest, f"{home}/fit")
+        if len(turns) == 1 or before - loss <= TOLERANCE * loss:
+            break
+    values = [float(x) for x in theta]
+    return (values[1:numbers + 1], values[0], dict(zip(places, values[numbers + 1:])),
+            {c: weights[f"v_{i}"] for i, c in enumerate(wide)})
+
+
+def _start(some: np.ndarray, total: float, strength: float) -> np.ndarray:
+    """Where the dense weights start: their fit to a few rows, weighted up to all, without the other columns.
+
+    Only the number of rounds depends on it.
+    """
+    theta = np.zeros(some.shape[1] - 2)
+    if not len(some):
+        return theta
+    y, x = some[:, 0], some[:, 2:]
+    a = some[:, 1] * (total / some[:, 1].sum())
+    fine = np.r_[0.0, np.full(len(theta) - 1, strength)]
+    cost = lambda t: float(a @ (np.logaddexp(0, x @ t) - y * (x @ t)) + fine @ t**2 / 2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
+        slope = x.T @ (a * (p - y)) + fine * theta
+        step = np.linalg.lstsq((x * (a * p * (1 - p))[:, None]).T @ x + np.diag(fine), -slope, rcond=None)[0]
+        share, now = 1.0, cost(theta)
+        while share > 1e-6 and not cost(theta + share * step) <= now:
+            share /= 2
+        if share <= 1e-6 or -slope @ step <= TOLERANCE * now:
+            break
+        theta = theta + share * step
+    return np.clip(theta, -30, 30)  # a sample of one class alone has no finite intercept
+
+
+def _newton(block: DataFrame, weights: DataFrame | None, theta: np.ndarray, strength: float, rest: float, home: str):
+    """(dense weights, (code, weight), its sum of squares, loss) at the minimum over both, ``rest`` of the margin fixed.
+
+    The rows are dealt by code once and stay where they are; a code of many rows is cut into slices. A round adds up the
+    sums of each code in place, writes them, and the driver sees their totals in one row.
+    """
+    spark, d = block.sparkSession, len(theta)
+    fine = np.r_[0.0, np.full(d - 1, strength)]
+    hot = block.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select(
+        "code", F.ceil(F.col("n") / HOT_ROWS).alias("slices"))
+    hot.write.parquet(path := f"{home}/{uuid.uuid4().hex}")
+    hot = F.broadcast(spark.read.schema("code long, slices long").parquet(path))  # at most rows / HOT_ROWS
+    sliced = not hot.isEmpty()
+    by = ["code", "slice"] if sliced else ["code"]
+    if sliced:
+        block = block.join(hot, "code", "left").withColumn("slice", F.pmod(F.xxhash64(
+            F.monotonically_increasing_id()), F.coalesce("slices", F.lit(1)))).drop("slices")
+    block = block.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by).persist()
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    share, last, found = 1.0, None, None
+    try:
+        for _ in range(MAX_ITER):
+            if weights is None:
+                rows = block.withColumn("u", F.lit(0.0))
+            else:
+                own = weights.withColumnRenamed("weight", "u")
+                if sliced:
+                    own = own.join(hot, "code", "left").withColumn("slice", F.explode(F.sequence(
+                        F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+                rows = block.join(own.hint("merge"), by)
+            x = [F.col(f"x{j}") for j in range(d)]
+            m = sum((F.lit(float(t)) * c for t, c in zip(theta, x)), F.col("u") + F.col("rest"))
+            rows = rows.withColumn("m", m).withColumn("p", 1 / (1 + F.exp(-F.col("m"))))
+            rows = rows.withColumns({
+                "r": F.col("weight") * (F.col("p") - F.col("label")), "h": F.col("weight") * F.col("p") * (1 - F.col("p")),
+                "l": F.col("weight") * (F.log1p(F.exp(-F.abs("m"))) + F.greatest("m", F.lit(0.0)) - F.col("label") * F.col("m"))})
+            sums = {"g": F.col("r"), "q": F.col("h"), "l": F.col("l"), **{f"g{j}": F.col("r") * x[j] for j in range(d)},
+                    **{f"b{j}": F.col("h") * x[j] for j in range(d)},
+                    **{f"a{i}_{j}": F.col("h") * x[i] * x[j] for i, j in pairs}}
+            each = rows.groupBy(*by).agg(F.max("u").alias("u"), *[F.sum(e).alias(c) for c, e in sums.items()])
+            if sliced:
+                each = each.groupBy("code").agg(F.max("u").alias("u"), *[F.sum(c).alias(c) for c in sums])
+            each = each.withColumns({"g": F.col("g") + strength * F.col("u"), "q": F.col("q") + strength})
+            b = [F.col(f"b{j}") / F.col("q") for j in range(d)]
+            each.write.parquet(path := f"{home}/{uuid.uuid4().hex}")
+            files = spark.read.schema(", ".join(["code long", *[f"{c} double" for c in ("u", *sums)]])).parquet(path)
+            got = files.agg(
+                F.sum("l").alias("l"), F.sum(F.col("u") ** 2).alias("u"), F.sum(F.col("g") ** 2 / F.col("q")).alias("gg"),
+                *[F.sum(F.col(f"g{j}") - b[j] * F.col("g")).alias(f"g{j}") for j in range(d)],
+                *[F.sum(F.col(f"a{i}_{j}") - b[i] * F.col(f"b{j}")).alias(f"a{i}_{j}") for i, j in pairs]).head()
+            loss = got["l"] + strength / 2 * (got["u"] + rest) + float(fine @ theta**2) / 2
+            if last is not None and not loss <= last[0] * (1 + 1e-9) and share > 1e-4:
+                share /= 2  # too far: half the way
+                theta, weights = found(share)
+                continue
+            matrix = np.diag(fine)
+            for i, j in pairs:
+                matrix[i, j] += got[f"a{i}_{j}"]
+                matrix[j, i] = matrix[i, j]
+            slope = np.array([got[f"g{j}"] for j in range(d)]) + fine * theta
+            step = np.linalg.lstsq(matrix, -slope, rcond=None)[0]
+            at = theta
+
+            def found(part: float, at=at, step=step, files=files):
+                move = sum((F.lit(float(t)) * F.col(f"b{j}") for j, t in enumerate(step)), F.col("g")) / F.col("q")
+                return at + part * step, files.select("code", (F.col("u") - part * move).alias("weight"))
+
+            share, last = 1.0, (loss,)
+            theta, weights = found(share)
+            if got["gg"] - float(slope @ step) <= TOLERANCE * loss:  # the step taken gains half of this
+                break
+    finally:
+        block.unpersist()
+    weights.write.parquet(path := f"{home}/{uuid.uuid4().hex}")
+    weights = spark.read.schema("code long, weight double").parquet(path)
+    return theta, weights, weights.agg(F.sum(F.col("weight") ** 2)).head()[0], loss
 
 
 def score_sparse(df: DataFrame, path: str, keep: list[str]) -> DataFrame:

@@ -72,3 +72,26 @@ def test_numbers_alone_and_categories_alone(spark):
     for numeric, categorical in ((["x"], []), ([], ["c"])):
         path = encoding.train_sparse(df, "id", "y", numeric, categorical, scratch_path(spark, "sparse"))["model_path"]
         assert encoding.score_sparse(df, path, ["id"]).filter("probability between 0 and 1").count() == 400
+
+
+def test_many_values_are_fitted_as_tables(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "HOT_ROWS", 50)  # the value "hot" is added up in slices
+    df = spark.range(900).select("id", (F.pmod(F.xxhash64("id"), F.lit(100)) / 50.0).alias("x"), F.concat(
+        F.lit("c"), F.pmod(F.hash("id"), F.lit(40))).alias("c"), F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("d"), F.pmod(F.hash("id", F.lit(1)), F.lit(60)))).alias("d"), (F.col("id") % 2).cast("string").alias("e"))
+    codes = encoding.fit_codes(df, ["c", "d", "e"], 1)
+    home = scratch_path(spark, "sparse")
+    rows = encoding.with_codes(df, ["c", "d", "e"], codes).select(
+        ((F.pmod(F.hash("id", F.lit(2)), F.lit(10)) + 2 * F.col("x") + F.col("_code_c") % 4 + F.col("_code_e") % 2) > 8).cast("double").alias("label"),
+        (1 + F.col("_code_e") % 2 / 2.0).alias("weight"), F.col("x").alias("_x0"), "_code_c", "_code_d", "_code_e")
+    rows.write.parquet(f"{home}/vectors")
+    numbers, intercept, narrow, wide = encoding.fit_logistic(spark.read.parquet(f"{home}/vectors"), 1, ["c", "d", "e"], codes, home)
+    assert len(narrow) == 2 and sorted(wide) == ["c", "d"]
+    beta = {**narrow, **{r["code"]: r["weight"] for w in wide.values() for r in w.collect()}}
+    assert sorted(beta) == [r["code"] for r in codes.orderBy("code").collect()]
+    got = np.array(spark.read.parquet(f"{home}/vectors").collect(), dtype=float)
+    y, a, x, places = got[:, 0], got[:, 1], got[:, 2], got[:, 3:].astype(int)
+    m = intercept + numbers[0] * x + np.array([[beta[k] for k in r] for r in places]).sum(axis=1)
+    r, fine = a * (1 / (1 + np.exp(-m)) - y), a.sum() / len(y)
+    slopes = [r.sum(), r @ x + fine * numbers[0], *[r[(places == k).any(axis=1)].sum() + fine * b for k, b in beta.items()]]
+    assert 0.05 < y.mean() < 0.95 and max(abs(b) for b in beta.values()) > 0.1 and np.abs(slopes).max() < 0.05
