@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import xxhash
@@ -44,10 +45,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with small_batches(spark):
         df.write.parquet(path)
     kept(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
 
 
 _PATHS: list[str] = []
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def kept(path: str) -> None:
@@ -55,12 +59,16 @@ def kept(path: str) -> None:
     _PATHS.append(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written; results that still depend on it must have been written by then."""
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what ``stored`` has written, or only ``frames`` of it; results that still depend on it must have been written
+    by then."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _PATHS:
-        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in [_STORED[frame] for frame in frames] if frames else list(_PATHS):
+        if path not in _PATHS:
+            continue
+        _PATHS.remove(path)
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

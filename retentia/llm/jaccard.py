@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retentia.llm.common import WordHashes, checkpointed, name_beside, small_batches, stored
+from retentia.llm.common import checkpointed, name_beside, release, small_batches, stored
 from retentia.llm.graph import connected
 
 #: Cells of the table of shingle counts that orders shingles, rarest first. Any order gives the same links.
@@ -38,6 +38,36 @@ CARRIED = 200_000
 #: In round k a region has up to PIVOTS ** (k - 1) pivots.
 PIVOTS = 32
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Longer words are hashed one by one.
+LONG = 64
+
+
+def _letters() -> np.ndarray:
+    """A 64-bit number for every byte at every place of a word, and 0 for the blank after it."""
+    x = np.arange(1, (LONG + 1) * 256 + 1, dtype=np.uint64) * _K[0]
+    for k in _K[1:]:
+        x = (x ^ (x >> np.uint64(31))) * k
+    x ^= x >> np.uint64(32)
+    x[ord(" ")::256] = 0
+    return x
+
+
+_LETTERS = _letters()
+
+
+def word_hashes(own: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words without blanks: the sum of their bytes' numbers, all words at once."""
+    if not own:
+        return np.zeros(0, dtype=np.uint64)
+    text = np.frombuffer(b" ".join(own), dtype=np.uint8)
+    blanks = np.flatnonzero(text == ord(" "))
+    starts = np.concatenate([[0], blanks + 1])
+    lengths = np.diff(starts, append=len(text) + 1)
+    place = np.arange(len(text)) - np.repeat(starts, lengths)[:len(text)]
+    out = np.add.reduceat(_LETTERS.take((place << 8) + text, mode="clip"), starts)  # clipped: only in long words
+    for i in np.flatnonzero(lengths > LONG + 1):
+        out[i] = xxhash.xxh3_64_intdigest(own[i])
+    return out
 
 
 def words(text: str | None) -> list[bytes]:
@@ -50,16 +80,6 @@ def digest(own: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(own))
 
 
-class Shingler:
-    """Sets of shingles as sorted 64-bit hashes."""
-
-    def __init__(self, size: int):
-        self.size, self.known = size, WordHashes()
-
-    def __call__(self, own: list[bytes]) -> np.ndarray:
-        return shingles(self.known.of(own), self.size)
-
-
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Distinct hashes of runs of ``size`` words; a shorter sequence is one shingle, an empty one none."""
     if not len(hashes):
@@ -71,7 +91,8 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
         total ^= total >> np.uint64(29)
     total *= _K[1]
     total ^= total >> np.uint64(32)
-    return np.unique(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def cells_of(sets: np.ndarray) -> np.ndarray:
@@ -136,10 +157,10 @@ def count_cells(df: DataFrame, text: str, size: int) -> np.ndarray:
     """Number of documents' shingles in each of ``CELLS`` cells, over all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, total = Shingler(size), np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for t in batch["t"]:
-                np.add.at(total, cells_of(shingler(words(t))), 1)
+                np.add.at(total, cells_of(shingles(word_hashes(words(t)), size)), 1)
         parts = total.reshape(-1, 1 << 10)
         yield pd.DataFrame({"part": np.arange(len(parts)), "n": [p.tobytes() for p in parts]})
 
@@ -162,7 +183,7 @@ def classes(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     rarity = df.sparkSession.sparkContext.broadcast(count_cells(df, text, size))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, seen = Shingler(size), set()
+        seen = set()
         for batch in batches:
             rows = []
             for t in batch["t"]:
@@ -170,7 +191,7 @@ def classes(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
                 if not own or (name := digest(own)) in seen:
                     continue
                 seen.add(name)
-                sets = shingler(own)
+                sets = shingles(word_hashes(own), size)
                 rows.append((name, len(sets), first_shingles(sets, rarity.value, percent).view(np.int64), bitmap(sets),
                              parity(sets)))
             yield pd.DataFrame(rows, columns=["id", "n", "firsts", "bits", "parity"])
@@ -183,9 +204,9 @@ def sets_of(df: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame
     """(id, items array<long>) of the classes in ``wanted`` (id, each once)."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(size)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "items": [shingler(words(t)).view(np.int64) for t in batch["t"]]})
+            yield pd.DataFrame({"id": batch["id"], "items": [shingles(word_hashes(words(t)), size).view(np.int64)
+                                                             for t in batch["t"]]})
 
     if wanted.count() <= CARRIED:  # 16 bytes a class; the texts then need no shuffle to find them
         wanted = F.broadcast(wanted)
@@ -226,7 +247,9 @@ def measure(pairs: DataFrame, bits: DataFrame, sets, percent: int) -> DataFrame:
     far = bounded.filter("not may").select(
         "x", "p", F.lit(False).alias("linked"),
         (2 * F.col("diff") / (total + F.col("diff"))).alias("low"), F.lit(1.0).alias("high"))
-    return stored(exact.unionByName(far), "jaccard-measured")
+    measured = stored(exact.unionByName(far), "jaccard-measured")
+    release(pairs.sparkSession, pairs, needed, bits, bounded)
+    return measured
 
 
 def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -237,10 +260,15 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
     # most shingles are nobody else's: until those are gone, rows carry a short handle of their class, and a handle
     # that two classes share only adds candidates
     handle = F.xxhash64("id").alias("handle")
-    firsts = described.select(handle, F.explode("firsts").alias("sig"))
-    shared = firsts.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = stored(firsts.join(shared, "sig").join(described.select(handle, "id", "n", "parity"), "handle")
-                     .select("sig", "id", "n", "parity", "m"), "jaccard-members")
+    region = Window.partitionBy("sig")  # counted and given its first pivot in place: its rows move once for each
+    shared = described.select(handle, F.explode("firsts").alias("sig")).withColumn(
+        "m", F.count(F.lit(1)).over(region)).filter("m > 1")
+    least = F.min(F.struct(F.xxhash64("id").alias("hash"), "id", "n", "parity")).over(region)
+    members = stored(
+        shared.join(described.select(handle, "id", "n", "parity"), "handle")
+        .select("sig", "id", "n", "parity", "m", least.alias("of"))
+        .select("sig", "id", "n", "parity", "m", F.col("of.id").alias("p"), F.col("of.n").alias("np"),
+                F.col("of.parity").alias("pparity")), "jaccard-members")
     labels = spark.createDataFrame([], "id binary, label binary")
     held: list[DataFrame] = []
 
@@ -255,36 +283,35 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
     count = 1
     ways = None
     while True:
-        if count == 1:  # every class is a component of its own and every region is open
-            live = members.select("sig", "id", "n", "parity", F.col("id").alias("comp"), F.lit(0.0).alias("low"),
-                                  F.lit(1.0).alias("high"))
-            first = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id").alias("hash"), "id", "n", "parity")).alias("of"))
-            pivots = first.select("sig", "of.*").withColumn("comp", F.col("id")).withColumns(
-                {"low": F.lit(0.0), "high": F.lit(1.0)})
+        # rows that differ in too many parities are no pair of the join at all
+        apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pparity", F.lit(i)))) for i in range(PARITY // 64)),
+                    F.lit(0))
+        if count == 1:  # every class is a component of its own, every region is open and its rows carry its pivot
+            if members.isEmpty():
+                break
+            met = members.withColumnsRenamed({"id": "x", "n": "nx"}).filter(F.col("x") != F.col("p"))
+            passed = [members]
         else:
             live = members.join(labels, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-            open_ = (live.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-                     .filter(F.col("a") != F.col("b")).select("sig"))
-            live = live.join(open_, "sig", "left_semi")
+            live = (live.withColumns({"a": F.min("comp").over(region), "b": F.max("comp").over(region)})
+                    .filter(F.col("a") != F.col("b")).drop("a", "b"))
+            passed = [members]
             if ways is not None:  # distances to the region's first pivot give the windows of the later rounds
                 live = (live.join(ways, ["id", "first"], "left").drop("first")
                         .withColumn("low", F.coalesce("low", F.lit(0.0))).withColumn("high", F.coalesce("high", F.lit(1.0))))
                 ways = None
             live = stored(live, "jaccard-live")
-            order = Window.partitionBy("sig").orderBy(F.xxhash64("id"), "id")
-            pivots = live.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
-        if live.isEmpty():
-            break
-        pivots = stored(pivots.select(
-            "sig", F.col("id").alias("p"), F.col("n").alias("np"), F.col("comp").alias("cp"),
-            F.col("parity").alias("pparity"), F.col("low").alias("plow"), F.col("high").alias("phigh")), "jaccard-pivots")
-        window = ((F.col("low") - F.col("phigh") <= reach) & (F.col("plow") - F.col("high") <= reach))
-        # rows that differ in too many parities are no pair of the join at all
-        apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("pparity", F.lit(i)))) for i in range(PARITY // 64)),
-                    F.lit(0))
-        pairs = (live.withColumnRenamed("id", "x").withColumnRenamed("n", "nx").join(pivots, "sig")
-                 .filter((F.col("comp") != F.col("cp")) & similar_enough("nx", "np", percent) & window
-                         & may_link(F.col("nx"), F.col("np"), apart, percent))
+            if live.isEmpty():
+                break
+            rank = F.row_number().over(region.orderBy(F.xxhash64("id"), "id"))
+            pivots = stored(live.withColumn("rank", rank).filter(F.col("rank") <= count).select(
+                "sig", F.col("id").alias("p"), F.col("n").alias("np"), F.col("comp").alias("cp"),
+                F.col("parity").alias("pparity"), F.col("low").alias("plow"), F.col("high").alias("phigh")), "jaccard-pivots")
+            window = ((F.col("low") - F.col("phigh") <= reach) & (F.col("plow") - F.col("high") <= reach))
+            met = (live.withColumnsRenamed({"id": "x", "n": "nx"}).join(pivots, "sig")
+                   .filter((F.col("comp") != F.col("cp")) & window))
+            passed += [live, pivots]
+        pairs = (met.filter(similar_enough("nx", "np", percent) & may_link(F.col("nx"), F.col("np"), apart, percent))
                  .select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p"), "nx", "np")
                  .dropDuplicates(["x", "p"]))
         measured = measure(pairs, bits, sets, percent)
@@ -299,13 +326,15 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
                   .select("id", F.coalesce("to", "label").alias("label")))
         labels = checkpointed(merged.union(joined.join(labels, "id", "left_anti")))
         if count == 1:  # a region of two classes ends with its pivot
-            members = stored(members.filter("m > 2").drop("m").join(pivots.select("sig", F.col("p").alias("first")), "sig")
-                             .filter(F.col("id") != F.col("first")), "jaccard-members")
+            members = stored(members.filter((F.col("m") > 2) & (F.col("id") != F.col("p")))
+                             .select("sig", "id", "n", "parity", F.col("p").alias("first")), "jaccard-members")
             ways = (measured.select(F.col("x").alias("id"), F.col("p").alias("first"), "low", "high")
                     .union(measured.select("p", "x", "low", "high")))
         else:
             rest = live.drop("comp").join(pivots.select("sig", F.col("p").alias("id")), ["sig", "id"], "left_anti")
             members = stored(rest, "jaccard-members")
+            passed.append(measured)
+        release(spark, *passed)
         count *= PIVOTS
     return sizes, labels
 

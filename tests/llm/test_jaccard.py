@@ -64,3 +64,33 @@ def test_connected_follows_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (7, 3)]
     got = dict(map(tuple, graph.connected(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    own = [b"a", b"b", b"ab", b"ba", b"a" * 64, b"a" * 65, b"a" * 66, b"a" * 64 + b"b", b"b" * 300, b"\x00", b"\x00\x00"]
+    alone = [int(jaccard.word_hashes([w])[0]) for w in own]
+    assert len(set(alone)) == len(own)
+    assert jaccard.word_hashes(own).tolist() == alone
+    assert jaccard.word_hashes(own[::-1]).tolist() == alone[::-1]
+    assert len(jaccard.word_hashes([])) == 0
+
+
+def test_regions_are_dealt_once_and_passed_rounds_leave_no_files(spark, monkeypatch):
+    """The rows of the first round move by their shingle once to be counted and once to get their pivot."""
+    from retentia.llm import common
+
+    plans = {}
+
+    def kept(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    common.release(spark)
+    rows = near_copies(3, 80) + [(k + 100, t) for k, t in near_copies(4, 40, 200, 30)]
+    sizes, labels = jaccard.class_components(spark.createDataFrame(rows, "k long, text string"), "text")
+    assert plans["jaccard-members"].count("hashpartitioning(sig") == 2
+    assert "hashpartitioning(sig" not in plans["jaccard-pairs"]
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._PATHS}
+    assert not left & {"llm-jaccard-pairs", "llm-jaccard-needed", "llm-jaccard-bits", "llm-jaccard-bounds", "llm-jaccard-pivots"}
+    assert labels.count() and sizes.count() == len({t for _, t in rows})
