@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.operators.joins import lookup_join
+from retentia.session import scratch_path
 
 # ---- fixed values: advice rules ------------------------------------------------------------------
 TOP_FEATURES = 5
@@ -230,7 +231,11 @@ def tree_contributions(df: DataFrame, key: str, leaves, names: list[str], featur
                 phi = shapley_values(np.vstack(batch["x"].to_numpy()), paths=shared.value)
                 yield batch[["_cell"]].assign(phi=list(phi))
 
+    # written once and narrow: both sides of the lookup read it, and neither prepares the rows or scores them again
     rows = df.select(*kept, vector_to_array(features).alias("x")).withColumn("_cell", cell("x"))
+    path = scratch_path(spark, "cells")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     each = rows.groupBy("_cell").agg(F.first("x").alias("x")).repartition(context.defaultParallelism)
     phi = lookup_join(rows.drop("x"), each.mapInPandas(explain, "_cell binary, phi array<double>"), ["_cell"])
     return phi.select(*kept, contribution_array({n: F.col("phi")[i] for i, n in enumerate(names)})

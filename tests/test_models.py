@@ -250,3 +250,18 @@ def test_rows_that_no_test_tells_apart_are_explained_once(spark):
     got = {r["id"]: r for r in told.collect()}
     assert len(got) == len(x) and all(r["other"] == -i for i, r in got.items())
     assert all([c["contribution"] for c in got[i]["contributions"]] == list(want[i]) for i in range(len(x)))
+
+
+def test_rows_are_prepared_once_for_their_contributions(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def number(x):
+        seen.add(1)
+        return float(x)
+
+    leaves = [(1.0, [(0, "le", 20.0, 0.5)]), (3.0, [(0, "gt", 20.0, 0.5)])]
+    df = spark.range(50).select(F.col("id").alias("k"), array_to_vector(F.array(number("id"))).alias("features"))
+    told = {r["k"]: r["contributions"][0]["contribution"] for r in explain.tree_contributions(df, "k", leaves, ["a"]).collect()}
+    assert told == {k: -1.0 if k <= 20 else 1.0 for k in range(50)}
+    assert seen.value == 50
