@@ -16,7 +16,10 @@ from retentia.session import scratch_path, shared_root
 SLICE_ROWS = 50_000
 #: Bytes of a batch of rows for Python workers while intermediate tables are written.
 BATCH_BYTES = 4 << 20
+#: Longer words are hashed one by one.
+LONG = 64
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,17 +80,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 100_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def _letters() -> np.ndarray:
+    """A 64-bit number for every byte at every place of a word, and 0 for the blank after it."""
+    x = np.arange(1, (LONG + 1) * 256 + 1, dtype=np.uint64) * _K[0]
+    for k in _K[1:]:
+        x = (x ^ (x >> np.uint64(31))) * k
+    x ^= x >> np.uint64(32)
+    x[ord(" ")::256] = 0
+    return x
+
+
+_LETTERS = _letters()
+
+
+def word_hashes(own: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words without blanks: the sum of their bytes' numbers, all words at once."""
+    if not own:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(own)
+    if len(joined) > LONG * len(own):  # of long words only that they are long
+        joined = b" ".join([w[:LONG + 2] for w in own])
+    text = np.frombuffer(joined, dtype=np.uint8)
+    blanks = np.flatnonzero(text == ord(" "))
+    starts = np.concatenate([[0], blanks + 1])
+    lengths = np.diff(starts, append=len(text) + 1)
+    place = np.arange(len(text)) - np.repeat(starts, lengths)[:len(text)]
+    out = np.add.reduceat(_LETTERS.take((place << 8) + text, mode="clip"), starts)  # clipped: only in long words
+    for i in np.flatnonzero(lengths > LONG + 1):
+        out[i] = xxhash.xxh3_64_intdigest(own[i])
+    return out
 
 
 def name_beside(df: DataFrame, name: str) -> str:

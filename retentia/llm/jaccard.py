@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retentia.llm.common import checkpointed, name_beside, release, small_batches, stored
+from retentia.llm.common import checkpointed, name_beside, release, small_batches, stored, word_hashes
 from retentia.llm.graph import connected
 
 #: Cells of the table of shingle counts that orders shingles, rarest first. Any order gives the same links.
@@ -38,36 +38,6 @@ CARRIED = 200_000
 #: In round k a region has up to PIVOTS ** (k - 1) pivots.
 PIVOTS = 32
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-#: Longer words are hashed one by one.
-LONG = 64
-
-
-def _letters() -> np.ndarray:
-    """A 64-bit number for every byte at every place of a word, and 0 for the blank after it."""
-    x = np.arange(1, (LONG + 1) * 256 + 1, dtype=np.uint64) * _K[0]
-    for k in _K[1:]:
-        x = (x ^ (x >> np.uint64(31))) * k
-    x ^= x >> np.uint64(32)
-    x[ord(" ")::256] = 0
-    return x
-
-
-_LETTERS = _letters()
-
-
-def word_hashes(own: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words without blanks: the sum of their bytes' numbers, all words at once."""
-    if not own:
-        return np.zeros(0, dtype=np.uint64)
-    text = np.frombuffer(b" ".join(own), dtype=np.uint8)
-    blanks = np.flatnonzero(text == ord(" "))
-    starts = np.concatenate([[0], blanks + 1])
-    lengths = np.diff(starts, append=len(text) + 1)
-    place = np.arange(len(text)) - np.repeat(starts, lengths)[:len(text)]
-    out = np.add.reduceat(_LETTERS.take((place << 8) + text, mode="clip"), starts)  # clipped: only in long words
-    for i in np.flatnonzero(lengths > LONG + 1):
-        out[i] = xxhash.xxh3_64_intdigest(own[i])
-    return out
 
 
 def words(text: str | None) -> list[bytes]:

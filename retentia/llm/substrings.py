@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.llm.common import WordHashes, stored
+from retentia.llm.common import stored, word_hashes
 
 WINDOW, PHRASE = 20, 5
 #: Bytes of text of one shard.
@@ -48,6 +48,11 @@ def digest(own: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(own)) - (1 << 63)
 
 
+def hashes_of(own: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, ``LOT_WORDS`` at a time, however long a document is."""
+    return np.concatenate([word_hashes(own[i:i + LOT_WORDS]) for i in range(0, max(len(own), 1), LOT_WORDS)])
+
+
 def runs(hashes: np.ndarray, size: int, by: np.uint64) -> np.ndarray:
     """A hash of each run of ``size`` words, that depends on their order."""
     total = np.full(max(len(hashes) - size + 1, 0), size, dtype=np.uint64)
@@ -96,11 +101,11 @@ def _first_of_each(values: np.ndarray, with_them: np.ndarray) -> tuple[np.ndarra
 class Lot:
     """Documents (name, words, spelled words if any) side by side, so that one array operation serves many."""
 
-    def __init__(self, documents: list[tuple], window: int, known: WordHashes):
+    def __init__(self, documents: list[tuple], window: int):
         self.names = [name for name, *_ in documents]
         self.words = [w for _, own, *_ in documents for w in own]
         self.spelled = "".join([text for _, _, *given in documents for text in given])
-        self.hashes = known.of(self.words)
+        self.hashes = hashes_of(self.words)
         lengths = np.array([len(own) for _, own, *_ in documents])
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
@@ -122,16 +127,16 @@ class Lot:
         return first[real], length[real], self.places[first[real]], named, own
 
     @staticmethod
-    def of(documents: Iterator[tuple], window: int, known: WordHashes) -> Iterator[Lot]:
+    def of(documents: Iterator[tuple], window: int) -> Iterator[Lot]:
         waiting, size = [], 0
         for document in documents:
             waiting.append(document)
             size += len(document[1])
             if size >= LOT_WORDS:
-                yield Lot(waiting, window, known)
+                yield Lot(waiting, window)
                 waiting, size = [], 0
         if waiting:
-            yield Lot(waiting, window, known)
+            yield Lot(waiting, window)
 
 
 def _groups(side: pd.DataFrame) -> dict:
@@ -178,7 +183,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         """The phrases of a shard, the least hash of the blocks of each, whether there are two of them and whether they
         differ."""
         made, text = [], {}
-        for lot in Lot.of(originals(own, set(zip(copy["key"], copy["dig"]))), window, WordHashes()):
+        for lot in Lot.of(originals(own, set(zip(copy["key"], copy["dig"]))), window):
             first, length, place, (b1,), _ = lot.blocks(window, 1)
             ph = lot.phrase_hashes()[place]
             made.append(pd.DataFrame({"ph": ph, "b1": b1}))
@@ -211,7 +216,7 @@ def repeated(df: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFr
         if len(own) and len(patterns):
             automaton = Phrases(patterns["phrase"], patterns["several"].astype(bool))
             found = automaton.holding(originals(own, set(zip(copy["key"].astype("int64"), copy["dig"].astype("int64")))))
-            for lot in Lot.of(found, window, WordHashes()):
+            for lot in Lot.of(found, window):
                 out.append(automaton.blocks(lot, window))
         if not out:
             return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in kind_of_block.split(", ")})
@@ -278,7 +283,7 @@ class Phrases:
 
         self.spelling: dict[bytes, str] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        marked, known = [], WordHashes()
+        marked = []
         for phrase, many in zip(phrases, several):
             split = bytes(phrase).split(b" ")
             self.automaton.add_word("".join([self.spelled(w) for w in split]))
@@ -286,7 +291,7 @@ class Phrases:
                 marked += split
         self.automaton.make_automaton()
         #: hashes of the phrases whose blocks differ
-        self.several = runs(known.of(marked), PHRASE, _M[0])[::PHRASE].view(np.int64)
+        self.several = runs(hashes_of(marked), PHRASE, _M[0])[::PHRASE].view(np.int64)
 
     def spelled(self, word: bytes) -> str:
         if (own := self.spelling.get(word)) is None:

@@ -1,9 +1,10 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
-from retentia.llm import queries, substrings
+from retentia.llm import common, queries, substrings
 
 
 def collected(df):
@@ -49,3 +50,16 @@ def test_repeated_rows_count_once_and_empty_table(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert [r[2] for r in digest_rows(substrings.repeated(df, "doc_id", "text"))] == [0, 0, 25]
     assert substrings.repeated(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_words_are_hashed_side_by_side(monkeypatch):
+    """Only words longer than ``LONG`` bytes are hashed one by one; pieces and neighbours change no hash."""
+    one_by_one = []
+    hashed = common.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(common.xxhash, "xxh3_64_intdigest", lambda w: one_by_one.append(w) or hashed(w))
+    own = [b"w%d" % i for i in range(3000)] + [b"x" * 64, b"x" * 65, b"x" * 66, b"x" * 100_000, b"y" * 100_000, b"w7"]
+    whole = substrings.Lot([((1, 0), own)], 20).hashes
+    assert one_by_one == [b"x" * 65, b"x" * 66, b"x" * 100_000, b"y" * 100_000]
+    assert len(np.unique(whole)) == len(own) - 1 and whole[7] == whole[-1]
+    monkeypatch.setattr(substrings, "LOT_WORDS", 100)
+    assert (substrings.hashes_of(own) == whole).all() and not len(substrings.hashes_of([]))
