@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,11 +210,14 @@ def cells(x: np.ndarray, tests: tuple[dict[int, list[float]], list[int]]) -> lis
 
 
 def tree_contributions(df: DataFrame, key: str, leaves, names: list[str], features: str = "features",
-                       carry: tuple[str, ...] = ()) -> DataFrame:
+                       carry: tuple[str, ...] = (), judge: Callable[[DataFrame], DataFrame] | None = None,
+                       judged: tuple[str, ...] = ()) -> DataFrame:
     """(key, contributions) for every row, with ``carry`` columns passed along.
 
     Rows that no test of the ensemble tells apart have equal contributions: each such cell is explained once, dealt over
     all cores, and its rows look it up. There are as many cells as the tests of the model allow, however many the rows.
+    ``judge`` adds the ensemble's own outputs, the columns ``judged`` of doubles, to rows with ``features``; these too are
+    equal within a cell, so the trees are walked for one row of each.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -229,7 +232,7 @@ def tree_contributions(df: DataFrame, key: str, leaves, names: list[str], featur
         for batch in batches:
             if len(batch):
                 phi = shapley_values(np.vstack(batch["x"].to_numpy()), paths=shared.value)
-                yield batch[["_cell"]].assign(phi=list(phi))
+                yield batch[["_cell", *judged]].assign(phi=list(phi))
 
     # written once and narrow: both sides of the lookup read it, and neither prepares the rows or scores them again
     rows = df.select(*kept, vector_to_array(features).alias("x")).withColumn("_cell", cell("x"))
@@ -237,6 +240,9 @@ def tree_contributions(df: DataFrame, key: str, leaves, names: list[str], featur
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
     each = rows.groupBy("_cell").agg(F.first("x").alias("x")).repartition(context.defaultParallelism)
-    phi = lookup_join(rows.drop("x"), each.mapInPandas(explain, "_cell binary, phi array<double>"), ["_cell"])
-    return phi.select(*kept, contribution_array({n: F.col("phi")[i] for i, n in enumerate(names)})
+    if judge:
+        each = judge(each.withColumn(features, array_to_vector("x"))).select("_cell", "x", *judged)
+    kind = ", ".join(["_cell binary", *(f"`{c}` double" for c in judged), "phi array<double>"])
+    phi = lookup_join(rows.drop("x"), each.mapInPandas(explain, kind), ["_cell"])
+    return phi.select(*kept, *judged, contribution_array({n: F.col("phi")[i] for i, n in enumerate(names)})
                       .alias("contributions"))

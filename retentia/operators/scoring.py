@@ -104,13 +104,17 @@ def score_students(students: DataFrame, model: PipelineModel, model_name: str, a
 
 def score_trees(df: DataFrame, model: PipelineModel, saved_path: str, key: str, model_name: str,
                 at: Column) -> DataFrame:
-    """(key, prediction struct with advice from tree contributions)."""
-    rows = model.transform(df)
+    """(key, prediction struct with advice from tree contributions).
+
+    Every row is prepared; those that no test of the trees tells apart are scored and explained together.
+    """
+    rows = PipelineModel(model.stages[:-1]).transform(df)
     stage = model.stages[-1]
     leaves = ensemble_leaves(df.sparkSession, f"{saved_path}/stages/{len(model.stages) - 1}_{stage.uid}",
                              list(stage.treeWeights), "Forest" in type(stage).__name__)
-    told = tree_contributions(rows.withColumn("_p", class_one_probability()), key, leaves,
-                              feature_names(rows), carry=("prediction", "_p"))
+    told = tree_contributions(
+        rows, key, leaves, feature_names(rows), judged=("prediction", "_p"),
+        judge=lambda cells: stage.transform(cells).withColumn("_p", class_one_probability()))
     return told.select(key, _prediction(F.col("_p"), recommendations(F.col("contributions")), model_name, at))
 
 

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from retentia.operators import anomaly, explain, scoring, training
@@ -265,3 +265,30 @@ def test_rows_are_prepared_once_for_their_contributions(spark):
     told = {r["k"]: r["contributions"][0]["contribution"] for r in explain.tree_contributions(df, "k", leaves, ["a"]).collect()}
     assert told == {k: -1.0 if k <= 20 else 1.0 for k in range(50)}
     assert seen.value == 50
+
+
+def test_rows_of_one_cell_are_scored_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def side(x):
+        seen.add(1)
+        return float(x > 20)
+
+    leaves = [(1.0, [(0, "le", 20.0, 0.5)]), (3.0, [(0, "gt", 20.0, 0.5)])]
+    df = spark.range(50).select(F.col("id").alias("k"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"))
+    told = explain.tree_contributions(df, "k", leaves, ["a"], judged=("side",),
+                                      judge=lambda rows: rows.withColumn("side", side(vector_to_array("features")[0])))
+    assert {r["k"]: (r["side"], r["contributions"][0]["contribution"]) for r in told.collect()} == {
+        k: (0.0, -1.0) if k <= 20 else (1.0, 1.0) for k in range(50)}
+    assert seen.value == 2
+
+
+def test_tree_scores_are_those_of_the_model(spark, students):
+    found = training.train_classifiers(students, "student_id", "dropout", *COLUMNS, "t", scratch_path(spark, "t"),
+                                       ["random_forest"], forest_depth=4)[0]
+    model = PipelineModel.load(found["model_path"])
+    scored = scoring.score_trees(students, model, found["model_path"], "student_id", "t", F.lit("2024-01-01"))
+    got = sorted((r[0], r[1]["class"], r[1]["probability"]) for r in scored.select("student_id", "prediction").collect())
+    want = model.transform(students).select("student_id", F.col("prediction").cast("int"), training.class_one_probability())
+    assert got == sorted(tuple(r) for r in want.collect()) and len(got) == 400
