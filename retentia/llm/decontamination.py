@@ -34,7 +34,7 @@ BITS_KEPT = 64_000_000
 #: Bytes of item texts searched in one pass; larger benchmarks are searched in blocks.
 ITEM_BYTES = 16_000_000
 #: Words of documents that are compared at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 #: A word in at most this share of the items is rare.
 RARE = 0.02
 #: Windows that walk side by side.

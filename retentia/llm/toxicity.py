@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -55,10 +56,10 @@ def buckets(word: str) -> list[int]:
 class Features(dict):
     """Buckets of words, remembered."""
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> array:
         if len(self) >= 100_000:
             self.clear()
-        self[word] = own = buckets(word)
+        self[word] = own = array("i", buckets(word))
         return own
 
     def of(self, text: str | None) -> set[int]:
@@ -116,6 +117,25 @@ class Model:
         return score
 
 
+def scorer_of(models: list[Model]):
+    """A function from texts and the numbers of their models to scores; words are remembered once for all models."""
+    wanted = np.unique(np.concatenate([m.buckets for m in models]))
+    masks = Masks(wanted.tolist())
+    places = [np.searchsorted(wanted, m.buckets) for m in models]
+
+    def score(texts: list[str | None], numbers: np.ndarray) -> np.ndarray:
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), 1_000):
+            on = masks.matrix([masks.of(t) for t in texts[at:at + 1_000]])
+            for i, (model, place) in enumerate(zip(models, places)):
+                own = np.flatnonzero(numbers[at:at + 1_000] == i)
+                features = np.ascontiguousarray(on[own][:, place])
+                out[at + own] = model.bias + (features * model.weights).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(out, -50.0, 50.0)))
+
+    return score
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES) -> Model:
     """Fit on lists of feature buckets. Without positives or unlabelled texts every score is ``prior``."""
     def frequency(rows: list[np.ndarray]) -> np.ndarray:
@@ -284,13 +304,9 @@ def train_and_cut(docs: DataFrame, labels: DataFrame, usable: Column, key: str =
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        of = [m.scorer() for m in others]
+        of = scorer_of(others)
         for texts, numbers in batches:
-            out = np.empty(len(texts))
-            for i, score in enumerate(of):
-                own = (numbers == i).to_numpy()
-                out[own] = score(texts[own].tolist())
-            yield pd.Series(out)
+            yield pd.Series(of(texts.tolist(), numbers.to_numpy()), dtype="float64")
 
     rows = docs.select(key, text).join(_known(labels, usable, key, label), key)
     rows = rows.select(scored(F.col(text), fold).alias("score"), "toxic_label").filter(F.col("score") >= THRESHOLD)

@@ -51,3 +51,13 @@ def test_risk_never_rewards_a_negative_second_term():
     model = toxicity.fit(positive, unlabelled, 0.1)
     score = dict(zip(model.buckets.tolist(), model.weights.tolist()))
     assert score[1] > 0 and score[2] > 0
+
+
+def test_folds_share_the_words_they_remember(monkeypatch):
+    looked, known = [], toxicity.buckets
+    monkeypatch.setattr(toxicity, "buckets", lambda w: looked.append(w) or known(w))
+    models = [toxicity.Model(np.unique(known(w)), np.full(len(set(known(w))), 0.5), -1.0, 0.1) for w in ("foul", "awful", "kind")]
+    texts, numbers = ["a foul word", "an awful word", None, "kind word", "a foul word"], np.array([0, 1, 2, 2, 1])
+    got = toxicity.scorer_of(models)(texts, numbers)
+    assert sorted(looked) == ["a", "an", "awful", "foul", "kind", "word"]
+    assert got.tolist() == [models[i].scorer()([t])[0] for t, i in zip(texts, numbers)]
