@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import decontamination, jaccard, mixing, sharding, toxicity
-from retentia.llm.common import name_beside, stored, table
+from retentia.llm.common import bound_batches, name_beside, stored, table
 from retentia.llm.queries import may_train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the score from which 95 % are toxic by cross-fitted training labels; texts without words score
     as clean. Where the labels are too few to show that precision, all documents stay."""
+    bound_batches(spark)  # the texts of a batch are held several times by each worker
     model, cut = toxicity.train_and_cut(docs, table(spark, sf_dir, "labels"), may_train("doc_id"))
     score = name_beside(docs, "score")
     return docs.withColumn(score, toxicity.score(model)("text")).filter(F.col(score) < cut).drop(score)
@@ -25,6 +26,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
+    bound_batches(spark)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

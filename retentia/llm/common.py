@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Python workers of the session get batches of ``BATCH_BYTES``, whoever writes a result."""
+    spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """Python workers of the jobs started inside get batches of ``BATCH_BYTES``."""
@@ -65,8 +70,22 @@ def kept(path: str) -> None:
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what ``stored`` has written, or only ``frames`` of it; results that still depend on it must have been written
     by then."""
+    _delete(spark, [_STORED[frame] for frame in frames] if frames else list(_PATHS))
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Deletes in the end what was stored inside; results that leave it must be checkpointed."""
+    before = set(_PATHS)
+    try:
+        yield
+    finally:
+        _delete(spark, [path for path in _PATHS if path not in before])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in [_STORED[frame] for frame in frames] if frames else list(_PATHS):
+    for path in paths:
         if path not in _PATHS:
             continue
         _PATHS.remove(path)

@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retentia.llm.common import checkpointed, name_beside, release, small_batches, stored, word_hashes
+from retentia.llm.common import checkpointed, name_beside, passing, release, small_batches, stored, word_hashes
 from retentia.llm.graph import connected
 
 #: Cells of the table of shingle counts that orders shingles, rarest first. Any order gives the same links.
@@ -149,39 +149,49 @@ def count_cells(df: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def classes(df: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(id, n, firsts array<long>, bits, parity): one row per word sequence and task, with what the regions need."""
+    """(id, n, firsts array<long>, bits, parity, sample): one row per word sequence and task, with what the regions need.
+
+    ``sample`` is the digest of one text of the class.
+    """
     rarity = df.sparkSession.sparkContext.broadcast(count_cells(df, text, size))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
         for batch in batches:
             rows = []
-            for t in batch["t"]:
+            for t, sample in zip(batch["t"], batch["sample"]):
                 own = words(t)
                 if not own or (name := digest(own)) in seen:
                     continue
                 seen.add(name)
                 sets = shingles(word_hashes(own), size)
                 rows.append((name, len(sets), first_shingles(sets, rarity.value, percent).view(np.int64), bitmap(sets),
-                             parity(sets)))
-            yield pd.DataFrame(rows, columns=["id", "n", "firsts", "bits", "parity"])
+                             parity(sets), sample))
+            yield pd.DataFrame(rows, columns=["id", "n", "firsts", "bits", "parity", "sample"])
 
-    return df.select(F.col(text).alias("t")).mapInPandas(
-        describe, "id binary, n int, firsts array<long>, bits binary, parity array<long>")
+    return df.select(F.col(text).alias("t"), text_digest(text).alias("sample")).mapInPandas(
+        describe, "id binary, n int, firsts array<long>, bits binary, parity array<long>, sample binary")
+
+
+def text_digest(text: str) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def sets_of(df: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(id, items array<long>) of the classes in ``wanted`` (id, each once)."""
+    """(id, items array<long>) of the classes in ``wanted`` (id, sample; each once).
+
+    Their texts are found by the digest, so Python sees no other text.
+    """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "items": [shingles(word_hashes(words(t)), size).view(np.int64)
                                                              for t in batch["t"]]})
 
-    if wanted.count() <= CARRIED:  # 16 bytes a class; the texts then need no shuffle to find them
+    if wanted.count() <= CARRIED:  # 32 bytes a class; the texts then need no shuffle to find them
         wanted = F.broadcast(wanted)
-    one = (df.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).withColumn("id", class_name()("t"))
-           .join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    one = (df.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).withColumn("sample", text_digest("t"))
+           .join(wanted, "sample").select("id", "t").dropDuplicates(["id"]))
     return one.mapInPandas(build, "id binary, items array<long>")
 
 
@@ -245,7 +255,8 @@ def class_components(df: DataFrame, text: str, size: int = 5, percent: int = 80)
     def sets(wanted: DataFrame) -> DataFrame:
         """The sets of these classes; what an earlier round has fetched is not built again."""
         missing = wanted.join(held[0].select("id"), "id", "left_anti") if held else wanted
-        fresh = stored(sets_of(df, text, size, checkpointed(missing)), "jaccard-sets")
+        missing = checkpointed(missing.join(described.select("id", "sample"), "id"))
+        fresh = stored(sets_of(df, text, size, missing), "jaccard-sets")
         held[:] = [held[0].unionByName(fresh)] if held else [fresh]
         return held[0]
 
@@ -331,14 +342,28 @@ def components(df: DataFrame, key: str, text: str, size: int = 5, percent: int =
         F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("first")).alias("component_id"))
 
 
+def row_token(key: str, text: str, worded: Column) -> Column:
+    """Names a row by its key and text; a row without words has a name of its own."""
+    both = F.concat(F.md5(text), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    return F.when(worded, F.unhex(F.md5(both))).otherwise(alone.cast("binary"))
+
+
 def one_of_each(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` with the smallest key of their component, one row for each; texts without words all stay."""
-    mark, name, component, first = (name_beside(df, c) for c in ("once", "class", "component", "first"))
-    rows = df.withColumn(name, class_name()(F.col(text)))
-    named = stored(rows.select(F.col(key).alias("key"), F.col(name).alias("id")), "jaccard-names")
-    found = _labelled(named, "key", df, text, size, percent).select(
-        F.col("id").alias(name), F.col("component").alias(component), F.col("first").alias(first))
-    kept = rows.join(found, name, "left").filter(F.col(name).isNull() | F.col(key).eqNullSafe(F.col(first)))
+    """The rows of ``df`` with the smallest key of their component, one row for each; texts without words all stay.
+
+    Rows are found again by a digest of key and text, so whoever writes the result runs no Python on whole texts.
+    """
+    token, chosen = (name_beside(df, c) for c in ("token", "chosen"))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    with passing(df.sparkSession):
+        named = stored(df.filter(worded).select(F.col(key).alias("key"), row_token(key, text, worded).alias("token"),
+                                                class_name()(F.col(text)).alias("id")), "jaccard-names")
+        _, labels = class_components(df, text, size, percent)
+        # a null key is never the smallest unless all keys of the component are null
+        first = F.min(F.struct(F.col("key").isNull(), "key", "token"))["token"]
+        firsts = checkpointed(named.join(labels, "id", "left").groupBy(F.coalesce("label", "id").alias("component"))
+                              .agg(first.alias(token)).select(token, F.lit(True).alias(chosen)))
     # a key that occurs twice in a component leaves one row
-    once = F.coalesce(F.hex(component), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    return kept.withColumn(mark, once).dropDuplicates([mark]).select(*df.columns)
+    rows = df.withColumn(token, row_token(key, text, worded)).join(firsts, token, "left")
+    return rows.filter(F.col(chosen) | ~worded).dropDuplicates([token]).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from retentia.llm import graph, jaccard, queries
+from retentia.llm import common, graph, jaccard, queries
 
 
 def collected(df):
@@ -46,6 +46,27 @@ def test_one_of_each_keeps_all_columns_and_repeated_rows_once(spark):
     assert got == sorted([(1, "y"), (None, "n"), (7, "e"), (8, "e"), (9, "o")], key=str)
 
 
+def test_one_of_each_leaves_no_python_to_the_writer_and_no_tables(spark):
+    before = list(common._PATHS)
+    rows = [(i % 70, t, i) for i, (_, t) in enumerate(near_copies(3, 90) + [(0, f"a{i} b c d e f g") for i in range(600)])]
+    rows += [(5, " \t\v\f", 1000 + i) for i in range(40)] + [(5, None, 2000 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, text string, `a.b` int").repartition(5)
+    got = jaccard.one_of_each(df, "k", "text")
+    assert common._PATHS == before
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == df.columns
+    got = [tuple(r) for r in got.collect()]
+    # rows of a repeated key may be in several components: each component keeps one row with its smallest key
+    named = brute.jaccard_components([(i, t) for i, (_, t, _) in enumerate(rows)], 5, 80)
+    groups = {}
+    for i, _, first in named:
+        groups.setdefault(first, []).append(rows[i])
+    assert len(got) == len(groups)
+    where = {r: first for first, own in groups.items() for r in own}
+    assert len({where[r] for r in got}) == len(groups)
+    assert all(r[0] == min(k for k, _, _ in groups[where[r]]) for r in got)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k long, text string")
     assert jaccard.components(df, "k", "text").collect() == []
@@ -94,3 +115,15 @@ def test_regions_are_dealt_once_and_passed_rounds_leave_no_files(spark, monkeypa
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._PATHS}
     assert not left & {"llm-jaccard-pairs", "llm-jaccard-needed", "llm-jaccard-bits", "llm-jaccard-bounds", "llm-jaccard-pivots"}
     assert labels.count() and sizes.count() == len({t for _, t in rows})
+
+
+def test_sets_are_built_from_wanted_texts_without_naming_all(spark):
+    rows = [("A b c d",), ("a B c d",), ("e f g",), ("h i",), (None,), ("e f g",)]
+    df = spark.createDataFrame(rows, "text string")
+    described = jaccard.classes(df.coalesce(1), "text", 3, 90)
+    wanted = described.filter("n > 1 or hex(sample) = upper(md5('e f g'))").select("id", "sample")
+    got = jaccard.sets_of(df, "text", 3, wanted)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    names = {jaccard.digest(jaccard.words(t)): jaccard.words(t) for t in ("a b c d", "e f g")}
+    assert {bytes(r["id"]): sorted(r["items"]) for r in got.collect()} == {
+        k: sorted(jaccard.shingles(common.word_hashes(w), 3).view(np.int64).tolist()) for k, w in names.items()}
