@@ -119,9 +119,9 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
     """
     run = run or uuid.uuid4().hex
     usable, _ = split_labelled(df, label)
-    # the narrow frame is kept: statistics, encodings, weights and the hold-out all read it
-    kept = stratified_holdout(usable.select(key, "label", *numeric, *categorical), key, "label", seed
-                              ).withColumnRenamed("is_test", "_test").persist()
+    # the narrow frame is kept: the split reads it three times, statistics, encodings, weights and the hold-out its result
+    narrow = usable.select(key, "label", *numeric, *categorical).persist()
+    kept = stratified_holdout(narrow, key, "label", seed).withColumnRenamed("is_test", "_test").persist()
     train, test = kept.filter(~F.col("_test")), kept.filter("_test")
     prep = fit_preprocessor(train, numeric, categorical)
     fit_rows = weighted(prep.transform(train).select("label", "features")).persist()
@@ -145,7 +145,7 @@ def train_classifiers(df: DataFrame, key: str, label: str, numeric: list[str], c
                             "metrics": {k: v for k, v in metrics.items() if v is not None},
                             "model_path": path})
     finally:
-        for frame in (fit_rows, test_rows, kept):
+        for frame in (fit_rows, test_rows, kept, narrow):
             frame.unpersist()
     return results
 

@@ -64,7 +64,7 @@ def _scoring_rows(spark, sf):
     d = v.table(spark, sf, "documents")
     return d.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
                     F.length("text").cast("double").alias("text_len"),
-                    F.size(F.split("text", " ", -1)).cast("double").alias("n_words"), "lang", "source")
+                    v.n_words("text").alias("n_words"), "lang", "source")
 
 
 def _fitted(spark, sf, name):

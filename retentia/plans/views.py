@@ -224,12 +224,19 @@ LOGINS = """logins AS (
 
 # ---- labelled documents ----------------------------------------------------------------------------
 
+def n_words(text: str):
+    """``size(split(text, ' '))`` as a double, of a missing text too, without a text for each word."""
+    blanks = F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit("")))
+    return F.coalesce(blanks + 1, F.size(F.lit(None).cast("array<string>"))).cast("double")
+
+
 def labelled_docs(spark, sf) -> DataFrame:
-    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return d.join(l, "doc_id").select(
+    # measured before the join, so that no text is shuffled
+    d = table(spark, sf, "documents").select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
         F.length("text").cast("double").alias("text_len"),
-        F.size(F.split("text", " ", -1)).cast("double").alias("n_words"), "lang", "source", "quality", "toxic")
+        n_words("text").alias("n_words"), "lang", "source")
+    return d.join(table(spark, sf, "labels"), "doc_id").select(*d.columns, "quality", "toxic")
 
 
 LABELLED = """labelled AS (

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from retentia.operators import anomaly, explain, scoring, training
+from retentia.plans import views
 from retentia.session import scratch_path
 
 
@@ -292,3 +293,35 @@ def test_tree_scores_are_those_of_the_model(spark, students):
     got = sorted((r[0], r[1]["class"], r[1]["probability"]) for r in scored.select("student_id", "prediction").collect())
     want = model.transform(students).select("student_id", F.col("prediction").cast("int"), training.class_one_probability())
     assert got == sorted(tuple(r) for r in want.collect()) and len(got) == 400
+
+
+def test_labelled_texts_are_measured_before_the_join(spark, sf):
+    plan = views.labelled_docs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("replace(text")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_words_are_counted_as_by_splitting(spark, ansi):
+    texts = ["", " ", "a", " a", "a ", "a  b", "a\tb c\n", "é ü", "\u00a0 x", None]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+            views.n_words("text"), F.size(F.split("text", " ", -1)).cast("double")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert [a for a, _ in rows] == [b for _, b in rows]
+
+
+def test_training_reads_its_rows_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(k):
+        read.add(1)
+        return float(k % 7)
+
+    df = spark.range(60).repartition(2).select(F.col("id").alias("k"), F.concat(F.lit("key"), "id").alias("key"),
+                                               counted("id").alias("x"), (F.col("id") % 2).cast("string").alias("y"))
+    training.train_classifiers(df, "key", "y", ["x"], [], "d", str(tmp_path), ["logistic_regression"])
+    assert read.value == 60
